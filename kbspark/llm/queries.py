@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import packing, records, sharding
+from kbspark.llm import decontaminate, packing, records, sharding
 from kbspark.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, coverage=(1, 20))
+    return found.drop("spans")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
     return records.with_starts(records.read_records(index), index).select("doc_id", "start", "n_tokens", "ids_crc32")
