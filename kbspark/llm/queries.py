@@ -6,10 +6,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kbspark.llm import decontaminate, packing, records, sharding
+from kbspark.llm import decontaminate, packing, records, sharding, urls
 from kbspark.llm.common import table
 
+OP9_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/'
+    END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'spam']) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -32,9 +55,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: The contract's rules, as (verdict, host, path).
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Parts of host names, between dots or hyphens, that put a host's pages on the list.
+LISTED_PARTS = ("ads", "adult", "bets", "casino", "pills", "spam")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, LISTED_PARTS)))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": OP9_SQL}
