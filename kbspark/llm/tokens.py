@@ -15,18 +15,31 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Chunks that a worker remembers; about 100 MB.
-CACHE_CHUNKS = 400_000
+#: Chunks that a worker remembers, and as many older ones; about 150 MB in all.
+CACHE_CHUNKS = 500_000
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def _nulls(parts: list) -> list[int]:
+    """Where ``parts`` has None; list.index is far quicker than a loop over all."""
+    at, k = [], -1
+    try:
+        while True:
+            at.append(k := parts.index(None, k + 1))
+    except ValueError:
+        return at
+
+
 class ChunkTokenizer:
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # ours stands before it; its own would only be filled and missed
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_chunks = cache_chunks
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
@@ -34,43 +47,54 @@ class ChunkTokenizer:
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Look up new chunks; a comma or full stop after a letter is always a
-        piece of its own, so that the word before it is looked up alone."""
-        if len(self.cache) + 2 * len(chunks) > self.cache_chunks:
-            self.cache.clear()
-        cache = self.cache
-        cut = {c: c[:-1] for c in chunks if c[-1] in ",." and len(c) > 1 and c[-2].isalpha()}
-        ask = [c for c in {cut.get(c, c) for c in chunks} | {",", "."} if c not in cache]
-        for c, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            cache[c] = self._pack(e.ids)
-        for c, word in cut.items():
-            cache[c] = cache[word] + cache[c[-1]]
+    def _ask(self, chunks: list[str]) -> None:
+        """Have the library encode ``chunks``: words of letters alone many to a
+        text, as each is one word to the tokenizer, the others one by one."""
+        words = [c for c in chunks if c.isalpha()]
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            first = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)) * self.width
+            if len(first) == len(some):
+                ids, ends = self._pack(e.ids), [*first[1:].tolist(), len(e.ids) * self.width]
+                self.cache.update(zip(some, (ids[a:b] for a, b in zip(first.tolist(), ends))))
+        rest = [c for c in chunks if c not in self.cache]
+        self.cache.update(zip(rest, (self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+
+    def _learn(self, new: set[str]) -> None:
+        """Look up chunks that aren't in the cache. A comma or full stop after a
+        letter is always a piece of its own, so the word before it is enough."""
+        cache, older = self.cache, self.older
+        known = [c for c in new if c in older]
+        cache.update((c, older[c]) for c in known)
+        new = new.difference(known)
+        cut = {c: c[:-1] for c in new if c[-1] in ",." and len(c) > 1 and c[-2].isalpha()}
+        self._ask([c for c in {cut.get(c, c) for c in new}.union(",.") if c not in cache])
+        cache.update((c, cache[word] + cache[c[-1]]) for c, word in cut.items())
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text, packed in ``self.dtype``; a null is empty."""
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
-            block, chunks = [], set()
+            if len(self.cache) > self.cache_chunks:
+                self.cache, self.older = {}, self.cache
+            block: list[tuple[list[str], list[bytes | None]]] = []
+            find, gaps = self.cache.get, []
             for text in texts[i : i + 64]:
                 if text is None:
-                    block.append([])
+                    block.append(([], []))
                 elif any(x in text for x in _WHOLE):
-                    block.append(text)
+                    block.append(([], [self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)]))
                 else:
                     words = (text.lower() if text.isascii() else text).split()
-                    block.append(words)
-                    chunks.update(words)
-            cache = self.cache
-            if new := {c for c in chunks if c not in cache}:
+                    block.append((words, list(map(find, words))))
+                gaps.append(_nulls(block[-1][1]))
+            if new := {words[k] for (words, _), at in zip(block, gaps) for k in at}:
                 self._learn(new)
-                if not chunks <= cache.keys():  # the cache was emptied meanwhile
-                    self._learn({c for c in chunks if c not in cache})
-            for words in block:
-                if isinstance(words, str):
-                    out.append(self._pack(self.tokenizer.encode(words, add_special_tokens=False).ids))
-                else:
-                    out.append(b"".join(map(cache.__getitem__, words)))
+            for (words, parts), at in zip(block, gaps):
+                for k in at:
+                    parts[k] = find(words[k])
+                out.append(b"".join(parts))
         return out
 
 
