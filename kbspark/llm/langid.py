@@ -4,8 +4,8 @@ A text is the counts of its letters' byte trigrams, hashed into ``DIM`` bins,
 damped, weighted by inverse document frequency and normalised. Each language
 has a few spherical k-means centroids; a text gets the language of the centroid
 with the highest cosine, and is rejected if even that is too far away: its
-cosine is less than a set part of the lowest that the language's own training
-sample has.
+cosine is less than a set part of the lowest that any training text of the
+sample has to a centroid of its own language.
 
 Document frequencies count all training rows. The clusters are fitted on a
 bounded sample, about ``sample`` rows per language, and one language is one
@@ -59,7 +59,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row per cluster, of length 1
     owner: np.ndarray  # index into languages of each centroid's language
-    least: np.ndarray  # cosine under which a text is too far from a centroid's language
+    least: float  # cosine under which a text is too far from all of them
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text; ``und`` without a letter."""
@@ -71,7 +71,7 @@ class Model:
         cosine = x @ self.centroids.T
         best = cosine.argmax(axis=1)
         for i, k, c in zip(some, best.tolist(), cosine[np.arange(len(some)), best].tolist()):
-            out[i] = (self.languages[self.owner[k]], min(max(c, 0.0), 1.0), c < self.least[self.owner[k]])
+            out[i] = (self.languages[self.owner[k]], min(max(c, 0.0), 1.0), c < self.least)
         return out
 
 
@@ -114,15 +114,14 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def fit(training: DataFrame, sample: int = 1500, clusters: int = 4, slack: float = 0.5) -> Model:
     """A model of ``training`` (text as bytes, lang); rows without lang or letters teach nothing.
 
-    A language's texts are accepted down to ``slack`` times the lowest cosine in
-    its sample.
+    Texts are accepted down to ``slack`` times the lowest cosine in the sample.
     """
     rows = training.where(F.col("lang").isNotNull())
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     df, n = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     if not sizes:
-        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), 0.0)
     share = F.element_at(F.create_map(*(F.lit(x) for lang, c in sizes.items() for x in (lang, min(1.0, sample / c)))), F.col("lang"))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
     schema = "lang string, least double, centroids binary"
@@ -142,7 +141,7 @@ def fit(training: DataFrame, sample: int = 1500, clusters: int = 4, slack: float
     if not found:
         each = [np.zeros((0, DIM), np.float32)]
     owner = np.repeat(np.arange(len(found)), [len(c) for c in each[: len(found)]])
-    return Model([r.lang for r in found], idf, np.concatenate(each), owner, np.array([r.least for r in found], np.float32))
+    return Model([r.lang for r in found], idf, np.concatenate(each), owner, min((r.least for r in found), default=0.0))
 
 
 def _held_out(id_col: str):
