@@ -53,8 +53,8 @@ class Roller:
 
     def _grow(self, size: int) -> None:
         if len(self.power) < size:
-            self.power = np.cumprod(np.concatenate(([1], np.full(2 * size, _ODD, np.uint64))), dtype=np.uint64)
-            self.back = np.cumprod(np.concatenate(([1], np.full(2 * size, self.inverse, np.uint64))), dtype=np.uint64)
+            self.power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * size, _ODD, np.uint64))), dtype=np.uint64)
+            self.back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * size, self.inverse, np.uint64))), dtype=np.uint64)
 
     def __call__(self, b: np.ndarray) -> np.ndarray:
         self._grow(len(b) + 1)
