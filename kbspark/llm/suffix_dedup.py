@@ -293,9 +293,10 @@ def repeated_ranges(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("doc_id", "text_id", "start").mapInArrow(scan, RANGES)
 
 
-def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), and the
-    other columns of ``docs``, of every document.
+def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with
+    ``whole_characters``, without what is left of a character that a cut went
+    through), and the other columns of ``docs``, of every document.
 
     A null text is empty and stays so; texts of fewer than ``length`` bytes lose
     nothing. A repeated row is judged once and gets the same result each time;
@@ -338,8 +339,10 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
                             at = b
                         elif b > at:
                             removed, at = removed + b - at, b
-                    kept.append(text[at:])
-                    out.append((doc, len(text), removed, n, b"".join(kept)))
+                    rest = b"".join((*kept, text[at:]))
+                    if n and whole_characters:
+                        rest = rest.decode("utf-8", "ignore").encode()
+                    out.append((doc, len(text), removed, n, rest))
                 base = batch_of(out, ", ".join(f"{c} {k}" for c, k in kinds.items()))
                 yield pa.RecordBatch.from_arrays([*base.columns, *(part.column(j) for j in range(3, part.num_columns))], names=[*result, *extra])
 
@@ -353,8 +356,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     """
     own = {c: f"__kb_{i}" for i, c in enumerate(docs.columns) if c not in (id_col, text_col)}
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(text_col).isNull().alias("__kb_null"), *(F.col(c).alias(n) for c, n in own.items()))
-    cut = cut_repeats(plain, length)
-    left = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
-    text = F.when(F.col("__kb_null"), F.lit(None)).otherwise(left)
-    rows = cut.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\\S"))
+    cut = cut_repeats(plain, length, whole_characters=True)
+    text = F.when(F.col("__kb_null"), F.lit(None)).otherwise(F.col("kept").cast("string"))
+    rows = cut.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return rows.select(*(F.col({id_col: "doc_id", text_col: "text"}.get(c) or own[c]).alias(c) for c in docs.columns))
