@@ -90,29 +90,29 @@ def _anchors(text: bytes, length: int, roll: Roller, base: int) -> list[np.ndarr
     return [h[at[first]], at[first] + base, first + base, last + base]
 
 
-def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """h, doc_id, text_id, at, n of every anchor. A block of documents tells its
-    first of several equal anchors with their number, and those besides without
-    h, as they are known to be repeated: so a frequent anchor is few rows per h."""
-    schema = "h long, doc_id long, text_id long, at int, n long"
+def anchor_rows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """h, the ``keys`` of a document, at_n (n << 32 | place) of every anchor. A block
+    of documents tells its first of several equal anchors with their number, and
+    those besides without h, as they are known to be repeated: so a frequent
+    anchor is few rows per h."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        h, doc, text_id, at = (np.concatenate(x) for x in zip(*held))
+        h, at, *ids = (np.concatenate(x) for x in zip(*held))
         _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        counted, known = first, np.flatnonzero(n[of] > 1)
-        rows = np.concatenate((counted, known))
-        blank = np.arange(len(rows)) >= len(counted)
+        known = np.flatnonzero(n[of] > 1)
+        rows = np.concatenate((first, known))
+        blank = np.arange(len(rows)) >= len(first)
         number = np.concatenate((n, np.zeros(len(known), n.dtype)))
-        return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64), mask=blank), pa.array(doc[rows]), pa.array(text_id[rows]), pa.array(at[rows].astype(np.int32)), pa.array(number)], names=["h", "doc_id", "text_id", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64), mask=blank), *(pa.array(x[rows]) for x in ids), pa.array(number << 32 | at[rows])], names=["h", *keys, "at_n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, held, size = Roller(ANCHOR_BYTES), [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                for doc, text_id, text in zip(*(c[i : i + 256].to_pylist() for c in batch.columns)):
-                    h, at, _, _ = anchors(text or b"", length, roll)
+                for *ids, text in zip(*(c[i : i + 256].to_pylist() for c in batch.columns)):
+                    h, at, _, _ = anchors(text, length, roll)
                     if len(h):
-                        held.append((h, np.full(len(h), doc), np.full(len(h), text_id), at))
+                        held.append((h, at, *(np.full(len(h), x) for x in ids)))
                         size += len(h)
                     if size > 500_000:
                         yield flush(held)
@@ -120,24 +120,27 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.select("doc_id", "text_id", "text").mapInArrow(emit, schema)
+    return rows.select(*keys, "text").mapInArrow(emit, ", ".join(f"{c} long" for c in ("h", *keys, "at_n")))
 
 
 PIECES = "key long, doc_id long, text_id long, start int, n int, piece binary"
 
 
 def piece_rows(marked: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """The pieces of documents (doc_id, text_id, text, at: places of repeated
-    anchors): key, doc_id, text_id, start and n (first window, windows), piece. A
-    piece that the task has sent for an earlier document has no bytes and a key
-    of its own: its windows are known to be repeated."""
+    """The pieces of documents (at: places of repeated anchors): key, doc_id,
+    text_id, start and n (first window, windows), piece. Pieces that the task has
+    sent for an earlier document have no bytes: their windows are known to be
+    repeated, and those next to each other are one row, keyed by the document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, whole, seen = Roller(ANCHOR_BYTES), Roller(length), {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 out = []
-                for doc, text_id, text, places in zip(*(c[i : i + 256].to_pylist() for c in batch.columns)):
+                part = batch.slice(i, 256)
+                names = part.schema.names
+                text_ids = part.column("text_id").to_pylist() if "text_id" in names else [0] * part.num_rows
+                for doc, text_id, text, places in zip(part.column("doc_id").to_pylist(), text_ids, part.column("text").to_pylist(), part.column("at").to_pylist()):
                     h, at, first, last = anchors(text, length, roll)
                     pick = np.isin(at, np.array(places))
                     h, first, last = h[pick], first[pick], last[pick]
@@ -150,7 +153,10 @@ def piece_rows(marked: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                         piece = text[a : b + length]
                         d, here = xxhash.xxh3_128_digest(piece), (doc, text_id, a)
                         if d in seen and seen[d] < here:
-                            out.append((doc, doc, text_id, a, b - a + 1, None))
+                            if out and out[-1][5] is None and out[-1][1:3] == (doc, text_id) and out[-1][3] + out[-1][4] == a:
+                                out[-1] = (*out[-1][:4], b - out[-1][3] + 1, None)
+                            else:
+                                out.append((doc, doc, text_id, a, b - a + 1, None))
                         else:
                             if len(seen) >= SEEN:
                                 seen.clear()
@@ -158,7 +164,7 @@ def piece_rows(marked: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                             out.append((key, doc, text_id, a, b - a + 1, piece))
                 yield batch_of(out, PIECES)
 
-    return marked.select("doc_id", "text_id", "text", "at").mapInArrow(emit, PIECES)
+    return marked.mapInArrow(emit, PIECES)  # of all columns: the exchange of the texts then serves both joins
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -225,13 +231,15 @@ class IndexFamily:
         of them came before, in an earlier batch or at an earlier window."""
         words = _words(text)
         rank, span = _ranks(words), 8  # a suffix array by prefix doubling, as deep as needed
-        while 2 * span <= self.length:
+        while 4 * span <= self.length:
             rank = _ranks(rank[: len(rank) - span] * len(words) + rank[span:])
             span *= 2
-        if rest := self.length - span:
-            rank = rank[windows] * len(words) + rank[windows + rest]
-        else:
-            rank = rank[windows]
+        # from here on for the windows alone: up to four strings of ``span`` bytes cover one
+        parts = [windows + min(j, self.length - span) for j in range(0, self.length, span)]
+        two = [_ranks(rank[a] * len(words) + rank[b]) for a, b in zip(parts[::2], parts[1::2])] + ([rank[parts[-1]]] if len(parts) % 2 else [])
+        rank = two[0]
+        for more in two[1:]:
+            rank = _ranks(rank) * len(words) + more
         order = np.argsort(rank, kind="stable")
         ordered = rank[order]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
@@ -309,12 +317,15 @@ def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
     extra = [c for c in docs.columns if c not in (id_col, text_col) and c not in names]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"), *extra)
     clash = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo <> hi").limit(1).count()
-    rows = rows.withColumn("text_id", F.xxhash64("text") if clash else F.lit(0).cast("long"))
-    known, keys = rows.where("doc_id is not null"), ["doc_id", "text_id"] if clash else ["doc_id"]
-
-    place = F.coalesce("h", F.xxhash64("doc_id", "at"))
-    counted = anchor_rows(known, length).withColumn("total", F.sum("n").over(Window.partitionBy(place)))
-    repeated = stored(counted.where("h is null or total > 1").select("doc_id", "text_id", "at", F.when(F.col("total") > HOT_PIECES, F.col("h")).alias("hot"), "total"), "repeated")
+    keys = ["doc_id"]
+    if clash:
+        rows, keys = rows.withColumn("text_id", F.xxhash64("text")), ["doc_id", "text_id"]
+    known = rows.where("doc_id is not null")
+
+    counted = anchor_rows(known, keys, length).withColumn("n", F.shiftright("at_n", 32))
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.coalesce("h", F.xxhash64("doc_id", "at_n")))))
+    at = F.col("at_n").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
+    repeated = stored(counted.where("h is null or total > 1").select(*keys, at, F.when(F.col("total") > HOT_PIECES, F.col("h")).alias("hot"), F.when(F.col("total") > HOT_PIECES, F.col("total")).alias("total")), "repeated")
     frequent = repeated.where("hot is not null").groupBy("hot").agg(F.max("total").alias("total")).orderBy(F.desc("total")).limit(HOT_MOST)
     hot = np.array([r.hot for r in frequent.collect()], np.int64).view(np.uint64)
 
