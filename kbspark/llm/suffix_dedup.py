@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from kbspark.llm.common import batch_of, stored, utf8
 from kbspark.llm.shingles import mix
@@ -315,7 +316,9 @@ def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
     spark = docs.sparkSession
     names = {"doc_id", "text_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "at", "cuts"}
     extra = [c for c in docs.columns if c not in (id_col, text_col) and c not in names]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"), *extra)
+    # a column that is right already stays bare: an alias on one side would keep the joins from sharing their exchange
+    the_id = F.col("doc_id") if id_col == "doc_id" and docs.schema["doc_id"].dataType == LongType() else F.col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(the_id, F.coalesce(utf8(text_col), F.lit(b"")).alias("text"), *extra)
     clash = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo <> hi").limit(1).count()
     keys = ["doc_id"]
     if clash:
