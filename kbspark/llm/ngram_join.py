@@ -113,7 +113,7 @@ def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
 
 def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
     """What each set has to look up: key, side (whether sets are to have the key
-    as a ``short`` one), doc_id, size, centre (the smallest such set)."""
+    as a ``short`` one), doc_id, band, centre (the smallest such set)."""
     top = 52  # beyond the 30 bits of a size
     least = [bands.upper(b) for b in range(top)]
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("band") + 1)
@@ -132,30 +132,51 @@ def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
     units = Window.partitionBy("doc_id", "band")
     chosen = whole.unionByName(close).select(
         "*", (needed - (ties + deep - F.count("*").over(units))).alias("missing"), F.row_number().over(units.orderBy("cost", "unit", "segment")).alias("rank")).where("rank <= missing")
-    return chosen.select("doc_id", F.col("size").cast("long").alias("size"), F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "size", "l.centre")
+    return chosen.select("doc_id", "band", F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "band", F.col("l.centre.doc_id").alias("centre"))
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Texts of ``b`` travel to those of ``a``, of which a few can have most pairs."""
+def candidate_sets(texts: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """doc_id, band, size, sketch, and on the row of its own band also the set, of each document (doc_id, text)."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[bytes, np.ndarray] = {}
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 out = []
-                for r in batch.slice(i, 512).to_pylist():
-                    if r["text_a"] not in sets:
-                        if len(sets) > 64:
-                            sets.clear()
-                        sets[r["text_a"]] = shingle_set(r["text_a"], k)
-                    x, y = sets[r["text_a"]], shingle_set(r["text_b"], k)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    if bands.den * both >= bands.num * (len(x) + len(y) - both) > 0:
-                        out.append((r["a"], r["b"]))
-                yield batch_of(out, "a long, b long")
+                for doc_id, text in zip(batch.column(0)[i : i + 512].to_pylist(), batch.column(1)[i : i + 512].to_pylist()):
+                    s = shingle_set(text, k)
+                    own = bands.of_size(len(s))
+                    for band in dict.fromkeys([own, *(b for b, _ in bands.probes(len(s)))]):
+                        out.append((doc_id, band, len(s), bands.sketch(s, band).tolist(), s.tobytes() if band == own else None))
+                columns = list(zip(*out)) or [()] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "band", "size", "sketch", "items"])
+
+    return texts.mapInArrow(emit, "doc_id long, band int, size long, sketch array<long>, items binary")
+
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long").distinct()
+def may_fit(bands: Bands, size_a: str, sketch_a: str, size_b: str, sketch_b: str) -> Column:
+    """Whether sizes and sketches leave it open that two sets are similar."""
+    total = F.col(size_a) + F.col(size_b)
+    differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (F.least(size_a, size_b) * bands.den >= F.greatest(size_a, size_b) * bands.num) & (differ * (bands.den + bands.num) <= total * (bands.den - bands.num))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets of ``b`` travel to those of ``a``, of which a few can have most pairs."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if bands.den * both >= bands.num * (len(x) + len(y) - both) > 0:
+                    out.append((a, b))
+            yield batch_of(out, "a long, b long")
+
+    whole = sets.where("items is not null")
+    with_b = pairs.join(whole.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
+    return with_b.join(whole.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, deep: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,8 +195,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     info = stored(set_digests(rows, k), "sets")
     classes = info.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     info = stored(info.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    rep_of = info.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    one_id = info.where("doc_id is not null").join(rep_of.withColumnRenamed("rep", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    # a document stands for its class of equal sets; one with several texts for itself alone, linked with their classes
+    rep_of = info.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.min("rep") == F.max("rep"), F.min("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    one_id = info.join(rep_of.withColumnRenamed("rep", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
 
     buckets = bucketed(known, k, bands, deep)
     look = stored(probes(buckets, bands, deep), "probes")
@@ -184,35 +206,44 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     def by_rep(df: DataFrame, column: str) -> DataFrame:
         return df.join(member, F.col(column) == F.col("member")).drop("member", column).withColumnRenamed("rep", column)
 
-    def fitting(a: str, b: str) -> Column:
-        return (F.least(a, b) * den >= F.greatest(a, b) * num)
+    # the sets and sketches of whoever may be tested: those that look up, and those that are found
+    index = buckets.where("own = 1").select("key", (F.col("short") == 1).alias("side"), "doc_id", "band")
+    index = stored(by_rep(index.join(look.select("key", "side").distinct(), ["key", "side"], "left_semi"), "doc_id").distinct(), "index")
+    look = stored(by_rep(by_rep(look, "doc_id"), "centre").distinct(), "look")
+    tested = look.select("doc_id").unionByName(index.select("doc_id")).distinct()
+    sets = stored(candidate_sets(known.join(tested, "doc_id", "left_semi"), k, bands), "candidates")
+    sketches = sets.select("doc_id", "band", "size", "sketch")
+
+    def sketched(p: str) -> DataFrame:
+        return sketches.select(F.col("doc_id").alias(p), "band", F.col("size").alias(p + "_size"), F.col("sketch").alias(p + "_sketch"))
+
+    def pair(p: str, q: str) -> tuple[Column, Column]:
+        return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
 
-    star = look.where((F.col("doc_id") != F.col("centre.doc_id")) & fitting("size", "centre.size")).select("doc_id", F.col("centre.doc_id").alias("centre")).distinct()
-    star = by_rep(by_rep(star, "doc_id"), "centre").where("doc_id <> centre")
-    star = stored(star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "star")
-    # whoever may be tested: those that look up, and those that are found
-    index = buckets.where("own = 1").select("key", (F.col("short") == 1).alias("side"), "doc_id", F.col("size").cast("long").alias("size"))
-    index = stored(index.join(look.select("key", "side").distinct(), ["key", "side"], "left_semi"), "index")
-    tested = by_rep(look.select("doc_id").unionByName(index.select("doc_id")).distinct(), "doc_id").distinct()
-    texts = stored(known.join(tested, "doc_id", "left_semi"), "texts")
-    linked = stored(similar_pairs(star, texts, k, bands), "links")
+    star = look.where("doc_id <> centre").select(F.col("doc_id").alias("p"), "band", F.col("centre").alias("q")).distinct()
+    star = star.join(sketched("p"), ["p", "band"]).join(sketched("q"), ["q", "band"]).where(may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")).select(*pair("p", "q")).distinct()
+    star = stored(star, "star")
+    linked = stored(similar_pairs(star, sets, bands), "links")
 
     label = components(linked)
 
     def labelled(df: DataFrame) -> DataFrame:
-        return by_rep(df, "doc_id").distinct().join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
+        return df.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
 
-    ask, have = stored(labelled(look.drop("centre")), "ask"), stored(labelled(index), "have")
-    mixed = ask.unionByName(have).groupBy("key", "side").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "side")
     on = ["key", "side"]
-    ask, have = ask.join(mixed, on, "left_semi"), have.join(mixed, on, "left_semi")
-    groups = lambda df, p: df.groupBy("key", "side", F.col("comp").alias(p)).agg(F.min("size").alias(p + "_min"), F.max("size").alias(p + "_max"))
-    met = groups(ask, "x").join(groups(have, "y"), on).where((F.col("x") != F.col("y")) & (F.col("y_min") <= F.col("x_max")) & (F.col("y_max") * den >= F.col("x_min") * num)).select("key", "side", "x", "y")
-    left = ask.select("key", "side", F.col("comp").alias("x"), F.col("doc_id").alias("p"), F.col("size").alias("p_size"))
-    right = have.select("key", "side", F.col("comp").alias("y"), F.col("doc_id").alias("q"), F.col("size").alias("q_size"))
-    cross = left.join(met, ["key", "side", "x"]).join(right, ["key", "side", "y"]).where((F.col("q_size") <= F.col("p_size")) & fitting("q_size", "p_size"))
-    cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    late = stored(similar_pairs(stored(cross, "cross"), texts, k, bands), "links")
+    ask, have = labelled(look.drop("centre").distinct()), labelled(index)
+    # in a bucket of several components, whoever isn't of its main one meets all others: pairs within a component aren't formed
+    counted = ask.unionByName(have).groupBy(*on, "comp").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy(on).agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mixed = stored(mixed, "mixed")
+    left = stored(ask.join(mixed, on).withColumnsRenamed({"doc_id": "p", "comp": "x"}).join(sketched("p"), ["p", "band"]), "ask").drop("band")
+    right = stored(have.join(mixed, on).withColumnsRenamed({"doc_id": "q", "comp": "y"}).join(sketched("q"), ["q", "band"]), "have").drop("band")
+    open_ = (F.col("x") != F.col("y")) & (F.col("q_size") <= F.col("p_size")) & may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.side") == F.col("r.side"))
+    minor = left.where("x <> main").alias("l").join(right.alias("r"), same & open_).select(*pair("p", "q"))
+    major = left.where("x = main").alias("l").join(right.where("y <> main").alias("r"), same & open_).select(*pair("p", "q"))
+    cross = minor.unionByName(major).distinct().join(star, ["a", "b"], "left_anti")
+    late = stored(similar_pairs(stored(cross, "cross"), sets, bands), "links")
 
     final = components(linked.unionByName(late).unionByName(one_id))
     return info.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

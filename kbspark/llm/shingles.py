@@ -29,9 +29,9 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(k, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
-    for j in range(n):
-        h = mix(h * _C1 + w[j : j + len(h)])
-    return np.unique(h)
+    for j in range(n):  # words are hashed, so a polynomial of their hashes is enough
+        h = h * _C1 + w[j : j + len(h)]
+    return np.unique(mix(h))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -105,3 +105,12 @@ class Bands:
         some = np.flatnonzero(of < deep)
         short = mix(sums[of[some]] - g[some] + (count[of[some]] - 1).astype(np.uint64) * _C1 + base[of[some]])
         return numbers.astype(np.int64), keys.view(np.int64), of[some], short.view(np.int64)
+
+    def sketch(self, s: np.ndarray, band: int) -> np.ndarray:
+        """Parities of the numbers of elements that fall on each of 64 * k bits, k by
+        the band. Two sets' sketches differ in no more bits than the sets in elements."""
+        bits = 64
+        while bits < self.upper(band):
+            bits *= 2
+        at = (mix(s ^ _C2) % np.uint64(bits)).astype(np.int64)
+        return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
