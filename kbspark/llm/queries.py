@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontaminate, langid, ngram_join, packing, quality_rules, records, sharding, suffix_dedup, urls
+from kbspark.llm import decontaminate, langid, ngram_join, packing, quality_rules, records, sharding, suffix_dedup, urls, weak_quality
 from kbspark.llm.common import table
 
 OP9_SQL = r"""
@@ -55,6 +55,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_starts(records.read_records(index), index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op6_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
