@@ -1 +1 @@
-
+"""Whole runs put together from operators."""

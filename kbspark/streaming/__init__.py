@@ -1 +1 @@
-
+"""The same steps over streams of new rows."""
