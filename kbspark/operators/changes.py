@@ -30,7 +30,7 @@ def deleted(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def scan_counts(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: total, changed, deleted, unchanged; total is changed and unchanged."""
     found = scan_changes(files, manifest).agg(F.count("*").alias("total"), F.count_if(F.col("status") != "unchanged").alias("changed"), F.count_if(F.col("status") == "unchanged").alias("unchanged"))
-    return found.crossJoin(deleted(files, manifest).agg(F.count("*").alias("deleted")))  # one row each
+    return found.withColumn("deleted", deleted(files, manifest).agg(F.count("*")).scalar())
 
 
 def tracked_changes(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def tracked_changes(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def manifest_stats(files: DataFrame, commits: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row: n_files, n_commits, n_patterns, last_scan (null without files)."""
     counts = files.agg(F.count("*").alias("n_files"), F.max("scanned").alias("last_scan"))
-    return counts.crossJoin(commits.agg(F.count("*").alias("n_commits"))).crossJoin(patterns.agg(F.count("*").alias("n_patterns")))
+    return counts.withColumns({"n_commits": commits.agg(F.count("*")).scalar(), "n_patterns": patterns.agg(F.count("*")).scalar()})
 
 
 def invalidated_patterns(files: DataFrame, manifest: DataFrame) -> DataFrame:

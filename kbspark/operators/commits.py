@@ -105,5 +105,5 @@ def commits_since(manifest: DataFrame, sha: str) -> DataFrame:
 def commit_counts(commits: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: total (without merges), processed (the manifest's size), unprocessed."""
     plain = skip_merges(commits)
-    rest = unprocessed(plain, manifest).agg(F.count("*").alias("unprocessed"))
-    return plain.agg(F.count("*").alias("total")).crossJoin(manifest.agg(F.count("*").alias("processed"))).crossJoin(rest)
+    rest = unprocessed(plain, manifest).agg(F.count("*")).scalar()
+    return plain.agg(F.count("*").alias("total")).withColumns({"processed": manifest.agg(F.count("*")).scalar(), "unprocessed": rest})

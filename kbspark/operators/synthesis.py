@@ -172,6 +172,6 @@ def synthesize(clustered: DataFrame) -> DataFrame:
 def report(clustered: DataFrame) -> DataFrame:
     """One row: n_inputs, n_outputs, n_conflicts, n_resolved, n_manual, output_ratio_pct (100 at most), models."""
     ends = clustered.agg(F.count("*").alias("n_inputs"), F.countDistinct("cluster_id").alias("n_outputs"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
-    votes = vote(conflicts(clustered)).agg(F.count("*").alias("n_conflicts"), F.count_if(F.col("kind") != "keep_all").alias("n_resolved"), F.count_if(F.col("kind") == "keep_all").alias("n_manual"))
+    votes = vote(conflicts(clustered)).agg(F.struct(F.count("*").alias("n_conflicts"), F.count_if(F.col("kind") != "keep_all").alias("n_resolved"), F.count_if(F.col("kind") == "keep_all").alias("n_manual")))
     pct = F.when(F.col("n_inputs") > 0, F.least(F.lit(100.0), F.col("n_outputs") * 100.0 / F.col("n_inputs"))).otherwise(100.0)
-    return ends.crossJoin(votes).withColumn("output_ratio_pct", pct.cast("double"))  # one row each
+    return ends.withColumn("votes", votes.scalar()).select("*", "votes.*", pct.cast("double").alias("output_ratio_pct")).drop("votes")

@@ -59,9 +59,9 @@ class KnowledgeBase:
     def status(self, files: DataFrame, history: DataFrame) -> DataFrame:
         """One row of structs: files, commits, knowledge and whether all is up to date."""
         scan = changes.scan_counts(files, self.table("files", FILES)).select(F.struct("*").alias("files"))
-        walk = commits.commit_counts(history, self.table("commits", COMMITS)).select(F.struct("*").alias("commits"))
-        known = search.status_counts(self.entries()).select(F.struct("*").alias("knowledge"))
-        row = scan.crossJoin(walk).crossJoin(known)  # one row each
+        walk = commits.commit_counts(history, self.table("commits", COMMITS)).select(F.struct("*"))
+        known = search.status_counts(self.entries()).select(F.struct("*"))
+        row = scan.withColumns({"commits": walk.scalar(), "knowledge": known.scalar()})
         return row.withColumn("up_to_date", (F.col("files.changed") == 0) & (F.col("files.deleted") == 0) & (F.col("commits.unprocessed") == 0))
 
     def pending(self, files: DataFrame, history: DataFrame, deltas: DataFrame, full: bool = False) -> dict[str, DataFrame]:

@@ -374,8 +374,8 @@ def commit_status(spark, sf_dir):
 SELECT left(hash, 7) AS short_hash, pos, greatest((SELECT count(*) FROM u) - 20, 0) AS more FROM u ORDER BY pos DESC LIMIT 20""")
 def status_commits(spark, sf_dir):
     u = commits.unprocessed(commits.skip_merges(view(spark, sf_dir, "commits")), view(spark, sf_dir, "manifest_commits"))
-    more = u.agg(F.greatest(F.count("*") - 20, F.lit(0)).alias("more"))
-    return u.orderBy(F.desc("pos")).limit(20).select(F.left("hash", F.lit(7)).alias("short_hash"), "pos").crossJoin(more)  # of one row
+    more = u.agg(F.greatest(F.count("*") - 20, F.lit(0))).scalar()
+    return u.orderBy(F.desc("pos")).limit(20).select(F.left("hash", F.lit(7)).alias("short_hash"), "pos", more.alias("more"))
 
 
 # -- synthesis ------------------------------------------------------------
