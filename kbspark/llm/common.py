@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="kbspark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -26,8 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="kbspark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local_folder()
     return path.rstrip("/")
 
 
@@ -56,3 +61,15 @@ def batch_of(rows: Sequence[tuple], schema: str) -> pa.RecordBatch:
     named = [x.split() for x in schema.split(", ")]
     columns = list(zip(*rows)) or [()] * len(named)
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, named)], names=[n for n, _ in named])
+
+
+_STATE: dict[str, object] = {}
+
+
+def worker_state(owner: str, make=dict):
+    """What a Python worker keeps between its tasks, for one owner at a time: a
+    worker that goes on to another operator first lets go of the last one's."""
+    if owner not in _STATE:
+        _STATE.clear()
+        _STATE[owner] = make()
+    return _STATE[owner]

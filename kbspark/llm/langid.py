@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, utf8
+from kbspark.llm.common import batch_of, utf8, worker_state
 
 DIM = 1 << 13
 #: Languages that a model holds at most (the most frequent), 128 KB each.
@@ -48,9 +48,19 @@ def trigram_counts(text: bytes) -> np.ndarray:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of damped counts times idf, of length 1 (0 for a row of zeros)."""
-    x = np.log1p(counts, dtype=np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    """Rows of damped counts times idf, of length 1 (0 for a row of zeros); in the place of ``counts``."""
+    x = np.log1p(counts, out=counts)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
+
+
+def counted(texts: list[bytes]) -> np.ndarray:
+    """The trigram counts of texts, a row each."""
+    out = np.empty((len(texts), DIM), np.float32)
+    for row, t in zip(out, texts):
+        row[:] = trigram_counts(t)
+    return out
 
 
 @dataclass
@@ -67,7 +77,7 @@ class Model:
         some = [i for i, t in enumerate(texts) if has_letter(t)]
         if not self.languages or not some:
             return out
-        x = vectors(np.stack([trigram_counts(texts[i]) for i in some]), self.idf)
+        x = vectors(counted([texts[i] for i in some]), self.idf)
         cosine = x @ self.centroids.T
         best = cosine.argmax(axis=1)
         for i, k, c in zip(some, best.tolist(), cosine[np.arange(len(some)), best].tolist()):
@@ -96,6 +106,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     + 1 sums are gathered."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("langid")
         df = np.zeros(DIM + 1, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -111,7 +122,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return sums[:DIM], int(sums[DIM])
 
 
-def fit(training: DataFrame, sample: int = 1500, clusters: int = 4, slack: float = 0.5) -> Model:
+def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float = 0.5) -> Model:
     """A model of ``training`` (text as bytes, lang); rows without lang or letters teach nothing.
 
     Texts are accepted down to ``slack`` times the lowest cosine in the sample.
@@ -127,10 +138,11 @@ def fit(training: DataFrame, sample: int = 1500, clusters: int = 4, slack: float
     schema = "lang string, least double, centroids binary"
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [trigram_counts(t) for t in map(bytes, pdf["text"]) if has_letter(t)]
-        if not counts:
+        worker_state("langid")
+        texts = [t for t in map(bytes, pdf["text"]) if has_letter(t)]
+        if not texts:
             return pd.DataFrame({"lang": [], "least": [], "centroids": []})
-        x = vectors(np.stack(counts), idf)
+        x = vectors(counted(texts), idf)
         c = cluster(x, clusters)
         least = float((x @ c.T).max(axis=1).min()) * slack
         return pd.DataFrame({"lang": [key[0]], "least": [least], "centroids": [c.tobytes()]})
@@ -165,9 +177,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("langid")
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                ids, held, texts = (c[i : i + 256].to_pylist() for c in batch.columns)
+            for i in range(0, batch.num_rows, 128):
+                ids, held, texts = (c[i : i + 128].to_pylist() for c in batch.columns)
                 yield batch_of([(d, h, *p) for d, h, p in zip(ids, held, shared.value.predict(texts))], schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(id_col).alias("held_out"), utf8(text_col).alias("text")).mapInArrow(judge, schema)
@@ -178,9 +191,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("langid")
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
                 texts = [None if t is None else t.encode() for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([not rejected for _, _, rejected in shared.value.predict(texts)], pa.bool_()))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, stored, utf8
+from kbspark.llm.common import batch_of, stored, utf8, worker_state
 from kbspark.llm.graph import components
 from kbspark.llm.shingles import Bands, digest, shingle_set
 
@@ -49,6 +49,7 @@ def set_digests(docs: DataFrame, k: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, d1 long, d2 long"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ngram_join")
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 sets = [shingle_set(t, k) for t in batch.column(1)[i : i + 1024].to_pylist()]
@@ -61,6 +62,7 @@ def segment_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     """key, doc_id, meta of every set; a task leaves out copies of sets it has had."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ngram_join")
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

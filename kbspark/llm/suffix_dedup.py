@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kbspark.llm.common import batch_of, stored, utf8
+from kbspark.llm.common import batch_of, stored, utf8, worker_state
 from kbspark.llm.shingles import mix
 
 #: Bytes of the strings among which a window's anchor is chosen.
@@ -107,6 +107,7 @@ def anchor_rows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64), mask=blank), *(pa.array(x[rows]) for x in ids), pa.array(number << 32 | at[rows])], names=["h", *keys, "at_n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
         roll, held, size = Roller(ANCHOR_BYTES), [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from kbspark.llm.common import worker_state
+
 #: Chunks that a worker remembers, and as many older ones; about 150 MB in all.
 CACHE_CHUNKS = 500_000
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -43,6 +45,11 @@ class ChunkTokenizer:
         self.cache_chunks = cache_chunks
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
+        self.ends = None  # by id: whether the token ends a word, if the vocabulary tells
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -50,14 +57,14 @@ class ChunkTokenizer:
     def _ask(self, chunks: list[str]) -> None:
         """Have the library encode ``chunks``: words of letters alone many to a
         text, as each is one word to the tokenizer, the others one by one."""
-        words = [c for c in chunks if c.isalpha()]
-        for i in range(0, len(words), 200):
-            some = words[i : i + 200]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            first = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)) * self.width
-            if len(first) == len(some):
-                ids, ends = self._pack(e.ids), [*first[1:].tolist(), len(e.ids) * self.width]
-                self.cache.update(zip(some, (ids[a:b] for a, b in zip(first.tolist(), ends))))
+        words = [c for c in chunks if c.isalpha()] if self.ends is not None else []
+        many = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for some, e in zip(many, self.tokenizer.encode_batch_fast([" ".join(x) for x in many], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            last = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(last) == len(some):
+                packed = ids.tobytes()
+                self.cache.update(zip(some, (packed[a:b] for a, b in zip([0, *last], last))))
         rest = [c for c in chunks if c not in self.cache]
         self.cache.update(zip(rest, (self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
 
@@ -98,11 +105,6 @@ class ChunkTokenizer:
         return out
 
 
-_LOADED: dict[str, ChunkTokenizer] = {}
-
-
 def load(path: str) -> ChunkTokenizer:
     """The worker's tokenizer for ``path``, its cache kept between tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTokenizer(path)
-    return _LOADED[path]
+    return worker_state(f"tokens {path}", lambda: ChunkTokenizer(path))
