@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="kbspark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; set here only where it is unset in a local session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="kbspark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local_folder()
     return path.rstrip("/")
 
 
