@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 def ring_points(spark, shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
     """(position, shard) of every virtual node in ring order; a fixed, small number."""
+    shard = F.floor(F.col("id") / vnodes)  # a node's place depends on its shard and number alone, not on how many shards there are
     node = spark.range(shards * vnodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"),
-        F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit("ring")), 64 - ring_bits).alias("position"),
+        shard.cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(shard, F.col("id") % vnodes, F.lit("ring")), 64 - ring_bits).alias("position")
     )
     return sorted((r.position, r.shard) for r in node.collect())
 
