@@ -120,7 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES_SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, salts: int = 128) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, salts: int = 32) -> DataFrame:
     """Add sequence_id and offset to stored ``pieces`` (doc_id, piece, length, ...).
 
     Pieces of the full capacity need no partner and get sequences of their own

@@ -17,8 +17,8 @@ import numpy as np
 
 from kbspark.llm.common import worker_state
 
-#: Chunks that a worker remembers, and as many older ones; about 150 MB in all.
-CACHE_CHUNKS = 500_000
+#: Chunks that a worker remembers, and as many older ones; about 200 MB in all.
+CACHE_CHUNKS = 700_000
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
