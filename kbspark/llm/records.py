@@ -135,7 +135,7 @@ def read_records(index: DataFrame) -> DataFrame:
             src.close()
 
     files = (index.agg(F.max("part")).first()[0] or 0) + 1
-    return index.select("file", "part", "within", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS_SCHEMA)
+    return index.select("file", "part", "within", "offset", "length").repartitionByRange(files, "part", "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS_SCHEMA)
 
 
 def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
