@@ -122,7 +122,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return sums[:DIM], int(sums[DIM])
 
 
-def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float = 0.5) -> Model:
+def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float = 0.25) -> Model:
     """A model of ``training`` (text as bytes, lang); rows without lang or letters teach nothing.
 
     Texts are accepted down to ``slack`` times the lowest cosine in the sample.
