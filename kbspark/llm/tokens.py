@@ -70,12 +70,14 @@ class ChunkTokenizer:
 
     def _learn(self, new: set[str]) -> None:
         """Look up chunks that aren't in the cache. A comma or full stop after a
-        letter is always a piece of its own, so the word before it is enough."""
+        Latin letter is always a piece of its own, so the word before it is
+        enough. (Normalising ends some other letters with a mark, which goes with
+        the stop; so does lower case with a capital I with a dot.)"""
         cache, older = self.cache, self.older
         known = [c for c in new if c in older]
         cache.update((c, older[c]) for c in known)
         new = new.difference(known)
-        cut = {c: c[:-1] for c in new if c[-1] in ",." and len(c) > 1 and c[-2].isalpha()}
+        cut = {c: c[:-1] for c in new if c[-1] in ",." and len(c) > 1 and c[-2].isalpha() and c[-2] < "\u0250" and c[-2] != "İ"}
         self._ask([c for c in {cut.get(c, c) for c in new}.union(",.") if c not in cache])
         cache.update((c, cache[word] + cache[c[-1]]) for c, word in cut.items())
 

@@ -30,6 +30,11 @@ def test_chunks_are_the_whole(texts):
     assert [np.frombuffer(x, CHUNKED.dtype).tolist() for x in got] == [ids_of(t) for t in texts]
 
 
+@pytest.mark.parametrize("text", ["İ.", "aİ, b", "\u0958.", "e\u0301. é.", "Σς. ß, ŉ.", "1. a1. _. a_, b", "don't. ''s."])
+def test_letters_before_stops(text):
+    assert np.frombuffer(CHUNKED.encode([text])[0], CHUNKED.dtype).tolist() == ids_of(text)
+
+
 def test_special_tokens_and_nulls():
     assert [np.frombuffer(x, CHUNKED.dtype).tolist() for x in CHUNKED.encode([None, "", "a <|endoftext|> b"])] == [[], [], ids_of("a <|endoftext|> b")]
 
