@@ -56,7 +56,7 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_quality.classify(table(spark, sf_dir, "documents"))
+    return weak_quality.classify(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op6_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

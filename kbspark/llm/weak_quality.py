@@ -7,6 +7,10 @@ documents, estimates how likely each labeller votes how on good and on bad
 texts, and from that the posterior of each pattern. A linear scorer over hashed
 words and text shapes is then trained on a bounded sample towards the posteriors,
 and scores every document.
+
+Abuse is seen by a short list of English words and, where there are labels of
+toxic documents, by one more labeller per language, whose words are those that
+the labelled documents of the language have far more often in toxic ones.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, utf8
+from kbspark.llm.common import batch_of, stored, utf8
 
 # Words of abuse, and the symbols that prose has few of.
 ABUSE = frozenset((b"clown", b"disgusting", b"idiot", b"loser", b"moron", b"pathetic", b"scum", b"stupid", b"trash", b"worthless"))
@@ -32,6 +36,10 @@ _WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Bins of the scorer's weights, and the most rows of either kind that it is trained on.
 DIM, SAMPLE = 1 << 16, 10_000
 _CACHE_WORDS = 300_000
+#: A word of abuse is in at least so many toxic documents of its language, and so many times as frequent there as in clean ones.
+SUPPORT, RATIO = 3, 30
+#: Bits of the filter that keeps most texts without a label out of the shuffle.
+FILTER_BITS = 1 << 26
 
 
 @dataclass
@@ -47,9 +55,10 @@ class Shape:
     ends: float  # words that end a sentence, per word
     abuse: int  # words of abuse
     kinds: int  # different words of abuse
+    learned: int = 0  # different words of the language's learned lexicon
 
 
-def shape_of(text: bytes) -> tuple[Shape, set[bytes]]:
+def shape_of(text: bytes, lexicon: frozenset[bytes] = frozenset()) -> tuple[Shape, set[bytes]]:
     """The figures of a text that labellers see, and its different words."""
     words = text.split()
     n = max(1, len(words))
@@ -66,12 +75,12 @@ def shape_of(text: bytes) -> tuple[Shape, set[bytes]]:
     marked = sum(1 for w in words if w.translate(None, _NO_SYMBOLS)) if symbols else 0
     ends = text.count(b". ") + text.count(b".\n") + text.count(b"? ") + text.count(b"! ") + text.rstrip().endswith((b".", b"?", b"!"))
     count = sum(low.count(w) for w in abuse)
-    return Shape(len(words), symbols / max(1, len(text)), marked / n, len(set(words)) / n, longest, big / max(1, big + small), text.count(b"!") / n, text.count(b"|") / n, ends / n, count, len(abuse)), plain
+    return Shape(len(words), symbols / max(1, len(text)), marked / n, len(set(words)) / n, longest, big / max(1, big + small), text.count(b"!") / n, text.count(b"|") / n, ends / n, count, len(abuse), len(plain & lexicon)), plain
 
 
 def votes(s: Shape) -> tuple[int, ...]:
     """The labellers' votes, 0 bad, 1 none, 2 good."""
-    clean = s.marked < 0.02 and s.bars == 0 and s.capitals < 0.3 and s.shouts < 0.1 and not s.abuse
+    clean = s.marked < 0.02 and s.bars == 0 and s.capitals < 0.3 and s.shouts < 0.1 and not s.abuse and not s.learned
     varied = s.words < 10 or (s.distinct > 0.25 and s.run < 5)
     bad = lambda x: 0 if x else 1
     return (
@@ -94,14 +103,68 @@ def pattern_of(v: tuple[int, ...]) -> int:
     return out
 
 
+def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, frozenset[bytes]]:
+    """The words of each language (null counts as an empty text) that tell toxic documents, from all that ``labels`` (doc_id, toxic) tells of.
+
+    A word is in at least SUPPORT toxic documents, RATIO times as frequent in
+    toxic ones as in clean ones, and too frequent there for chance: by Chernoff's
+    bound less than one word of the language would be. Equal texts of a language
+    count once, as toxic if one of them is.
+    """
+    known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    cell, bit = F.shiftright(place, 6).alias("cell"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 AS INT))")
+    marks = known.where("doc_id is not null").groupBy(cell).agg(F.bit_or(bit).alias("marks"))
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("lang", "text")).withColumn("cell", cell)
+    rows = rows.join(F.broadcast(marks), "cell").where(F.col("marks").bitwiseAND(bit) != 0).drop("cell", "marks")
+    # labels go to texts by their hashes, so that equal texts meet where the labels reach them and texts are exchanged once
+    known = rows.select("doc_id", "h").join(known.hint("merge"), "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"))
+    rows = rows.drop("doc_id").join(known.hint("merge"), "h").groupBy("h", "lang", "text").agg(F.max("toxic").alias("toxic")).select("lang", "text", "toxic")
+    schema = "lang string, word binary, toxic long, clean long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, bytes], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = batch_of([(*k, *n) for k, n in found.items()], schema)
+            found.clear()
+            return out
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                for language, text, toxic in zip(*(c[i : i + 512].to_pylist() for c in batch.columns)):
+                    for w in {b"", *_WORD.findall(text.lower())}:  # the empty word counts documents
+                        found.setdefault((language, w), [0, 0])[0 if toxic else 1] += 1
+                if len(found) > _CACHE_WORDS:
+                    yield flush()
+        yield flush()
+
+    words = rows.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = stored(words.where((F.col("toxic") + F.col("clean") >= SUPPORT) | (F.col("word") == b"")), "words")
+    totals = words.groupBy("lang").agg(F.max(F.when(F.col("word") == b"", F.col("toxic"))).alias("n_toxic"), F.max(F.when(F.col("word") == b"", F.col("clean"))).alias("n_clean"), F.count("*").alias("n_words"))
+    share, n = F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean")), F.col("toxic") + F.col("clean")
+    q = F.col("toxic") / n
+    evidence = n * (q * F.ln(q / share) + F.when(q < 1, (1 - q) * F.ln((1 - q) / (1 - share))).otherwise(0.0))
+    far = (F.col("toxic") >= SUPPORT) & (q > share) & (F.col("toxic") * F.col("n_clean") >= RATIO * F.col("clean") * F.col("n_toxic"))
+    picked = words.where(F.col("word") != b"").join(F.broadcast(totals), "lang").where(far & (evidence > F.ln("n_words"))).select("lang", "word")
+    out: dict[str, set[bytes]] = {}
+    for r in picked.collect():
+        out.setdefault(r.lang, set()).add(bytes(r.word))
+    return {language: frozenset(out[language] - ABUSE) for language in sorted(out)}
+
+
 def posteriors(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
     """The probability that a text with this pattern of votes is bad, by EM for
-    labellers that are independent given the class; starts from "any bad vote"."""
+    labellers that are independent given the class; starts from "any bad vote".
+    A pattern of k * PATTERNS more has a bad vote of the k-th language's labeller."""
     if not counts:
         return {}
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], np.float64)
-    v = np.array([[c // 3**k % 3 for k in reversed(range(12))] for c in codes])
+    languages = range(1, max(codes) // PATTERNS + 1)
+    v = np.array([[*(c // 3**k % 3 for k in reversed(range(12))), *(0 if c // PATTERNS == k else 1 for k in languages)] for c in codes])
     bad = np.where((v == 0).any(axis=1), 0.95, 0.05)
     for _ in range(rounds):
         logs = []
@@ -131,7 +194,7 @@ class Features:
         shape = (
             level(s.symbols, 0.002, 0.01, 0.03, 0.1), 8 + level(s.marked, 0.01, 0.05, 0.15, 0.5), 16 + level(s.distinct, 0.1, 0.2, 0.3, 0.5, 0.7) + 8 * (s.words >= 10), 32 + level(s.run, 2, 4, 8),
             40 + level(s.capitals, 0.1, 0.3, 0.5, 0.8), 48 + level(s.shouts, 0.05, 0.3), 56 + level(s.bars, 0, 0.1, 0.5), 64 + level(s.ends, 0.005, 0.02, 0.1, 0.3, 0.6), 72 + level(s.abuse, 0, 1, 3),
-            80 + level(s.words, 4, 9, 19, 49, 199), 88,
+            80 + level(s.words, 4, 9, 19, 49, 199), 88, *([96 + level(s.learned, 1, 3)] if s.learned else ()),
         )
         return np.array([*shape, *map(cache.__getitem__, words)], np.int32)
 
@@ -168,29 +231,39 @@ def _pass(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
     """doc_id, p_bad (what the labellers' votes say), score (the scorer's probability
     of a good text), kept (score of at least ``threshold``) of every document.
 
     A null text counts as empty; empty texts are bad for no labeller and get what
     the scorer says of no words. Repeated rows and null ids are judged as any
-    other; an empty table gives no rows; other columns are left out.
+    other; an empty table gives no rows; other columns are left out. With
+    ``labels`` (doc_id, toxic), words of abuse are learned for each language.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"))
-    patterns = _pass(rows, lambda _, ids, texts: [(pattern_of(votes(shape_of(t)[0])),) for t in texts], "pattern int")
+    found = {} if labels is None else toxic_words(docs, labels, id_col, text_col, lang_col)
+    lexicons = context.broadcast({language: (k * PATTERNS, words) for k, (language, words) in enumerate(found.items(), 1)})
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if found else F.lit("")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"), lang.alias("lang"))
+
+    def judged(text: bytes, language: str) -> tuple[Shape, set[bytes], int]:
+        place, lexicon = lexicons.value.get(language, (0, frozenset()))
+        s, words = shape_of(text, lexicon)
+        return s, words, pattern_of(votes(s)) + (place if s.learned else 0)
+
+    patterns = _pass(rows, lambda _, ids, texts, langs: [(judged(*x)[2],) for x in zip(texts, langs)], "pattern long")
     counts = {r.pattern: r["count"] for r in patterns.groupBy("pattern").count().collect()}  # PATTERNS rows at most
     bad = context.broadcast(posteriors(counts))
     n_bad = sum(n for c, n in counts.items() if bad.value[c] > 0.5)
     share = {True: min(1.0, sample / max(1, n_bad)), False: min(1.0, sample / max(1, sum(counts.values()) - n_bad))}
 
-    def sampled(features: Features, ids, texts) -> list[tuple]:
+    def sampled(features: Features, ids, texts, langs) -> list[tuple]:
         out = []
-        for text in texts:
+        for text, language in zip(texts, langs):
             draw = xxhash.xxh3_64_intdigest(text) / (1 << 64)
             if draw < max(share.values()):
-                s, words = shape_of(text)
-                p = bad.value[pattern_of(votes(s))]
+                s, words, pattern = judged(text, language)
+                p = bad.value[pattern]
                 if draw < share[p > 0.5]:
                     out.append((features.of(s, words).tobytes(), p))
         return out
@@ -199,12 +272,12 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_c
     chosen = _pass(rows, sampled, "features binary, p double").dropDuplicates(["features"]).limit(4 * sample).collect()
     weights = context.broadcast(train([(np.frombuffer(f, np.int32), p) for f, p in sorted((bytes(r.features), r.p) for r in chosen)]))
 
-    def score(features: Features, ids, texts) -> list[tuple]:
-        shapes = [shape_of(t) for t in texts]
-        each = [features.of(s, words) for s, words in shapes]
+    def score(features: Features, ids, texts, langs) -> list[tuple]:
+        shapes = [judged(*x) for x in zip(texts, langs)]
+        each = [features.of(s, words) for s, words, _ in shapes]
         at, row = np.concatenate(each), np.repeat(np.arange(len(each)), [len(f) for f in each])
         z = np.bincount(row, weights.value[at] * _inputs(at, row, len(each)), len(each))
         good = 1 / (1 + np.exp(np.clip(z, -30, 30)))
-        return [(d, bad.value.get(pattern_of(votes(s)), 0.5), g, g >= threshold) for d, (s, _), g in zip(ids, shapes, good.tolist())]
+        return [(d, bad.value.get(pattern, 0.5), g, g >= threshold) for d, (_, _, pattern), g in zip(ids, shapes, good.tolist())]
 
     return _pass(rows, score, "doc_id long, p_bad double, score double, kept boolean")

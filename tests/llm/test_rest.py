@@ -124,6 +124,28 @@ def test_weak_labels(spark, odd, empty):
     assert weak_quality.classify(odd).count() == odd.count() and weak_quality.classify(empty).count() == 0
 
 
+def test_toxic_words_per_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    kept = weak_quality.classify(docs, labels=labels.where(~held)).select("doc_id", "kept")
+    rows = kept.join(labels.where(held), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("toxic = 1 OR quality = 1").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [not r.kept for r in rows if r.lang == lang and r.toxic]
+        clean = [r.kept for r in rows if r.lang == lang and not r.toxic]
+        print(lang, sum(toxic), len(toxic), sum(clean), len(clean))
+        assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) >= 0.9 * len(clean), lang
+
+
+def test_toxic_words_of_built_texts(spark):
+    # "vorp" tells toxic texts of xx alone; copies are one text, so "qued" has a support of one; null labels tell nothing
+    rows = [(i, f"w{i} ba ko " + ("Vorp" if i % 4 == 0 else "lin"), "xx") for i in range(80)] + [(100 + i, "qued ba", "xx") for i in range(9)] + [(200 + i, f"w{i} vorp", "yy") for i in range(80)] + [(300, "vorp", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") != 300, ((F.col("doc_id") % 4 == 0) | F.col("doc_id").between(100, 199)).cast("int")).alias("toxic"))
+    assert weak_quality.toxic_words(docs, labels) == {"xx": frozenset({b"vorp"})}
+    assert weak_quality.toxic_words(docs, labels.where("false")) == {}
+
+
 def test_posteriors_find_planted_accuracies(rnd):
     counts = Counter()
     for _ in range(5000):
