@@ -265,7 +265,7 @@ def repeated_ranges(pieces: DataFrame, length: int) -> DataFrame:
     """The byte ranges that repeated windows cover: doc_id, text_id, start, stop."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, seen, batch_rows, size = IndexFamily(length), {}, [], 0
+        family, seen, batch_rows, size, last = IndexFamily(length), {}, [], 0, None
 
         def match(rows: list[tuple]) -> Iterator[tuple]:
             text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
@@ -290,7 +290,8 @@ def repeated_ranges(pieces: DataFrame, length: int) -> DataFrame:
                     first = None if piece is None else seen.setdefault(xxhash.xxh3_128_digest(piece), here)
                     if piece is None or first != here:
                         out.append((doc, text_id, start, start + n - 1 + length))
-                    elif not batch_rows or batch_rows[-1][1:4] != here:
+                    elif here != last:  # of a repeated row, whichever batch took it
+                        last = here
                         batch_rows.append(row)
                         size += len(piece)
                     if size >= BATCH_BYTES:

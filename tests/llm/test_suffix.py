@@ -78,3 +78,12 @@ def test_ids_with_several_texts(spark, rnd):
     rows = [(1, long), (1, "x" + long), (2, long), (2, long)]
     got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[2:] == [(2, 400), (2, 400)] and sum(n for _, n in got[:2]) == 400
+
+
+def test_repeated_rows_over_batches(spark, monkeypatch, texts):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 300)
+    once = list(texts.items())
+    df = spark.createDataFrame([x for x in once for _ in range(2)], "doc_id long, text string").repartition(5)
+    rows = suffix_dedup.cut_repeats(df, 100).collect()
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in rows}
+    assert len(rows) == 2 * len(once) and got == {(d, *x) for d, x in brute(once, 100).items()}
