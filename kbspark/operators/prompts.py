@@ -43,6 +43,12 @@ def commit_section(short_hash: Column, author: Column, summary: Column, files: C
     return F.format_string("commit %s (%s)\n  %s\n  %d files changed, +%d -%d\n\n", short_hash, author, summary, files, insertions, deletions)
 
 
+def prompt_commits(commits: DataFrame, head: str = "Describe the decisions, migrations and notable fixes in these commits.\n" + ANSWER_FORMAT) -> DataFrame:
+    """One prompt of all ``commits`` (pos, hash, author, message, files_changed, insertions, deletions), in order."""
+    section = commit_section(F.left("hash", F.lit(7)), F.coalesce("author", F.lit("unknown")), text.summary(F.col("message")), F.col("files_changed"), F.col("insertions"), F.col("deletions"))
+    return _one_text(commits.select(F.struct("pos", "hash").alias("place"), section.alias("section")), head)
+
+
 def prompt_patterns(ids: DataFrame, files: DataFrame, head: str = "Tell which of these patterns still hold.\n" + ANSWER_FORMAT) -> DataFrame:
     """One prompt of pattern ids and the files that they rest on."""
     listed = ids.select(F.struct(F.lit(0).alias("k"), F.col("pattern_id").alias("p")).alias("place"), F.format_string("- %s\n", "pattern_id").alias("section"))

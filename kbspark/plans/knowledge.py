@@ -73,6 +73,22 @@ class KnowledgeBase:
             "commits": fresh.join(commits.significant(commits.score_commits(fresh, deltas)).select("hash"), "hash", "left_semi"), "patterns": changes.invalidated_patterns(files, manifest),
         }
 
+    def questions(self, todo: dict[str, DataFrame], files: DataFrame, deltas: DataFrame) -> DataFrame | None:
+        """Up to three prompts (prompt_type, prompt): of changed files, of commits, and
+        of invalidated patterns with their files; None if none of them has rows."""
+        changed = files.join(todo["changed"].select("path"), "path", "left_semi")
+        author = F.col("author") if "author" in todo["commits"].columns else F.lit(None).cast("string")
+        new = todo["commits"].select("hash", "pos", "message", author.alias("author")).join(commits.diff_stats(todo["commits"], deltas), "hash")
+        rest_on = changes.pattern_files(todo["patterns"], self.table("files", FILES), files).select("path")
+        texts = files.join(rest_on, "path", "left_semi")
+        found = {"files": (todo["changed"], prompts.prompt_files(changed)), "commits": (todo["commits"], prompts.prompt_commits(new)), "patterns": (rest_on, prompts.prompt_patterns(todo["patterns"], texts))}
+        asked = None
+        for kind, (rows, prompt) in found.items():
+            if rows.limit(1).count():
+                one = prompt.select(F.lit(kind).alias("prompt_type"), "prompt")
+                asked = one if asked is None else asked.unionByName(one)
+        return asked
+
     def learn(self, files: DataFrame, history: DataFrame, deltas: DataFrame, providers: dict[str, Callable[[str], str]], full: bool = False, need_success: bool = False) -> DataFrame:
         """One run: ask the models about what is new, bring their findings together,
         store them, and move the manifest on; returns how many entries were
@@ -82,7 +98,10 @@ class KnowledgeBase:
         none = self.spark.createDataFrame([], "action string, count long")
         if not any(df.limit(1).count() for df in todo.values()):
             return none
-        asked = prompts.prompt_files(files.join(todo["changed"].select("path"), "path", "left_semi")).select(F.lit("files").alias("prompt_type"), "prompt")
+        asked = self.questions(todo, files, deltas)
+        if asked is None:  # files are gone that no pattern rests on
+            asked = self.spark.createDataFrame([], "prompt_type string, prompt string")
+            need_success = False
         answers = stored(prompts.fan_out(asked, providers), "answers").withColumn("seq", F.monotonically_increasing_id())
         if need_success and not answers.where("error is null").limit(1).count():
             raise AllProvidersFailed(", ".join(providers))
@@ -94,7 +113,9 @@ class KnowledgeBase:
         actions = stored(entries.write_actions(batch, old), "actions")
         new = entries.last_of_each_key(actions).select("category", "slug", "what", "why", "how", "body")
         write_table(entries.upsert(old, new), self.root, "entries", partition_by="category")
-        write_table(files.select("path", "hash", "size", F.lit(None).cast("string").alias("pattern_id")), self.root, "files")
+        links = self.table("files", FILES).where("pattern_id is not null")
+        kept = changes.link_patterns(links.limit(0), links, links.select("pattern_id").distinct(), files.join(todo["changed"], "path", "left_anti").select("path"))
+        write_table(files.select("path", "hash", "size").join(kept, "path", "left").select("path", "hash", "size", "pattern_id"), self.root, "files")
         done = todo["commits"].select(F.col("hash").alias("sha"), rules.infer_commit_category(text.summary(F.col("message"))).alias("category"), F.current_timestamp().alias("processed_at"))
         write_table(self.table("commits", COMMITS).join(done, "sha", "left_anti").unionByName(done), self.root, "commits")
         return actions.groupBy("action").count()

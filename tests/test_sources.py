@@ -87,6 +87,45 @@ def test_learn(spark, tmp_path):
     assert kb.learn(f, h, d, {"claude": lambda p: ANSWER}).count() == 0
 
 
+def test_learn_asks_of_files_commits_and_patterns(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.init()
+    told = tmp_path / "told"
+    told.mkdir()
+
+    def provider(prompt):
+        (told / str(len(list(told.iterdir())))).write_text(prompt)
+        return ANSWER
+
+    def asked():
+        found = [p.read_text() for p in told.iterdir()]
+        for p in told.iterdir():
+            p.unlink()
+        return sorted(found)
+
+    body = "path string, hash string, size long, text string"
+    f = spark.createDataFrame([(p, "h", 1, f"text of {p}") for p in ("a.py", "b.py", "c.py")], body)
+    h = spark.createDataFrame([("c" * 40, 1, "Breaking change\n\nmore", 1)], "hash string, pos long, message string, n_parents int")
+    d = spark.createDataFrame([("c" * 40, "core/x", 900, 7)], "hash string, path string, insertions long, deletions long")
+    store.write_table(spark.createDataFrame([("a.py", "h", 1, "p1"), ("b.py", "h", 1, "p1"), ("b.py", "h", 1, "p2"), ("c.py", "h", 1, "p3")], "path string, hash string, size long, pattern_id string"), kb.root, "files")
+    links = lambda: sorted((r.path, r.pattern_id) for r in store.read_table(spark, kb.root, "files", "path string, hash string, size long, pattern_id string").collect())
+
+    kb.learn(f, h, d, {"m": provider})  # only a commit is new
+    (prompt,) = asked()
+    assert "commit ccccccc (unknown)\n  Breaking change\n  1 files changed, +900 -7\n" in prompt and "===" not in prompt
+    assert links() == [("a.py", "p1"), ("b.py", "p1"), ("b.py", "p2"), ("c.py", "p3")]
+
+    f2 = f.withColumn("hash", F.when(F.col("path") == "a.py", "new").otherwise(F.col("hash"))).where("path <> 'c.py'")
+    kb.learn(f2, h, d, {"m": provider})  # a.py differs, c.py is gone, and p3 with it has no file left
+    changed, patterns = asked()
+    assert "=== a.py" in changed and "=== b.py" not in changed
+    assert "- p1\n- p3\n" in patterns and "- p2" not in patterns and "=== a.py" in patterns and "=== b.py" in patterns
+    assert links() == [("a.py", None), ("b.py", "p1"), ("b.py", "p2")]
+
+    kb.learn(f2.where("path = 'b.py'"), h, d, {"m": provider}, need_success=True)  # a file without patterns is gone
+    assert asked() == [] and links() == [("b.py", "p1"), ("b.py", "p2")]
+
+
 def test_stream(spark, tmp_path):
     src, root, check = (str(tmp_path / x) for x in ("src", "root", "check"))
     for body in ("one", "two"):
