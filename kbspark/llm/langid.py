@@ -4,8 +4,8 @@ A text is the counts of its letters' byte trigrams, hashed into ``DIM`` bins,
 damped, weighted by inverse document frequency and normalised. Each language
 has a few spherical k-means centroids; a text gets the language of the centroid
 with the highest cosine, and is rejected if even that is too far away: its
-cosine is less than a set part of the lowest that any training text of the
-sample has to a centroid of its own language.
+cosine is less than a set part of a low quantile of those that the sample's
+texts of that language and about that length have to their own centroids.
 
 Document frequencies count all training rows. The clusters are fitted on a
 bounded sample, about ``sample`` rows per language, and one language is one
@@ -29,6 +29,9 @@ from kbspark.llm.common import batch_of, utf8, worker_state
 DIM = 1 << 13
 #: Languages that a model holds at most (the most frequent), 128 KB each.
 MAX_LANGUAGES = 256
+#: The sample of a language is cut by length into at most LENGTHS classes of at least CLASS_TEXTS texts (one class of all if
+#: there are fewer), and LOW of a class's cosines, at least one, may be outliers.
+LENGTHS, CLASS_TEXTS, LOW = 8, 50, 0.01
 #: Bytes to what a trigram sees: letters in lower case and everything beyond ASCII; the rest is a blank.
 LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")
@@ -69,7 +72,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row per cluster, of length 1
     owner: np.ndarray  # index into languages of each centroid's language
-    least: float  # cosine under which a text is too far from all of them
+    longest: np.ndarray  # trigrams of the longest text of each class but the last, a row per language (inf if there are fewer classes)
+    least: np.ndarray  # cosine under which a text is too far from all of them, by language and class
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text; ``und`` without a letter."""
@@ -77,14 +81,30 @@ class Model:
         some = [i for i, t in enumerate(texts) if has_letter(t)]
         if not self.languages or not some:
             return out
-        x = vectors(counted([texts[i] for i in some]), self.idf)
+        counts = counted([texts[i] for i in some])
+        n = counts.sum(axis=1)
+        x = vectors(counts, self.idf)
         cosine = x @ self.centroids.T
         best = cosine.argmax(axis=1)
-        for i, k, c in zip(some, best.tolist(), cosine[np.arange(len(some)), best].tolist()):
-            out[i] = (self.languages[self.owner[k]], min(max(c, 0.0), 1.0), c < self.least)
+        language = self.owner[best]
+        least = self.least[language, (n[:, None] > self.longest[language]).sum(axis=1)]
+        for i, k, c, low in zip(some, language.tolist(), cosine[np.arange(len(some)), best].tolist(), least.tolist()):
+            out[i] = (self.languages[k], min(max(c, 0.0), 1.0), c < low)
         return out
 
 
+def limits(n: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest text of each class of lengths but the last, and a low quantile of the cosines of each class."""
+    order = np.argsort(n, kind="stable")
+    parts = np.array_split(order, min(LENGTHS, max(1, len(n) // CLASS_TEXTS)))
+    low = np.zeros(LENGTHS)
+    for j, p in enumerate(parts):
+        low[j] = np.quantile(cosine[p], LOW, method="higher")
+    longest = np.full(LENGTHS - 1, np.inf)
+    longest[: len(parts) - 1] = [n[p].max() for p in parts[:-1]]
+    return longest, low
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means with farthest-first seeds: up to ``k`` rows of length 1."""
     seeds = [x.mean(axis=0)]
@@ -125,27 +145,30 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float = 0.25) -> Model:
     """A model of ``training`` (text as bytes, lang); rows without lang or letters teach nothing.
 
-    Texts are accepted down to ``slack`` times the lowest cosine in the sample.
+    Texts are accepted down to ``slack`` times the low quantile of the cosines of
+    their language and class of length in the sample.
     """
     rows = training.where(F.col("lang").isNotNull())
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     df, n = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     if not sizes:
-        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), 0.0)
+        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros((0, LENGTHS - 1)), np.zeros((0, LENGTHS)))
     share = F.element_at(F.create_map(*(F.lit(x) for lang, c in sizes.items() for x in (lang, min(1.0, sample / c)))), F.col("lang"))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-    schema = "lang string, least double, centroids binary"
+    schema = "lang string, longest array<double>, least array<double>, centroids binary"
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         worker_state("langid")
         texts = [t for t in map(bytes, pdf["text"]) if has_letter(t)]
         if not texts:
-            return pd.DataFrame({"lang": [], "least": [], "centroids": []})
-        x = vectors(counted(texts), idf)
+            return pd.DataFrame({"lang": [], "longest": [], "least": [], "centroids": []})
+        counts = counted(texts)
+        n = counts.sum(axis=1)
+        x = vectors(counts, idf)
         c = cluster(x, clusters)
-        least = float((x @ c.T).max(axis=1).min()) * slack
-        return pd.DataFrame({"lang": [key[0]], "least": [least], "centroids": [c.tobytes()]})
+        longest, low = limits(n, (x @ c.T).max(axis=1))
+        return pd.DataFrame({"lang": [key[0]], "longest": [longest.tolist()], "least": [(low * slack).tolist()], "centroids": [c.tobytes()]})
 
     drawn = drawn.dropDuplicates(["text"]).select("lang", "text")
     found = sorted(drawn.groupBy("lang").applyInPandas(learn, schema).collect(), key=lambda r: r.lang)  # a row per language
@@ -153,7 +176,8 @@ def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float
     if not found:
         each = [np.zeros((0, DIM), np.float32)]
     owner = np.repeat(np.arange(len(found)), [len(c) for c in each[: len(found)]])
-    return Model([r.lang for r in found], idf, np.concatenate(each), owner, min((r.least for r in found), default=0.0))
+    longest, least = (np.array([r[c] for r in found], np.float64).reshape(len(found), k) for c, k in (("longest", LENGTHS - 1), ("least", LENGTHS)))
+    return Model([r.lang for r in found], idf, np.concatenate(each), owner, longest, least)
 
 
 def _held_out(id_col: str):

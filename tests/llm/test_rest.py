@@ -103,6 +103,24 @@ def test_languages(spark, documents):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
+FOREIGN = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van, az emberek ésszel és lelkiismerettel bírnak.",
+)
+
+
+def test_foreign_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit_on_documents(docs)
+    found = model.predict([(t + " ").encode() * 20 for t in FOREIGN])
+    print(found, model.least.round(3).tolist())
+    rows = langid.identify(docs, model).where("held_out AND lang_pred <> 'und'").collect()
+    print(sum(r.rejected for r in rows), len(rows))
+    assert all(rejected for _, _, rejected in found)
+    assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
+
+
 def test_languages_odd(documents, odd, empty):
     model = langid.fit_on_documents(documents)
     got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
