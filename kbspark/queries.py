@@ -357,7 +357,7 @@ def new_commits_prefix(spark, sf_dir):
 @query(f"{duck('manifest_commits')} SELECT sha, processed_at FROM manifest_commits WHERE processed_at > 300")
 def commits_since(spark, sf_dir):
     m = view(spark, sf_dir, "manifest_commits")
-    return commits.commits_since(m.where("processed_at >= 300"), F.sha2(F.lit("300"), 256)).select("sha", "processed_at")
+    return commits.commits_since(m, F.sha2(F.lit("300"), 256)).select("sha", "processed_at")
 
 
 @query(f"{duck('commits', 'manifest_commits')} SELECT hash, pos FROM commits WHERE hash NOT IN (SELECT sha FROM manifest_commits)")

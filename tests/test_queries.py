@@ -38,3 +38,11 @@ def test_entry_module(spark):
     found = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(found) and set(__spark_entry__.oracle_sql()) <= set(found)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_commits_since_gets_the_whole_manifest(spark, monkeypatch):
+    got = []
+    plain = queries.commits.commits_since
+    monkeypatch.setattr(queries.commits, "commits_since", lambda m, sha: got.append(m) or plain(m, sha))
+    queries.QUERIES["commits_since"](spark, SF)
+    assert got[0].where("processed_at < 300").count() > 0
