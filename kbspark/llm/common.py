@@ -48,6 +48,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A join key is hot if it has more than a HOT_KEYS-th of all rows, so that no more than HOT_KEYS keys are.
+HOT_KEYS, HOT_LEAST = 4096, 1024
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys of ``rows`` (a stored table) with very many rows, and into how many
+    parts to deal them; None if there are none."""
+    limit = max(HOT_LEAST, rows.count() // HOT_KEYS)
+    hot = stored(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")), "hot")
+    return hot if hot.limit(1).count() else None
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame | None, by: str) -> DataFrame:
+    """``rows`` joined with ``other``, which has few rows per key: rows of ``hot`` keys
+    are dealt to parts by a hash of column ``by``, and their partners copied to each."""
+    if hot is None:
+        return rows.join(other, on)
+    mark = F.broadcast(hot)  # HOT_KEYS rows at most
+    left = rows.join(mark, on, "left").withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("__parts"))).otherwise(0).cast("int")).drop("__parts")
+    right = other.join(mark, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*on, "__part"]).drop("__part")
+
+
 def utf8(column: str):
     """A text column as UTF-8 bytes."""
     return F.col(column).cast("binary")

@@ -15,6 +15,12 @@ for, a bucket is first tested as a star around its smallest member, and then
 only pairs that are still in different components are tested, all of them; so
 a large group of near copies costs about a test per member, and no link between
 different components is missed.
+
+A bucket of many small components (texts from one template, say) would still be
+a test of nearly all its pairs. Such crowded buckets are split further before
+pairs are formed: similar sets share one of their rarest elements (in any fixed
+order, all but the last few of either can differ), so their members meet again
+in buckets of rare elements, again first as stars.
 """
 
 from __future__ import annotations
@@ -26,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, stored, utf8, worker_state
+from kbspark.llm.common import HOT_KEYS, batch_of, hot_keys, spread_join, stored, utf8, worker_state
 from kbspark.llm.graph import components
 from kbspark.llm.shingles import Bands, digest, shingle_set
 
 #: Digests of sets that a task remembers in order not to index copies again.
 SEEN = 500_000
-#: Documents in the sample that looks for very frequent keys, and the share of them that makes a key hot.
-HOT_SAMPLE, HOT_SHARE, SALTS = 200_000, 1e-3, 64
+#: Documents in the sample that looks for very frequent keys, and the share and number of them that make a key hot.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST, SALTS = 200_000, 1e-3, 200, 64
+#: A bucket is crowded if it has more pairs to test than CROWD times its rows. Rows of a bucket that go to one
+#: task, and pairs of a bucket that one task tests.
+CROWD, PART_ROWS, PART_PAIRS = 32, 1024, 1 << 16
 
 # a key's meta: size << 34 | band << 28 | segment << 2 | left out << 1 | own band
 _META = {"size": (34, 30), "band": (28, 6), "segment": (2, 26), "short": (1, 1), "own": (0, 1)}
@@ -92,7 +101,7 @@ def _hot_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     share = min(1 / 8, HOT_SAMPLE / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     size = max(1, some.count())
-    return stored(segment_keys(some, k, bands, deep).groupBy("key").count().where(F.col("count") >= max(200, HOT_SHARE * size)).select("key"), "hot")
+    return stored(segment_keys(some, k, bands, deep).groupBy("key").count().where(F.col("count") >= max(HOT_LEAST, HOT_SHARE * size)).select("key"), "hot")
 
 
 def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
@@ -113,9 +122,25 @@ def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     return rows.where("n > 1 and n_full + n_short > 0")
 
 
+def parts_of(n: Column) -> Column:
+    """Into how many parts a bucket of ``n`` rows is dealt."""
+    return F.ceil(n / PART_ROWS).cast("int").alias("parts")
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """Add part: each row goes to one of the ``parts`` of its bucket."""
+    return df.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+
+
+def copied(df: DataFrame) -> DataFrame:
+    """Each row once for every part of its bucket, as part."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
 def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
     """What each set has to look up: key, side (whether sets are to have the key
-    as a ``short`` one), doc_id, band, centre (the smallest such set)."""
+    as a ``short`` one), doc_id, band, centre (the smallest such set), parts (into
+    which the bucket is dealt)."""
     top = 52  # beyond the 30 bits of a size
     least = [bands.upper(b) for b in range(top)]
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("band") + 1)
@@ -124,17 +149,18 @@ def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
     needed = F.floor((bands.den - bands.num) * total / F.lit(bands.den + bands.num)).cast("long") + 1
     others = F.col("n_full") - F.col("own")
     whole = rows.where((F.col("short") == 0) & (others > 0)).select(
-        "doc_id", "band", "size", "segment", F.lit(0).alias("unit"), others.alias("cost"), F.array(F.struct("key", F.lit(False).alias("side"), F.col("least_full").alias("centre"))).alias("look"))
+        "doc_id", "band", "size", "segment", F.lit(0).alias("unit"), others.alias("cost"), F.array(F.struct("key", F.lit(False).alias("side"), F.col("least_full").alias("centre"), parts_of(F.col("n_full")))).alias("look"))
     more = F.when(F.col("short") == 1, F.col("n_full")).otherwise(F.col("n_short"))
     # the second unit of a segment counts only with the first, so it costs at least as much and is never free alone
     near = rows.where((F.col("segment") < deep) & ((more > 0) | ((F.col("short") == 0) & (others > 0))))
-    look = F.when(more > 0, F.struct("key", (F.col("short") == 0).alias("side"), F.when(F.col("short") == 1, F.col("least_full")).otherwise(F.col("least_short")).alias("centre")))
+    found = F.when(F.col("short") == 1, F.struct(F.col("least_full").alias("centre"), F.col("n_full").alias("n"))).otherwise(F.struct(F.col("least_short").alias("centre"), F.col("n_short").alias("n")))
+    look = F.when(more > 0, F.struct("key", (F.col("short") == 0).alias("side"), found["centre"].alias("centre"), parts_of(found["n"])))
     close = near.groupBy("doc_id", "band", "size", "segment").agg(F.sum(more + F.when(F.col("short") == 0, others).otherwise(0)).alias("cost"), F.collect_list(look).alias("look"))
     close = close.select("doc_id", "band", "size", "segment", F.lit(1).alias("unit"), "cost", "look")
     units = Window.partitionBy("doc_id", "band")
     chosen = whole.unionByName(close).select(
         "*", (needed - (ties + deep - F.count("*").over(units))).alias("missing"), F.row_number().over(units.orderBy("cost", "unit", "segment")).alias("rank")).where("rank <= missing")
-    return chosen.select("doc_id", "band", F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "band", F.col("l.centre.doc_id").alias("centre"))
+    return chosen.select("doc_id", "band", F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "band", F.col("l.centre.doc_id").alias("centre"), "l.parts")
 
 
 def candidate_sets(texts: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -164,7 +190,8 @@ def may_fit(bands: Bands, size_a: str, sketch_a: str, size_b: str, sketch_b: str
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Sets of ``b`` travel to those of ``a``, of which a few can have most pairs."""
+    """The pairs (a, b; a stored table) whose sets are similar. Sets travel to the
+    pairs; those of a document with very many pairs to several tasks."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +204,90 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
             yield batch_of(out, "a long, b long")
 
     whole = sets.where("items is not null")
-    with_b = pairs.join(whole.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
-    return with_b.join(whole.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long").distinct()
+    hot_a, hot_b = hot_keys(pairs, ["a"]), hot_keys(pairs, ["b"])
+    with_b = spread_join(pairs, whole.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), ["b"], hot_b, "a")
+    with_a = spread_join(with_b, whole.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), ["a"], hot_a, "b")
+    return with_a.select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long").distinct()
+
+
+def _ordered(p: str, q: str) -> tuple[Column, Column]:
+    return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
+
+
+def _sketched(sketches: DataFrame, p: str) -> DataFrame:
+    return sketches.select(F.col("doc_id").alias(p), "band", F.col("size").alias(p + "_size"), F.col("sketch").alias(p + "_sketch"))
+
+
+def star_pairs(look: DataFrame, names: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of ``look`` (doc_id, band, centre) that sizes and sketches leave
+    open; ``names`` (member, rep) tells whose set a centre has."""
+    star = stored(look.select(F.col("doc_id").alias("p"), "band", "centre").distinct(), "stars")
+    centres = star.select("centre", "band").distinct().join(names, F.col("centre") == F.col("member")).select("centre", "band", F.col("rep").alias("q"))
+    centres = centres.join(_sketched(sketches, "q"), ["q", "band"])
+    met = spread_join(star, centres, ["centre", "band"], hot_keys(star, ["centre", "band"]), "p").where("p <> q").join(_sketched(sketches, "p"), ["p", "band"])
+    return stored(met.where(may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")).select(*_ordered("p", "q")).distinct(), "star")
+
+
+def mixed_buckets(ask: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
+    """The buckets of several components: main (the largest), parts, n (rows), pairs
+    (to be tested: whoever isn't of the main component meets all others)."""
+    one = lambda df, a, h: df.select(*on, "comp", "parts", F.lit(a).alias("a"), F.lit(h).alias("h"))
+    counted = one(ask, 1, 0).unionByName(one(have, 0, 1)).groupBy(*on, "comp").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
+    largest = F.max(F.struct((F.col("a") + F.col("h")).alias("n"), "comp", "a", "h")).alias("m")
+    all_ = counted.groupBy(on).agg(largest, F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"), F.count("*").alias("comps")).where("comps > 1")
+    return all_.select(*on, "parts", F.col("m.comp").alias("main"), (F.col("a") + F.col("h")).alias("n"), ((F.col("a") - F.col("m.a")) * F.col("h") + F.col("m.a") * (F.col("h") - F.col("m.h"))).alias("pairs")).where("pairs > 0")
+
+
+def meetings(ask: DataFrame, have: DataFrame, mixed: DataFrame, on: list[str], sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of different components in the buckets ``mixed`` that sizes and
+    sketches leave open. The larger side of a bucket's pairs is dealt to parts."""
+    buckets = copied(mixed).select(*on, "part", "main", F.ceil(F.col("pairs") / PART_PAIRS).cast("int").alias("pair_parts"))
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        rows = dealt(df, "doc_id").join(buckets, [*on, "part"]).withColumnsRenamed({"doc_id": p, "comp": p + "_comp"})
+        return stored(rows.join(_sketched(sketches, p), [p, "band"]).drop("parts", "part").withColumnRenamed("pair_parts", "parts"), p)
+
+    left, right = side(ask, "p"), side(have, "q")
+    open_ = (F.col("p_comp") != F.col("q_comp")) & (F.col("q_size") <= F.col("p_size")) & may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        same = (F.col("l.part") == F.col("r.part")) & (F.col("l.band") == F.col("r.band"))
+        for c in on:
+            same = same & (F.col("l." + c) == F.col("r." + c))
+        return x.alias("l").join(y.alias("r"), same & open_).select(*_ordered("p", "q"))
+
+    minor = met(copied(left.where("p_comp <> main")), dealt(right, "q"))
+    major = met(dealt(left.where("p_comp = main"), "p"), copied(right.where("q_comp <> main")))
+    return minor.unionByName(major).distinct()
+
+
+def rare_elements(sets: DataFrame, bands: Bands) -> DataFrame:
+    """doc_id, x, parts, in_have of the rarest elements of each set (``items``), as far as others have them.
+
+    They are as many as a similar set that is no larger can lack, and one more;
+    ``in_have`` are as many as a similar one that is no smaller can lack, and one
+    more. So two similar sets share one that is ``in_have`` of the smaller.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                ids, items = (c[i : i + 512].to_pylist() for c in batch.columns)
+                each = [np.frombuffer(x, np.int64) for x in items]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in each])), pa.array(np.concatenate(each))], names=["doc_id", "x"])
+
+    elements = sets.select("doc_id", "items").mapInArrow(explode, "doc_id long, x long")
+    often = stored(elements.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    limit = max(PART_ROWS, total // HOT_KEYS)
+    hot, rest = F.broadcast(often.where(F.col("n") > limit)), often.where(F.col("n") <= limit)  # HOT_KEYS rows at most
+    counted = elements.join(hot, "x").unionByName(elements.join(hot, "x", "left_anti").join(rest, "x", "left").na.fill(1, ["n"]))
+    rows = counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("e")).withColumn("size", F.size("e"))  # a document's own elements
+    num, den, size = bands.num, bands.den, F.col("size")
+    ask = size - F.ceil(size * num / F.lit(den)) + 1
+    have = size - F.ceil(size * (2 * num) / F.lit(num + den)) + 1
+    rows = rows.select("doc_id", have.cast("int").alias("short"), F.posexplode(F.slice("e", F.lit(1), ask.cast("int"))).alias("at", "e"))
+    return rows.where("e.n > 1").select("doc_id", "e.x", parts_of(F.col("e.n")), (F.col("at") < F.col("short")).alias("in_have"))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, deep: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,47 +314,49 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     look = stored(probes(buckets, bands, deep), "probes")
     member = rep_of.select(F.col("doc_id").alias("member"), "rep")
 
-    def by_rep(df: DataFrame, column: str) -> DataFrame:
-        return df.join(member, F.col(column) == F.col("member")).drop("member", column).withColumnRenamed("rep", column)
+    def by_rep(df: DataFrame) -> DataFrame:
+        return df.join(member, F.col("doc_id") == F.col("member")).drop("member", "doc_id").withColumnRenamed("rep", "doc_id")
 
     # the sets and sketches of whoever may be tested: those that look up, and those that are found
-    index = buckets.where("own = 1").select("key", (F.col("short") == 1).alias("side"), "doc_id", "band")
-    index = stored(by_rep(index.join(look.select("key", "side").distinct(), ["key", "side"], "left_semi"), "doc_id").distinct(), "index")
-    look = stored(by_rep(by_rep(look, "doc_id"), "centre").distinct(), "look")
-    tested = look.select("doc_id").unionByName(index.select("doc_id")).distinct()
+    index = buckets.where("own = 1").select("key", (F.col("short") == 1).alias("side"), "doc_id", "band", parts_of(F.when(F.col("short") == 1, F.col("n_short")).otherwise(F.col("n_full"))))
+    asked = copied(look.select("key", "side", "parts").distinct()).drop("parts")
+    index = stored(by_rep(dealt(index, "doc_id").join(asked, ["key", "side", "part"], "left_semi")).drop("part").distinct(), "index")
+    look = stored(by_rep(look).distinct(), "look")
+    names = look.select(F.col("centre").alias("member")).distinct().join(member, "member")
+    tested = look.select("doc_id").unionByName(index.select("doc_id")).unionByName(names.select(F.col("rep").alias("doc_id"))).distinct()
     sets = stored(candidate_sets(known.join(tested, "doc_id", "left_semi"), k, bands), "candidates")
     sketches = sets.select("doc_id", "band", "size", "sketch")
 
-    def sketched(p: str) -> DataFrame:
-        return sketches.select(F.col("doc_id").alias(p), "band", F.col("size").alias(p + "_size"), F.col("sketch").alias(p + "_sketch"))
-
-    def pair(p: str, q: str) -> tuple[Column, Column]:
-        return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
-
-    star = look.where("doc_id <> centre").select(F.col("doc_id").alias("p"), "band", F.col("centre").alias("q")).distinct()
-    star = star.join(sketched("p"), ["p", "band"]).join(sketched("q"), ["q", "band"]).where(may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")).select(*pair("p", "q")).distinct()
-    star = stored(star, "star")
+    star = star_pairs(look, names, sketches, bands)
     linked = stored(similar_pairs(star, sets, bands), "links")
+    done = star
 
-    label = components(linked)
-
-    def labelled(df: DataFrame) -> DataFrame:
+    def labelled(df: DataFrame, label: DataFrame) -> DataFrame:
         return df.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
 
-    on = ["key", "side"]
-    ask, have = labelled(look.drop("centre").distinct()), labelled(index)
-    # in a bucket of several components, whoever isn't of its main one meets all others: pairs within a component aren't formed
-    counted = ask.unionByName(have).groupBy(*on, "comp").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy(on).agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    mixed = stored(mixed, "mixed")
-    left = stored(ask.join(mixed, on).withColumnsRenamed({"doc_id": "p", "comp": "x"}).join(sketched("p"), ["p", "band"]), "ask").drop("band")
-    right = stored(have.join(mixed, on).withColumnsRenamed({"doc_id": "q", "comp": "y"}).join(sketched("q"), ["q", "band"]), "have").drop("band")
-    open_ = (F.col("x") != F.col("y")) & (F.col("q_size") <= F.col("p_size")) & may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")
-    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.side") == F.col("r.side"))
-    minor = left.where("x <> main").alias("l").join(right.alias("r"), same & open_).select(*pair("p", "q"))
-    major = left.where("x = main").alias("l").join(right.where("y <> main").alias("r"), same & open_).select(*pair("p", "q"))
-    cross = minor.unionByName(major).distinct().join(star, ["a", "b"], "left_anti")
-    late = stored(similar_pairs(stored(cross, "cross"), sets, bands), "links")
+    on, label = ["key", "side"], components(linked)
+    ask, have = stored(labelled(look.drop("centre").distinct(), label), "ask"), stored(labelled(index, label), "have")
+    mixed = stored(mixed_buckets(ask, have, on), "mixed")
+    cross = meetings(ask, have, mixed.where(F.col("pairs") <= CROWD * F.col("n")), on, sketches, bands)
+    crowded = mixed.where(F.col("pairs") > CROWD * F.col("n"))
+    if crowded.limit(1).count():
+        full = copied(crowded.select(*on, "parts")).drop("parts")
+        asking = dealt(ask, "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
+        having = dealt(have, "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
+        asking, having = stored(asking, "asking"), stored(having, "having")
+        rare = stored(rare_elements(sets.where("items is not null").join(asking.unionByName(having).select("doc_id").distinct(), "doc_id", "left_semi"), bands), "rare")
+        on = ["x", "band"]
+        ask, have = asking.join(rare, "doc_id").drop("in_have"), having.join(rare.where("in_have"), "doc_id").drop("in_have")
+        least = have.groupBy(on).agg(F.min("doc_id").alias("centre"), F.max("parts").alias("parts"))
+        again = dealt(ask, "doc_id").join(copied(least).drop("parts"), [*on, "part"])
+        own = again.select(F.col("centre").alias("member"), F.col("centre").alias("rep")).distinct()
+        more = stored(star_pairs(again, own, sketches, bands).join(done, ["a", "b"], "left_anti"), "star")
+        linked, done = linked.unionByName(stored(similar_pairs(more, sets, bands), "links")), done.unionByName(more)
+        label = components(linked)
+        ask, have = stored(labelled(ask, label), "ask"), stored(labelled(have, label), "have")
+        cross = cross.unionByName(meetings(ask, have, stored(mixed_buckets(ask, have, on), "mixed"), on, sketches, bands)).distinct()
+    cross = stored(cross.join(done, ["a", "b"], "left_anti"), "cross")
+    late = stored(similar_pairs(cross, sets, bands), "links")
 
     final = components(linked.unionByName(late).unionByName(one_id))
     return info.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kbspark.llm import ngram_join, shingles
+from pyspark.sql import functions as F
+
+from kbspark.llm import common, ngram_join, shingles
 from kbspark.llm.graph import components
 
 
@@ -65,6 +67,40 @@ def test_components_equal_brute_force(spark, k, num, den, seed):
     assert [r for r in got if (r.n_shingles, r.component_id) not in want[r.doc_id]] == []
 
 
+@pytest.mark.parametrize("k, num, den, seed", [(1, 85, 100, 4), (4, 85, 100, 5)])
+def test_hot_and_crowded_buckets_equal_brute_force(spark, monkeypatch, k, num, den, seed):
+    for name, value in {"HOT_LEAST": 4, "HOT_SHARE": 1e-6, "SALTS": 3, "CROWD": 0, "PART_ROWS": 3, "PART_PAIRS": 5}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    for name, value in {"HOT_LEAST": 2, "HOT_KEYS": 50}.items():
+        monkeypatch.setattr(common, name, value)
+    docs = families(seed)
+    want = brute(docs, k, num, den)
+    got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), k, num, den).collect()
+    assert len(got) == len(docs) and [r for r in got if (r.n_shingles, r.component_id) not in want[r.doc_id]] == []
+
+
+def test_texts_of_a_template_are_not_all_compared(spark, monkeypatch):
+    tested, mixed_buckets = [], ngram_join.mixed_buckets
+
+    def noted(ask, have, on):
+        mixed = ngram_join.stored(mixed_buckets(ask, have, on), "noted")
+        pairs = F.col("pairs") if on[0] == "x" else F.when(F.col("pairs") <= ngram_join.CROWD * F.col("n"), F.col("pairs"))
+        tested.append(mixed.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0])
+        return mixed
+
+    monkeypatch.setattr(ngram_join, "mixed_buckets", noted)
+    words = [f"w{i}" for i in range(25)]
+    sums = []
+    for n in (500, 2000):  # one word of 25 differs, which is a similarity of 0.69; each tenth text has a near copy
+        texts = [" ".join([*words[:12], f"x{i}", *words[13:]]) for i in range(n)]
+        docs = list(enumerate(texts + [t + " more" for t in texts[::10]]))
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 4, 85, 100).collect()}
+        assert got == {i: i if i < n else 10 * (i - n) for i in range(len(docs))}
+        sums.append(sum(tested))
+        tested.clear()
+    assert sums[1] <= 8 * max(sums[0], 100)
+
+
 def test_given_documents(documents, texts):
     want = brute(texts.items(), 4, 85, 100)
     got = ngram_join.ngram_components(documents, 4, 85, 100).collect()
