@@ -11,6 +11,7 @@ content, so that equal strings meet in one task and nothing else has to:
 2.  Pieces. Around each repeated anchor, the bytes of just those windows whose
     anchor it is make a piece; pieces are dealt by the anchor's hash. Windows of
     very frequent anchors are dealt one by one, by the hash of their own bytes.
+    The number of parts grows with the bytes of pieces, so a task's state doesn't.
 3.  Index family. A task takes its pieces in the order of documents, in batches. Each
     batch gets a suffix array, is matched within itself and merge-scanned against
     the sorted levels of earlier batches; then it becomes a level itself, and
@@ -30,16 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kbspark.llm.common import batch_of, stored, utf8, worker_state
+from kbspark.llm.common import batch_of, hot_keys, spread_join, stored, utf8, worker_state
 from kbspark.llm.shingles import mix
 
 #: Bytes of the strings among which a window's anchor is chosen.
 ANCHOR_BYTES = 32
 #: Pieces of one anchor that one task may get; a more frequent anchor's windows are dealt by their own bytes.
-#: No more than HOT_MOST anchors can have more than that share of all, so the list of them is bounded.
-HOT_PIECES, HOT_MOST = 50_000, 1_000_000
-#: Bytes of pieces in a batch that gets a suffix array.
-BATCH_BYTES = 1 << 20
+HOT_PIECES = 5_000
+#: Hot anchors that are broadcast; if there are more, the marks go to the anchors' rows by a join.
+HOT_BROADCAST = 500_000
+#: Bytes of pieces in a batch that gets a suffix array, and in a task, whose levels take about five times as much memory.
+BATCH_BYTES, PART_BYTES = 1 << 20, 32 << 20
 #: Pieces and anchors that a task remembers in order to send copies only once.
 SEEN = 200_000
 _ODD = 0x9E3779B97F4A7C15  # multiplier of the polynomial hash
@@ -62,6 +64,11 @@ class Roller:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.power[: len(b)], dtype=np.uint64)))
         return mix((total[self.n :] - total[: -self.n]) * self.back[: len(b) - self.n + 1])
 
+    def at(self, b: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The hashes of the strings at ``places`` alone."""
+        self._grow(self.n)
+        return mix(((b[places[:, None] + np.arange(self.n)].astype(np.uint64) + np.uint64(1)) * self.power[: self.n]).sum(axis=1, dtype=np.uint64))
+
 
 def anchors(text: bytes, length: int, roll: Roller, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of a text's windows: (hash, place, first window, last window);
@@ -92,19 +99,18 @@ def _anchors(text: bytes, length: int, roll: Roller, base: int) -> list[np.ndarr
 
 
 def anchor_rows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """h, the ``keys`` of a document, at_n (n << 32 | place) of every anchor. A block
-    of documents tells its first of several equal anchors with their number, and
-    those besides without h, as they are known to be repeated: so a frequent
-    anchor is few rows per h."""
+    """h, the ``keys`` of a document, place (packed, see ``packed``), n and repeated of
+    every anchor. A block of documents tells its first of several equal anchors
+    with their number n, and those besides with n = 0 and ``repeated``, as they are
+    known to be repeated: so a frequent anchor is few rows that have to be counted."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        h, at, *ids = (np.concatenate(x) for x in zip(*held))
+        h, place, *ids = (np.concatenate(x) for x in zip(*held))
         _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        known = np.flatnonzero(n[of] > 1)
-        rows = np.concatenate((first, known))
-        blank = np.arange(len(rows)) >= len(first)
-        number = np.concatenate((n, np.zeros(len(known), n.dtype)))
-        return pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64), mask=blank), *(pa.array(x[rows]) for x in ids), pa.array(number << 32 | at[rows])], names=["h", *keys, "at_n"])
+        number = np.zeros(len(h), np.int32)
+        number[first] = n
+        columns = [pa.array(h.view(np.int64)), *map(pa.array, ids), pa.array(place), pa.array(number)]
+        return pa.RecordBatch.from_arrays(columns, names=["h", *keys, "place", "n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("suffix_dedup")
@@ -112,9 +118,9 @@ def anchor_rows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 for *ids, text in zip(*(c[i : i + 256].to_pylist() for c in batch.columns)):
-                    h, at, _, _ = anchors(text, length, roll)
+                    h, at, first, last = anchors(text, length, roll)
                     if len(h):
-                        held.append((h, at, *(np.full(len(h), x) for x in ids)))
+                        held.append((h, packed(at, first, last), *(np.full(len(h), x) for x in ids)))
                         size += len(h)
                     if size > 500_000:
                         yield flush(held)
@@ -122,19 +128,35 @@ def anchor_rows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.select(*keys, "text").mapInArrow(emit, ", ".join(f"{c} long" for c in ("h", *keys, "at_n")))
+    return rows.select(*keys, "text").mapInArrow(emit, ", ".join([*(f"{c} long" for c in ("h", *keys, "place")), "n int"]))
+
+
+#: Bits of how far before its anchor a window can begin, plus one bit that tells of a hot anchor.
+REACH_BITS = 15
+
+
+def packed(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """An anchor's place, and how far before it its first and last window begin, in one number, whose lowest bit is free."""
+    return (at << REACH_BITS | at - first) << REACH_BITS + 1 | at - last << 1
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window, the lowest bit) of anchors."""
+    at, mask = place >> 2 * REACH_BITS + 1, (1 << REACH_BITS) - 1
+    return at, at - (place >> REACH_BITS + 1 & mask), at - (place >> 1 & mask), place & 1
 
 
 PIECES = "key long, doc_id long, text_id long, start int, n int, piece binary"
 
 
-def piece_rows(marked: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """The pieces of documents (at: places of repeated anchors): key, doc_id,
+def piece_rows(marked: DataFrame, length: int) -> DataFrame:
+    """The pieces of documents (places: packed ones of repeated anchors): key, doc_id,
     text_id, start and n (first window, windows), piece. Pieces that the task has
     sent for an earlier document have no bytes: their windows are known to be
     repeated, and those next to each other are one row, keyed by the document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("suffix_dedup")
         roll, whole, seen = Roller(ANCHOR_BYTES), Roller(length), {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -142,40 +164,39 @@ def piece_rows(marked: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                 part = batch.slice(i, 256)
                 names = part.schema.names
                 text_ids = part.column("text_id").to_pylist() if "text_id" in names else [0] * part.num_rows
-                for doc, text_id, text, places in zip(part.column("doc_id").to_pylist(), text_ids, part.column("text").to_pylist(), part.column("at").to_pylist()):
-                    h, at, first, last = anchors(text, length, roll)
-                    pick = np.isin(at, np.array(places))
-                    h, first, last = h[pick], first[pick], last[pick]
-                    single = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-                    parts = list(zip(h[~single].view(np.int64).tolist(), first[~single].tolist(), last[~single].tolist()))
-                    for a, b in zip(first[single].tolist(), last[single].tolist()):
-                        keys = whole(np.frombuffer(text[a : b + length], np.uint8)).view(np.int64).tolist()
-                        parts += ((k, a + j, a + j) for j, k in enumerate(keys))
-                    for key, a, b in parts:
-                        piece = text[a : b + length]
+                for doc, text_id, text, places in zip(part.column("doc_id").to_pylist(), text_ids, part.column("text").to_pylist(), part.column("places").to_pylist()):
+                    at, first, last, hot = unpacked(np.sort(np.array(places, np.int64)))
+                    b = np.frombuffer(text, np.uint8)
+                    keys = roll.at(b, at).view(np.int64)
+                    single = hot == 1
+                    parts = list(zip(keys[~single].tolist(), first[~single].tolist(), last[~single].tolist()))
+                    for a, z in zip(first[single].tolist(), last[single].tolist()):
+                        parts += ((k, a + j, a + j) for j, k in enumerate(whole(b[a : z + length]).view(np.int64).tolist()))
+                    for key, a, z in parts:
+                        piece = text[a : z + length]
                         d, here = xxhash.xxh3_128_digest(piece), (doc, text_id, a)
                         if d in seen and seen[d] < here:
                             if out and out[-1][5] is None and out[-1][1:3] == (doc, text_id) and out[-1][3] + out[-1][4] == a:
-                                out[-1] = (*out[-1][:4], b - out[-1][3] + 1, None)
+                                out[-1] = (*out[-1][:4], z - out[-1][3] + 1, None)
                             else:
-                                out.append((doc, doc, text_id, a, b - a + 1, None))
+                                out.append((doc, doc, text_id, a, z - a + 1, None))
                         else:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen[d] = here
-                            out.append((key, doc, text_id, a, b - a + 1, piece))
+                            out.append((key, doc, text_id, a, z - a + 1, piece))
                 yield batch_of(out, PIECES)
 
     return marked.mapInArrow(emit, PIECES)  # of all columns: the exchange of the texts then serves both joins
 
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place of ``text`` on as one big-endian number, zeros beyond the end."""
-    b = np.concatenate((text, np.zeros(8, np.uint8)))
-    out = np.zeros(len(text), np.uint64)
-    for j in range(8):
-        out |= b[j : j + len(text)].astype(np.uint64) << np.uint64(56 - 8 * j)
-    return out
+_END = np.zeros(8, np.uint8)
+
+
+def _words(ended: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a text (with _END after it) on as one
+    big-endian number; a view of the text, so it takes no memory."""
+    return np.ndarray(len(ended) - 8, ">u8", ended, strides=(1,))
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -187,26 +208,26 @@ def _ranks(key: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """A sorted array of places in a text, all different in their first ``length`` bytes."""
+    """A sorted array of places in a text (with _END after it), all different in
+    their first ``length`` bytes, and the first eight bytes at each."""
 
-    def __init__(self, text: np.ndarray, words: np.ndarray, places: np.ndarray, length: int):
-        self.text, self.words, self.places, self.length = text, words, places, length
+    def __init__(self, ended: np.ndarray, places: np.ndarray, heads: np.ndarray, length: int):
+        self.ended, self.places, self.heads, self.length = ended, places, heads, length
 
     def _compare(self, mine: np.ndarray, words: np.ndarray, places: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 for each of my places against another text's place."""
-        out, open_ = np.zeros(len(mine), np.int8), np.arange(len(mine))
+        own, out, open_ = _words(self.ended), np.zeros(len(mine), np.int8), np.arange(len(mine))
         for step in [*range(0, self.length - 8, 8), self.length - 8]:
-            a, b = self.words[mine[open_] + step], words[places[open_] + step]
+            a, b = own[mine[open_] + step].astype(np.uint64), words[places[open_] + step].astype(np.uint64)
             out[open_[a < b]], out[open_[a > b]] = -1, 1
             open_ = open_[a == b]
             if not len(open_):
                 break
         return out
 
-    def locate(self, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def locate(self, words: np.ndarray, places: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each place of another text belongs in my order, and whether I have its string."""
-        heads = self.words[self.places]
-        low, high = np.searchsorted(heads, words[places], "left"), np.searchsorted(heads, words[places], "right")
+        low, high = np.searchsorted(self.heads, heads, "left"), np.searchsorted(self.heads, heads, "right")
         found, todo = np.zeros(len(places), bool), np.flatnonzero(low < high)
         while len(todo):
             mid = (low[todo] + high[todo]) // 2
@@ -218,8 +239,9 @@ class Level:
         return low, found
 
     def merged(self, other: Level) -> Level:
-        at, _ = self.locate(other.words, other.places)
-        return Level(np.concatenate((self.text, other.text)), np.concatenate((self.words, other.words)), np.insert(self.places, at, other.places + len(self.text)), self.length)
+        at, _ = self.locate(_words(other.ended), other.places, other.heads)
+        moved = other.places + np.int32(len(self.ended) - 8)
+        return Level(np.concatenate((self.ended[:-8], other.ended)), np.insert(self.places, at, moved), np.insert(self.heads, at, other.heads), self.length)
 
 
 class IndexFamily:
@@ -231,8 +253,9 @@ class IndexFamily:
     def add(self, text: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Take in the strings at ``windows`` (ascending) of ``text``; returns which
         of them came before, in an earlier batch or at an earlier window."""
-        words = _words(text)
-        rank, span = _ranks(words), 8  # a suffix array by prefix doubling, as deep as needed
+        ended = np.concatenate((text, _END))
+        words = _words(ended)
+        rank, span = _ranks(words.astype(np.uint64)), 8  # a suffix array by prefix doubling, as deep as needed
         while 4 * span <= self.length:
             rank = _ranks(rank[: len(rank) - span] * len(words) + rank[span:])
             span *= 2
@@ -247,11 +270,12 @@ class IndexFamily:
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         before = np.ones(len(windows), bool)
         mine = order[new]  # the first of equal strings, in the order of strings
+        heads = words[windows[mine]].astype(np.uint64)
         for level in self.levels:
-            _, found = level.locate(words, windows[mine])
-            mine = mine[~found]
+            _, found = level.locate(words, windows[mine], heads)
+            mine, heads = mine[~found], heads[~found]
         before[mine] = False
-        self.levels.append(Level(text, words, windows[mine], self.length))
+        self.levels.append(Level(ended, windows[mine].astype(np.int32), heads, self.length))
         while len(self.levels) > 1 and len(self.levels[-2].places) <= 2 * len(self.levels[-1].places):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
@@ -261,8 +285,10 @@ class IndexFamily:
 RANGES = "doc_id long, text_id long, start int, stop int"
 
 
-def repeated_ranges(pieces: DataFrame, length: int) -> DataFrame:
-    """The byte ranges that repeated windows cover: doc_id, text_id, start, stop."""
+def repeated_ranges(pieces: DataFrame, length: int, parts: int) -> DataFrame:
+    """The byte ranges that repeated windows cover: doc_id, text_id, start, stop.
+    Pieces are dealt to ``parts`` tasks, each of which remembers at most SEEN whole
+    pieces besides the levels of its own."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, seen, batch_rows, size, last = IndexFamily(length), {}, [], 0, None
@@ -287,6 +313,8 @@ def repeated_ranges(pieces: DataFrame, length: int) -> DataFrame:
                 for row in zip(*(c[i : i + 4096].to_pylist() for c in batch.columns)):
                     _, doc, text_id, start, n, piece = row
                     here = (doc, text_id, start)
+                    if len(seen) >= SEEN:  # the family still finds the windows of pieces that are forgotten here
+                        seen.clear()
                     first = None if piece is None else seen.setdefault(xxhash.xxh3_128_digest(piece), here)
                     if piece is None or first != here:
                         out.append((doc, text_id, start, start + n - 1 + length))
@@ -301,7 +329,7 @@ def repeated_ranges(pieces: DataFrame, length: int) -> DataFrame:
         if batch_rows:
             yield batch_of(list(match(batch_rows)), RANGES)
 
-    return pieces.repartition("key").sortWithinPartitions("doc_id", "text_id", "start").mapInArrow(scan, RANGES)
+    return pieces.repartition(parts, "key").sortWithinPartitions("doc_id", "text_id", "start").mapInArrow(scan, RANGES)
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,8 +343,10 @@ def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
     own. A row with a null id is neither compared nor cut. An empty table gives
     no rows. Other columns keep their names unless one of these has it.
     """
+    if not ANCHOR_BYTES < length < 1 << REACH_BITS:
+        raise ValueError(f"length must be more than {ANCHOR_BYTES} and less than {1 << REACH_BITS}")
     spark = docs.sparkSession
-    names = {"doc_id", "text_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "at", "cuts"}
+    names = {"doc_id", "text_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "places", "cuts"}
     extra = [c for c in docs.columns if c not in (id_col, text_col) and c not in names]
     # a column that is right already stays bare: an alias on one side would keep the joins from sharing their exchange
     the_id = F.col("doc_id") if id_col == "doc_id" and docs.schema["doc_id"].dataType == LongType() else F.col(id_col).cast("long").alias("doc_id")
@@ -327,15 +357,23 @@ def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
         rows, keys = rows.withColumn("text_id", F.xxhash64("text")), ["doc_id", "text_id"]
     known = rows.where("doc_id is not null")
 
-    counted = anchor_rows(known, keys, length).withColumn("n", F.shiftright("at_n", 32))
-    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.coalesce("h", F.xxhash64("doc_id", "at_n")))))
-    at = F.col("at_n").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")
-    repeated = stored(counted.where("h is null or total > 1").select(*keys, at, F.when(F.col("total") > HOT_PIECES, F.col("h")).alias("hot"), F.when(F.col("total") > HOT_PIECES, F.col("total")).alias("total")), "repeated")
-    frequent = repeated.where("hot is not null").groupBy("hot").agg(F.max("total").alias("total")).orderBy(F.desc("total")).limit(HOT_MOST)
-    hot = np.array([r.hot for r in frequent.collect()], np.int64).view(np.uint64)
-
-    places = repeated.groupBy(keys).agg(F.collect_set("at").alias("at"))
-    ranges = repeated_ranges(piece_rows(known.join(places, keys), length, hot), length)
+    counted = anchor_rows(known, keys, length)
+    # those with n = 0 are known to be repeated, so they are spread and not counted
+    group = F.when(F.col("n") > 0, F.col("h")).otherwise(F.xxhash64("doc_id", "place"))
+    counted = counted.withColumn("total", F.when(F.col("n") > 0, F.sum("n").over(Window.partitionBy(group))))
+    repeated = stored(counted.where("total is null or total > 1").drop("n"), "repeated")
+    n_places = repeated.count()
+    marks = repeated.where("total is not null").groupBy("h").agg(F.max((F.col("total") > HOT_PIECES).cast("int")).alias("hot"))
+    hot, place = stored(marks.where("hot = 1"), "hot"), F.col("place")
+    if n_hot := hot.count():
+        if n_hot <= HOT_BROADCAST:
+            repeated = repeated.join(F.broadcast(hot), "h", "left")
+        else:
+            repeated = spread_join(repeated, stored(marks, "marks"), ["h"], hot_keys(repeated, ["h"]), "doc_id")
+        place = place + F.coalesce("hot", F.lit(0))
+    places = repeated.groupBy(keys).agg(F.collect_set(place).alias("places"))  # a document's own
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_places * 2 * length // PART_BYTES)
+    ranges = repeated_ranges(piece_rows(known.join(places, keys), length), length, parts)
     cuts = ranges.groupBy(keys).agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     cut_rows = known.join(cuts, keys, "left").unionByName(rows.where("doc_id is null").withColumn("cuts", F.lit(None).cast("array<struct<start:int,stop:int>>")))
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]

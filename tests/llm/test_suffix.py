@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from kbspark.llm import suffix_dedup
+from kbspark.llm import common, suffix_dedup
 from kbspark.llm.queries import op2_suffix_array_dedup
 
 
@@ -36,8 +36,11 @@ def test_built_texts(spark, rnd, length, alphabet):
     assert got == brute(docs, length)
 
 
-def test_frequent_anchors(spark, monkeypatch, texts):
-    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 1)
+@pytest.mark.parametrize("settings", [{"HOT_PIECES": 1}, {"HOT_PIECES": 3, "HOT_BROADCAST": 0}, {"SEEN": 5, "BATCH_BYTES": 2000, "PART_BYTES": 5000}])
+def test_frequent_anchors_and_bounded_state(spark, monkeypatch, texts, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(common, "HOT_LEAST", 2)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.cut_repeats(df, 100).collect()}
     assert got == brute(texts.items(), 100)
