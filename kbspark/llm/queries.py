@@ -13,9 +13,9 @@ from kbspark.llm.common import table
 
 OP9_SQL = r"""
 WITH cut AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS (
   SELECT *, CASE
@@ -24,11 +24,14 @@ ruled AS (
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/'
-    END AS rule FROM parts)
+    END AS rule FROM parts),
+listed AS (
+  SELECT DISTINCT concat(host, path) AS key FROM parts
+  WHERE list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'spam']) OR length(html) - length(replace(html, '%%%', '')) >= 30)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'spam']) THEN 'block'
+    WHEN concat(host, path) IN (SELECT key FROM listed) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """
@@ -77,11 +80,21 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Parts of host names, between dots or hyphens, that put a host's pages on the list.
 LISTED_PARTS = ("ads", "adult", "bets", "casino", "pills", "spam")
+#: A page with so many runs of this mark is on the list as well.
+MARK, MARKS = "%%%", 10
+
+
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The list of op9: the keys (host and path) of pages of junk, told by their host's name or by what is in them."""
+    host, path = urls.host_and_path(F.col("url"))
+    marked = F.char_length("html") - F.char_length(F.replace("html", F.lit(MARK), F.lit(""))) >= MARKS * len(MARK)
+    junk = F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, LISTED_PARTS))) | F.coalesce(marked, F.lit(False))
+    return pages.where(junk).select(F.concat(host, path).alias("key"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, LISTED_PARTS)))
-    return urls.judge_urls(table(spark, sf_dir, "pages"), listed, URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, listed_pages(pages), URL_RULES)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,15 +84,23 @@ def test_url_query(spark):
     assert got == sorted(tuple(map(str, r)) for r in duckdb.sql(queries.OP9_SQL).fetchall())
 
 
-@pytest.mark.parametrize("bits, levels", [(1 << 27, 12), (64, 3)])
-def test_cascade_is_exact(spark, bits, levels):
+@pytest.mark.parametrize("bits, per_key, slices", [(1 << 27, 8, 1), (1 << 27, 2, 1), (256, 8, 6)])
+def test_cascade_is_exact(spark, bits, per_key, slices):
     rows = [(1, None), (2, "x"), (3, "HTTP://A.com/en/x?q"), (4, "a://b://c"), (5, "://"), (None, "h://\n/x\ny#z"), (6, "é://ÀB/Ü"), *((i, f"http://h{i % 400}.net/p{i % 7}") for i in range(10, 900))]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = urls.judge_urls(pages, F.crc32(F.encode("host", "utf-8")) % 5 == 0, [], max_bits=bits, max_levels=levels).collect()
-    assert len(got) == len(rows) and all((r.verdict == "block") == (zlib.crc32(r.host.encode()) % 5 == 0) for r in got)
+    on_list = lambda key: zlib.crc32(key.encode()) % 5 == 0
+    keys = {f"h{i % 400}.net/p{i % 7}" for i in range(10, 900)} | {"", "a.com/en/x", "b:" + "//c", "\n/x\ny", "Àb/Ü"}
+    listed = spark.createDataFrame([(k,) for k in sorted(keys) if on_list(k)] + [("of no page",), (None,)], "key string")
+    n_listed = listed.count() - 1
+    assert urls.slices_for(n_listed, len(keys) - n_listed, per_key, 4, bits) == pytest.approx(slices, abs=1)
+    judged = urls.judge_urls(pages, listed, [], max_bits=bits, bits_per_key=per_key)
+    got = judged.collect()
+    assert len(got) == len(rows) and all((r.verdict == "block") == on_list(r.host + r.path) for r in got)
     by = {r.page_id: (r.host, r.path) for r in got}
     assert [by[i] for i in (1, 2, 3, 4, 5, None, 6)] == [("", ""), ("", ""), ("a.com", "/en/x"), ("b:", "//c"), ("", ""), ("\n", "/x\ny"), ("Àb", "/Ü")]
-    assert urls.judge_urls(pages.where("false"), F.lit(True), []).count() == 0
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert urls.judge_urls(pages.where("false"), listed, []).count() == 0
+    assert {r.verdict for r in urls.judge_urls(pages, listed.where("false"), []).collect()} == {"allow"}
 
 
 def test_languages(spark, documents):
