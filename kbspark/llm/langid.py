@@ -8,8 +8,8 @@ cosine is less than a set part of a low quantile of those that the sample's
 texts of that language and about that length have to their own centroids.
 
 Document frequencies count all training rows. The clusters are fitted on a
-bounded sample, about ``sample`` rows per language, and one language is one
-task. The model has a fixed size per language.
+bounded sample, about ``sample`` different texts per language, and one language
+is one task. The model has a fixed size per language.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, utf8, worker_state
+from kbspark.llm.common import batch_of, stored, utf8, worker_state
 
 DIM = 1 << 13
-#: Languages that a model holds at most (the most frequent), 128 KB each.
-MAX_LANGUAGES = 256
+#: Values of lang beyond which fitting is refused, as no worker could hold the model: a language takes 128 KB.
+MOST_LANGUAGES = 4096
 #: The sample of a language is cut by length into at most LENGTHS classes of at least CLASS_TEXTS texts (one class of all if
 #: there are fewer), and LOW of a class's cosines, at least one, may be outliers.
 LENGTHS, CLASS_TEXTS, LOW = 8, 50, 0.01
@@ -145,17 +145,20 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float = 0.25) -> Model:
     """A model of ``training`` (text as bytes, lang); rows without lang or letters teach nothing.
 
-    Texts are accepted down to ``slack`` times the low quantile of the cosines of
+    More than MOST_LANGUAGES values of lang are an error. Texts are accepted down to ``slack`` times the low quantile of the cosines of
     their language and class of length in the sample.
     """
     rows = training.where(F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     df, n = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    if not sizes:
-        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros((0, LENGTHS - 1)), np.zeros((0, LENGTHS)))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, c in sizes.items() for x in (lang, min(1.0, sample / c)))), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    # copies are one text: a language is drawn by how many different ones it has
+    place = F.xxhash64("text")
+    with_letters = rows.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    sizes = stored(with_letters.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n")), "languages")
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of lang")
+    share = F.least(F.lit(1.0), sample / F.col("n"))
+    drawn = with_letters.join(F.broadcast(sizes), "lang").where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
     schema = "lang string, longest array<double>, least array<double>, centroids binary"
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +173,7 @@ def fit(training: DataFrame, sample: int = 1000, clusters: int = 4, slack: float
         longest, low = limits(n, (x @ c.T).max(axis=1))
         return pd.DataFrame({"lang": [key[0]], "longest": [longest.tolist()], "least": [(low * slack).tolist()], "centroids": [c.tobytes()]})
 
-    drawn = drawn.dropDuplicates(["text"]).select("lang", "text")
+    drawn = drawn.select("lang", "text").distinct()
     found = sorted(drawn.groupBy("lang").applyInPandas(learn, schema).collect(), key=lambda r: r.lang)  # a row per language
     each = [np.frombuffer(r.centroids, np.float32).reshape(-1, DIM) for r in found]
     if not found:

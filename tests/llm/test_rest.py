@@ -118,17 +118,44 @@ FOREIGN = (
 )
 
 
-def test_foreign_languages_are_rejected(spark):
+NOISE = ("zxq qzx xqz zqx " * 30, "жщъ щфх цшъ кхц " * 30)
+
+
+@pytest.mark.parametrize("outliers", [False, True])
+def test_foreign_languages_are_rejected(spark, outliers):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    model = langid.fit_on_documents(docs)
-    found = model.predict([(t + " ").encode() * 20 for t in FOREIGN])
-    print(found, model.least.round(3).tolist())
+    training = docs.select("doc_id", "text", "lang")
+    if outliers:  # one text of noise in the sample of each language
+        odd = [(10**9 + i, NOISE[0] + f" {lang}", lang) for i, lang in enumerate(("en", "de", "fr", "es"), 1)]
+        training = training.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    model = langid.fit_on_documents(training)
+    found = model.predict([(t + " ").encode() * 20 for t in (*FOREIGN, *(NOISE[1:] if outliers else NOISE))])
     rows = langid.identify(docs, model).where("held_out AND lang_pred <> 'und'").collect()
-    print(sum(r.rejected for r in rows), len(rows))
     assert all(rejected for _, _, rejected in found)
     assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
 
 
+def test_languages_of_copies_are_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    german = docs.where("lang = 'de' AND length(text) > 300").orderBy("doc_id").first().text
+    rows = docs.where("lang = 'en'").select(F.col("text").cast("binary").alias("text"), "lang")
+    for i in range(3):
+        copies = spark.range(5000).select(F.lit(f"{german} {'und ' * i}").cast("binary").alias("text"), F.lit("de").alias("lang"))
+        assert langid.fit(rows.unionByName(copies), sample=100).languages == ["de", "en"]
+
+
+def test_cosines_equal_brute_force(spark, documents, texts):
+    model = langid.fit_on_documents(documents)
+    place = lambda g: (int.from_bytes(g, "big") * 2654435761 % 2**32) >> 19
+    for r in langid.identify(documents, model).where("lang_pred <> 'und'").limit(40).collect():
+        plain = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + re.sub(rb"[A-Z]", lambda m: m[0].lower(), texts[r.doc_id].encode()) + b" ")
+        n = Counter(place(plain[i : i + 3]) for i in range(len(plain) - 2))
+        x = {k: math.log1p(c) * float(model.idf[k]) for k, c in n.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        best = max((sum(v * float(c[k]) for k, v in x.items()) / norm, model.languages[o]) for c, o in zip(model.centroids, model.owner))
+        assert r.score == pytest.approx(best[0], abs=1e-4) and r.lang_pred == best[1]
+
+
 def test_languages_odd(documents, odd, empty):
     model = langid.fit_on_documents(documents)
     got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
