@@ -6,8 +6,10 @@ that occurs in some item, and a word that ends such a match of ``window`` words
 (or the whole of a shorter item) marks the words of that match as hit.
 
 Items are dealt to blocks of bounded size, so that an automaton never outgrows
-a worker; each block is one pass over the documents, and a document's hits from
-all blocks are merged. With one block, the usual case, nothing is shuffled.
+a worker. With one block, the usual case, documents take one narrow pass. With
+several, they take one pass through a Bloom filter of the hashes of all windows;
+only documents with a window that it may hold, the contaminated ones and a few
+more, go on to the automata, and their hits from all blocks are merged.
 """
 
 from __future__ import annotations
@@ -17,19 +19,23 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, stored, utf8
+from kbspark.llm.common import batch_of, stored, utf8, worker_state
+from kbspark.llm.shingles import mix
 
 #: Bytes of item texts in one automaton, which takes about 150 times as much memory.
 BLOCK_BYTES = 1 << 20
+#: Bits of the filter for each word of the items, and its most bits (beyond them more documents than need go on).
+WORD_BITS, MOST_BITS = 32, 1 << 30
 #: Bytes to what a word keeps: letters in lower case, digits and everything beyond ASCII; the rest is a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 CONTAMINATION_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans binary"
 #: Columns in which hits travel from pass to pass.
-SPANS, NAMES = "__kb_spans", "__kb_items"
+SPANS, NAMES, MAYBE = "__kb_spans", "__kb_items", "__kb_maybe"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -150,12 +156,43 @@ class ItemAutomaton:
         return [(int(a), int(b) + 1) for a, b in zip(edges[::2], edges[1::2]) if b - a + 1 >= self.shortest]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """``items`` in parts of about ``block_bytes`` of text, by a hash of the text."""
-    total = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[list[DataFrame], int]:
+    """The different ``items`` in parts of about ``block_bytes`` of text, and the bytes of all."""
+    rows = items.select(F.col(id_col).cast("string").alias("item_id"), utf8(text_col).alias("text")).distinct()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    rows = items.select(F.col(id_col).cast("string").alias("item_id"), utf8(text_col).alias("text"))
-    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+    return [rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) for k in range(n)], total
+
+
+class WindowFilter:
+    """A Bloom filter, with one hash, of the items' windows: runs of ``window`` words, or all of a shorter item."""
+
+    def __init__(self, window: int, total: int):
+        self.window, bits = window, 64
+        while bits < min(total * WORD_BITS // 4, MOST_BITS):  # at least four bytes a word, as a guess
+            bits *= 2
+        self.bits, self.marks, self.lengths = bits, np.zeros(bits // 8, np.uint8), set()
+
+    def _places(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        h = np.full(len(hashes) - n + 1, n, np.uint64)
+        for j in range(n):
+            h = mix(h + hashes[j : j + len(h)])
+        return (h & np.uint64(self.bits - 1)).astype(np.int64)
+
+    def add(self, words: list[bytes]) -> None:
+        if n := min(self.window, len(words)):
+            self.lengths.add(n)
+            at = self._places(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), n)
+            np.bitwise_or.at(self.marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def may_hold(self, words: list[bytes]) -> bool:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        for n in self.lengths:
+            if n <= len(words):
+                at = self._places(hashes, n)
+                if (self.marks[at >> 3] >> (at & 7) & 1).any():
+                    return True
+        return False
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -167,40 +204,76 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(docs: DataFrame, blocks: list[DataFrame], window: int, text_col: str, finish: Callable, schema) -> DataFrame:
-    """Stream all documents through each block's automaton, one narrow pass per
-    block. Hits travel in two columns to the last pass, where ``finish(part, texts,
-    n_words, spans, names)`` makes the rows that are returned."""
-    session = docs.sparkSession
-    rows = docs.withColumns({SPANS: F.lit(b""), NAMES: F.lit(b"")})
+def _scan(docs: DataFrame, items: tuple[list[DataFrame], int], window: int, text_col: str, finish: Callable, schema) -> DataFrame:
+    """Stream documents through each block's automaton. Hits travel in two columns to
+    the last one, where ``finish(part, texts, n_words, spans, names)`` makes the
+    rows that are returned."""
+    context, (blocks, total) = docs.sparkSession.sparkContext, items
     at = docs.columns.index(text_col)
+    texts_of = lambda part: [x.encode() if isinstance(x, str) else x for x in part.column(at).to_pylist()]
+
+    def words_in(block: DataFrame) -> Iterator[tuple[str | None, list[bytes]]]:
+        return ((r.item_id, words_of(None if r.text is None else bytes(r.text))) for r in block.toLocalIterator())  # block_bytes
+
+    rows, clear = docs, None
+    if len(blocks) > 1:
+        seen = WindowFilter(window, total)
+        for block in blocks:
+            for _, words in words_in(block):
+                seen.add(words)
+        known = context.broadcast(seen)  # MOST_BITS at most
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state("decontaminate")
+            for batch in batches:
+                for i in range(0, batch.num_rows, 512):
+                    part = batch.slice(i, 512)
+                    flags = [known.value.may_hold(words_of(t)) for t in texts_of(part)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flags, pa.bool_())], names=[*part.schema.names, MAYBE])
+
+        marked = stored(docs.mapInArrow(mark, f"{_ddl(docs)}, {MAYBE} boolean"), "marked")
+        rows = marked.where(MAYBE).drop(MAYBE)
+
+        def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 512):
+                    part = batch.slice(i, 512)
+                    texts = texts_of(part)
+                    yield finish(part, texts, [len(words_of(t)) for t in texts], [[] for _ in texts], [set() for _ in texts])
+
+        clear = marked.where(~F.col(MAYBE)).drop(MAYBE).mapInArrow(pass_by, schema)
+    rows = rows.withColumns({SPANS: F.lit(b""), NAMES: F.lit(None).cast("array<string>")})
     for k, block in enumerate(blocks):
-        items = ((r.item_id, words_of(None if r.text is None else bytes(r.text))) for r in block.collect())  # block_bytes
-        shared, last = session.sparkContext.broadcast(ItemAutomaton(items, window)), k == len(blocks) - 1
+        shared, last = context.broadcast(ItemAutomaton(words_in(block), window)), k == len(blocks) - 1
 
         def stream(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            worker_state("decontaminate")
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
                     part = batch.slice(i, 512)
-                    texts = [x.encode() if isinstance(x, str) else x for x in part.column(at).to_pylist()]
+                    texts = texts_of(part)
                     n_words, spans, names = [], [], []
                     for text, old, of in zip(texts, part.column(SPANS).to_pylist(), part.column(NAMES).to_pylist()):
                         words = words_of(text)
                         here, found = shared.value.match(words)
                         n_words.append(len(words))
                         spans.append(merged([*here, *map(tuple, np.frombuffer(old, "<i4").reshape(-1, 2).tolist())]) if old else here)
-                        names.append({x.encode() for x in found if x is not None} | {x for x in of.split(b",") if x})
+                        names.append({x for x in found if x is not None}.union(of or ()))
                     own = part.select(part.schema.names[:-2])
                     if last:
                         yield finish(own, texts, n_words, spans, names)
                     else:
-                        packed = [pa.array([np.array(x, "<i4").tobytes() for x in spans], pa.binary()), pa.array([b",".join(sorted(x)) for x in names], pa.binary())]
+                        packed = [pa.array([np.array(x, "<i4").tobytes() for x in spans], pa.binary()), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
                         yield pa.RecordBatch.from_arrays([*own.columns, *packed], names=part.schema.names)
 
         rows = rows.mapInArrow(stream, schema if last else rows.schema)
         if k % 4 == 3 and not last:
             rows = stored(rows, "hits")
-    return rows
+    return rows if clear is None else rows.unionByName(clear)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -219,7 +292,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
         out = []
         for doc_id, n, ranges, of in zip(part.column(0).to_pylist(), n_words, spans, names):
             n_hit = sum(b - a for a, b in ranges)
-            out.append((doc_id, n, n_hit, len(of), hashlib.sha256(b",".join(sorted(of))).hexdigest(), n_hit > 0 and coverage[1] * n_hit >= coverage[0] * n, np.array(ranges, "<i4").tobytes()))
+            out.append((doc_id, n, n_hit, len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), n_hit > 0 and coverage[1] * n_hit >= coverage[0] * n, np.array(ranges, "<i4").tobytes()))
         return batch_of(out, CONTAMINATION_SCHEMA)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))

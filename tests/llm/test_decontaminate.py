@@ -47,6 +47,26 @@ def test_query(spark, texts):
     assert got == sorted(brute(texts.items(), items, 13))
 
 
+def test_ids_with_commas_over_blocks(spark):
+    items = spark.createDataFrame([("a,b", "the cat sat on the mat today"), ("c", "a dog ran over the green hill"), ("c", "the cat sat on the mat today"), ("ä", "one two three four five")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so the cat sat on the mat today and a dog ran over the green hill"), (2, "nothing of them"), (3, "ONE two three four five")], "doc_id long, text string")
+    for size in (1 << 20, 30):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in dc.contamination(docs, items, window=5, block_bytes=size).collect()}
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert got == {1: (14, 2, sha("a,b,c")), 2: (0, 0, sha("")), 3: (5, 1, sha("ä"))}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_filter_loses_no_window(seed):
+    rnd = random.Random(seed)
+    texts = [[rnd.choice(b"abcdefghijklm".split() + [b"x", b"y", b"z"]) for _ in range(rnd.randint(0, 9))] for _ in range(20)]
+    seen = dc.WindowFilter(4, 1000)
+    for w in texts:
+        seen.add(w)
+    assert all(seen.may_hold([b"q", *w, b"q"]) for w in texts if w)
+    assert not seen.may_hold([b"q"] * 20)
+
+
 def test_blocks_and_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None), (3, ""), (None, "a b c d"), (1, "one"), (10, "ONE")], "item_id long, text string")
     docs = [(r.doc_id, r.text) for r in odd.collect()]
