@@ -8,9 +8,9 @@ texts, and from that the posterior of each pattern. A linear scorer over hashed
 words and text shapes is then trained on a bounded sample towards the posteriors,
 and scores every document.
 
-Abuse is seen by a short list of English words and, where there are labels of
-toxic documents, by one more labeller per language, whose words are those that
-the labelled documents of the language have far more often in toxic ones.
+Abuse is seen where there are labels of toxic documents: by one labeller per
+language, whose words are those that the labelled documents of the language
+have far more often in toxic ones, and one that asks for two of them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import batch_of, stored, utf8
+from kbspark.llm.common import batch_of, stored, utf8, worker_state
 
-# Words of abuse, and the symbols that prose has few of.
-ABUSE = frozenset((b"clown", b"disgusting", b"idiot", b"loser", b"moron", b"pathetic", b"scum", b"stupid", b"trash", b"worthless"))
+# The symbols that prose has few of.
 _NO_SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>~^"))
 _NO_CAPITALS, _NO_SMALL = bytes(set(range(256)) - set(range(65, 91))), bytes(set(range(256)) - set(range(97, 123)))
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
-#: Bins of the scorer's weights, and the most rows of either kind that it is trained on.
-DIM, SAMPLE = 1 << 16, 10_000
+#: Bins of the scorer's weights, about how many rows of either kind it is trained on, and the most bins of one of them
+#: (of a text with more different words, those with the smallest hashes).
+DIM, SAMPLE, ROW_BINS = 1 << 16, 10_000, 1000
 _CACHE_WORDS = 300_000
 #: A word of abuse is in at least so many toxic documents of its language, and so many times as frequent there as in clean ones.
 SUPPORT, RATIO = 3, 30
@@ -53,8 +54,6 @@ class Shape:
     shouts: float  # exclamation marks per word
     bars: float  # | per word
     ends: float  # words that end a sentence, per word
-    abuse: int  # words of abuse
-    kinds: int  # different words of abuse
     learned: int = 0  # different words of the language's learned lexicon
 
 
@@ -64,23 +63,21 @@ def shape_of(text: bytes, lexicon: frozenset[bytes] = frozenset()) -> tuple[Shap
     n = max(1, len(words))
     low = text.lower()
     plain = set(_WORD.findall(low))
-    abuse = plain & ABUSE
     symbols = len(text.translate(None, _NO_SYMBOLS))
     big, small = len(text.translate(None, _NO_CAPITALS)), len(text.translate(None, _NO_SMALL))
     run = longest = 1
-    if len(set(words)) * 3 < len(words):
+    if any(map(eq, words, words[1:])):
         for a, b in zip(words, words[1:]):
             run = run + 1 if a == b else 1
             longest = max(longest, run)
     marked = sum(1 for w in words if w.translate(None, _NO_SYMBOLS)) if symbols else 0
     ends = text.count(b". ") + text.count(b".\n") + text.count(b"? ") + text.count(b"! ") + text.rstrip().endswith((b".", b"?", b"!"))
-    count = sum(low.count(w) for w in abuse)
-    return Shape(len(words), symbols / max(1, len(text)), marked / n, len(set(words)) / n, longest, big / max(1, big + small), text.count(b"!") / n, text.count(b"|") / n, ends / n, count, len(abuse), len(plain & lexicon)), plain
+    return Shape(len(words), symbols / max(1, len(text)), marked / n, len(set(words)) / n, longest, big / max(1, big + small), text.count(b"!") / n, text.count(b"|") / n, ends / n, len(plain & lexicon)), plain
 
 
 def votes(s: Shape) -> tuple[int, ...]:
     """The labellers' votes, 0 bad, 1 none, 2 good."""
-    clean = s.marked < 0.02 and s.bars == 0 and s.capitals < 0.3 and s.shouts < 0.1 and not s.abuse and not s.learned
+    clean = s.marked < 0.02 and s.bars == 0 and s.capitals < 0.3 and s.shouts < 0.1 and not s.learned
     varied = s.words < 10 or (s.distinct > 0.25 and s.run < 5)
     bad = lambda x: 0 if x else 1
     return (
@@ -88,12 +85,13 @@ def votes(s: Shape) -> tuple[int, ...]:
         bad(s.words >= 10 and s.distinct < 0.2), bad(s.run >= 5),
         bad(s.capitals > 0.5), bad(s.shouts > 0.3),
         bad(s.bars > 0.1), bad(s.words >= 20 and s.ends < 0.005),
-        bad(s.abuse > 0), bad(s.abuse > 0.05 * s.words or s.kinds > 1),
+        bad(s.learned > 1),
         2 if clean and varied and (s.words < 10 or 0.01 < s.ends < 0.6) else 1, 2 if clean and varied and s.words >= 20 else 1,
     )
 
 
-PATTERNS = 3**12
+LABELLERS = 11
+PATTERNS = 3**LABELLERS
 
 
 def pattern_of(v: tuple[int, ...]) -> int:
@@ -152,7 +150,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     out: dict[str, set[bytes]] = {}
     for r in picked.collect():
         out.setdefault(r.lang, set()).add(bytes(r.word))
-    return {language: frozenset(out[language] - ABUSE) for language in sorted(out)}
+    return {language: frozenset(out[language]) for language in sorted(out)}
 
 
 def posteriors(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
@@ -164,7 +162,7 @@ def posteriors(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], np.float64)
     languages = range(1, max(codes) // PATTERNS + 1)
-    v = np.array([[*(c // 3**k % 3 for k in reversed(range(12))), *(0 if c // PATTERNS == k else 1 for k in languages)] for c in codes])
+    v = np.array([[*(c // 3**k % 3 for k in reversed(range(LABELLERS))), *(0 if c // PATTERNS == k else 1 for k in languages)] for c in codes])
     bad = np.where((v == 0).any(axis=1), 0.95, 0.05)
     for _ in range(rounds):
         logs = []
@@ -193,8 +191,8 @@ class Features:
         level = lambda x, *limits: sum(x > t for t in limits)
         shape = (
             level(s.symbols, 0.002, 0.01, 0.03, 0.1), 8 + level(s.marked, 0.01, 0.05, 0.15, 0.5), 16 + level(s.distinct, 0.1, 0.2, 0.3, 0.5, 0.7) + 8 * (s.words >= 10), 32 + level(s.run, 2, 4, 8),
-            40 + level(s.capitals, 0.1, 0.3, 0.5, 0.8), 48 + level(s.shouts, 0.05, 0.3), 56 + level(s.bars, 0, 0.1, 0.5), 64 + level(s.ends, 0.005, 0.02, 0.1, 0.3, 0.6), 72 + level(s.abuse, 0, 1, 3),
-            80 + level(s.words, 4, 9, 19, 49, 199), 88, *([96 + level(s.learned, 1, 3)] if s.learned else ()),
+            40 + level(s.capitals, 0.1, 0.3, 0.5, 0.8), 48 + level(s.shouts, 0.05, 0.3), 56 + level(s.bars, 0, 0.1, 0.5), 64 + level(s.ends, 0.005, 0.02, 0.1, 0.3, 0.6), 72 + level(s.learned, 0, 1, 3),
+            80 + level(s.words, 4, 9, 19, 49, 199), 88,
         )
         return np.array([*shape, *map(cache.__getitem__, words)], np.int32)
 
@@ -223,7 +221,7 @@ def _inputs(at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 def _pass(docs: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = worker_state("weak_quality", Features)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 yield batch_of(make(features, *(c[i : i + 512].to_pylist() for c in batch.columns)), schema)
@@ -265,11 +263,13 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_c
                 s, words, pattern = judged(text, language)
                 p = bad.value[pattern]
                 if draw < share[p > 0.5]:
-                    out.append((features.of(s, words).tobytes(), p))
+                    f = features.of(s, words)
+                    n_shape = int((f < 256).sum())
+                    out.append((np.concatenate((f[:n_shape], np.sort(f[n_shape:])[:ROW_BINS])).astype(np.int32).tobytes(), p))
         return out
 
-    # about ``sample`` rows of either kind; copies are one
-    chosen = _pass(rows, sampled, "features binary, p double").dropDuplicates(["features"]).limit(4 * sample).collect()
+    # about ``sample`` rows of either kind, of at most 4 * ROW_BINS bytes each; copies are one
+    chosen = _pass(rows, sampled, "features binary, p double").dropDuplicates(["features"]).limit(3 * sample).collect()
     weights = context.broadcast(train([(np.frombuffer(f, np.int32), p) for f, p in sorted((bytes(r.features), r.p) for r in chosen)]))
 
     def score(features: Features, ids, texts, langs) -> list[tuple]:

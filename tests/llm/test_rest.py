@@ -177,6 +177,28 @@ def test_weak_labels(spark, odd, empty):
     assert weak_quality.classify(odd).count() == odd.count() and weak_quality.classify(empty).count() == 0
 
 
+def test_runs_are_counted_in_varied_texts():
+    words = [f"w{i}" for i in range(200)]
+    shape, _ = weak_quality.shape_of(" ".join(words[:90] + ["again"] * 40 + words[90:]).encode())
+    assert shape.run == 40 and weak_quality.votes(shape)[3] == 0
+    assert weak_quality.shape_of(b"a b b c")[0].run == 2 and weak_quality.shape_of(b"")[0].run == 1
+
+
+def test_posteriors_equal_plain_em(rnd):
+    """The same EM, text by text and labeller by labeller."""
+    texts = [tuple(rnd.choice((0, 1, 1, 2)) for _ in range(weak_quality.LABELLERS)) for _ in range(300)]
+    got = weak_quality.posteriors(Counter(map(weak_quality.pattern_of, texts)), rounds=5)
+    bad = [0.95 if 0 in v else 0.05 for v in texts]
+    for _ in range(5):
+        like = []
+        for p in ([1 - b for b in bad], bad):
+            share = (sum(p) + 1) / (len(texts) + 2)
+            table = [[(sum(w for w, v in zip(p, texts) if v[j] == x) + 0.5) / (sum(p) + 1.5) for x in range(3)] for j in range(weak_quality.LABELLERS)]
+            like.append([share * math.prod(table[j][x] for j, x in enumerate(v)) for v in texts])
+        bad = [b / (a + b) for a, b in zip(*like)]
+    assert all(got[weak_quality.pattern_of(v)] == pytest.approx(b, abs=1e-6) for v, b in zip(texts, bad))
+
+
 def test_toxic_words_per_language(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -203,7 +225,7 @@ def test_posteriors_find_planted_accuracies(rnd):
     counts = Counter()
     for _ in range(5000):
         bad = rnd.random() < 0.3
-        v = [0 if rnd.random() < (0.8 if bad else 0.02) else 1 for _ in range(10)] + [2 if rnd.random() < (0.05 if bad else 0.9) else 1 for _ in range(2)]
+        v = [0 if rnd.random() < (0.8 if bad else 0.02) else 1 for _ in range(weak_quality.LABELLERS - 2)] + [2 if rnd.random() < (0.05 if bad else 0.9) else 1 for _ in range(2)]
         counts[weak_quality.pattern_of(tuple(v))] += 1
     p = weak_quality.posteriors(counts)
     assert abs(sum(p[c] * n for c, n in counts.items()) / 5000 - 0.3) < 0.03
