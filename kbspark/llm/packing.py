@@ -120,13 +120,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES_SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, salts: int = 32) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> DataFrame:
     """Add sequence_id and offset to stored ``pieces`` (doc_id, piece, length, ...).
 
     Pieces of the full capacity need no partner and get sequences of their own
-    without a rank. Gathered: one count per length and salt (at most capacity *
-    salts rows) and the plan, whose size depends on the lengths alone.
+    without a rank. Those of one length are ranked in ``salts`` groups, 32 or, of
+    very many pieces, up to 512. Gathered: one count per length; broadcast: one per
+    length and salt (at most capacity * salts rows) and the plan, whose size
+    depends on the lengths alone.
     """
+    if salts is None:
+        salts = min(512, max(32, pieces.count() // 5_000_000))
     spark = pieces.sparkSession
     full = F.col("length") == capacity
     rest = pieces.where(~full).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))

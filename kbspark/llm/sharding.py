@@ -9,7 +9,9 @@ and their counts are at most one apart.
 Only DataFrame functions touch the rows. What is gathered is one count per
 point of the ring (``shards * vnodes`` numbers, whatever the input); from those
 the walk around the ring is planned as runs "ranks a to b of arc c go to shard
-s", and each row finds its run by its rank within its arc.
+s", and each row finds its run by its rank within its arc: the rows of the
+arc's positions before its own, and its rank among those of its position. So
+ranking is dealt to ``2**ring_bits`` groups.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import stored
+
 
 def ring_points(spark, shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
     """(position, shard) of every virtual node in ring order; a fixed, small number."""
@@ -66,21 +70,22 @@ def assign_shards(docs: DataFrame, shards: int = 24, vnodes: int = 64, ring_bits
     ends = [p for p, _ in points]
     # arc i holds the positions after point i-1 up to point i; those after the last point wrap to arc 0
     spans = [(i, (ends[i - 1] + 1) if i else 0, e) for i, e in enumerate(ends)] + [(0, ends[-1] + 1, (1 << ring_bits) - 1)]
-    cells = F.broadcast(_values(spark, [s for s in spans if s[1] <= s[2]], "arc, lo, hi").select("arc", F.explode(F.sequence("lo", "hi")).alias("cell")))  # 2**ring_bits rows
-
-    def placed(df: DataFrame) -> DataFrame:
-        h = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
-        return df.withColumn("h", h).withColumn("cell", F.shiftrightunsigned("h", 64 - ring_bits).cast("int")).join(cells, "cell").drop("cell")
-
+    cells = _values(spark, [s for s in spans if s[1] <= s[2]], "arc, lo, hi").select("arc", F.explode(F.sequence("lo", "hi")).alias("cell"))  # 2**ring_bits rows
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    counts = {r["arc"]: r["count"] for r in placed(rows).groupBy("arc").count().collect()}  # at most shards * vnodes rows
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("h", h).withColumn("cell", F.shiftrightunsigned("h", 64 - ring_bits).cast("int"))
+    counted = stored(rows.groupBy("cell").agg(F.count("*").alias("n")).join(F.broadcast(cells), "cell"), "cells")  # at most 2**ring_bits rows
+    counts = {r["arc"]: r["n"] for r in counted.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # at most shards * vnodes rows
+    # arc 0 goes on from the end of the ring to its beginning, any order of its cells will do
+    before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    places = F.broadcast(counted.select("cell", "arc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     n = sum(counts.values())
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
     runs = bounded_walk(points, counts, capacity) or [(0, 0, 0, 0, 0)]
     plan = F.broadcast(_values(spark, runs, "arc, from_rank, to_rank, shard, first_slot"))  # at most shards * (vnodes + 1) rows
-    rank = (F.row_number().over(Window.partitionBy("arc").orderBy("h", "doc_id", "text_crc32", "size")) - 1).alias("rank")
-    ranked = placed(rows).select("*", rank).alias("r")
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "doc_id", "text_crc32", "size")) - 1
+    ranked = rows.withColumn("rank", rank).join(places, "cell").withColumn("rank", F.col("rank") + F.col("before")).alias("r")
     return ranked.join(plan.alias("p"), (F.col("r.arc") == F.col("p.arc")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("first_slot") + F.col("rank") - F.col("from_rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -27,6 +27,25 @@ def test_shards(documents, texts, shards):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == shards
 
 
+def test_walk_equals_row_by_row(spark):
+    """Rows go to the first point at or after theirs, arc by arc, and on clockwise from full shards."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    points = sharding.ring_points(spark, 5, 8, 16)
+    rows = sharding.assign_shards(docs, 5, vnodes=8).withColumn("cell", F.shiftrightunsigned(F.xxhash64("doc_id"), 48).cast("int")).collect()
+    arc = {r.doc_id: next((i for i, (p, _) in enumerate(points) if p >= r.cell), 0) for r in rows}
+    room, where = [600] * 5, {}
+    for r in sorted(rows, key=lambda r: (arc[r.doc_id], r.shard)):
+        where.setdefault(arc[r.doc_id], Counter())[r.shard] += 1
+    for a, n in sorted(Counter(arc.values()).items()):
+        want, at = Counter(), a
+        for _ in range(n):
+            while not room[points[at % len(points)][1]]:
+                at += 1
+            room[points[at % len(points)][1]] -= 1
+            want[points[at % len(points)][1]] += 1
+        assert where[a] == want
+
+
 def test_few_rows_move_with_one_more_shard(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a, b = ({r.doc_id: r.shard for r in sharding.assign_shards(docs, n).collect()} for n in (10, 11))
