@@ -36,6 +36,86 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+#: Words of a text as a list in DuckDB.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reached AS (
+  SELECT a AS doc_id, a AS other FROM links
+  UNION
+  SELECT reached.doc_id, b FROM reached JOIN links ON a = other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(d.doc_id, c), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c FROM reached GROUP BY doc_id) USING (doc_id)
+"""
+
+OP3_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+hits AS (
+  SELECT r, i, n, id
+  FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows)))
+  JOIN windows USING (n, g)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS names FROM (SELECT DISTINCT r, id FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN places USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+def _op7_sql(alpha: float = 0.02, delta: float = 0.05, worth: float = 5.0) -> str:
+    rules = quality_rules.RULES
+    cutoffs = ", ".join(f"('{rule}', {k}, CAST({c} AS DOUBLE))" for rule, cs in rules for k, c in enumerate(cs))
+    x = {"symbol_share": "n_symbols / word_chars", "dup_line_rate": "n_dup_lines / n_words", "repeat_share": "n_repeat_words / n_words", "word_length": "word_chars / n_words", "word_shortness": "n_words / word_chars"}
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {e}" for r, e in x.items()) + " END"
+    share = alpha / len(rules)
+    tail = f"list_sum(list_transform(range(0, n_false + 1), lambda j: exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({share}) + (n_good - j) * ln(1 - {share}))))"
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols
+  FROM documents),
+grams AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM texts)),
+repeats AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS k FROM grams) WHERE k > 1) GROUP BY r),
+measured AS (
+  SELECT r, doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN repeats USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+rules(rule, k, cutoff) AS (VALUES {cutoffs}),
+tests AS (SELECT judged.*, rule, k, cutoff, coalesce({value} > cutoff, false) AS above FROM judged, rules),
+known AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+counts AS (
+  SELECT stratum, rule, k, cutoff, count(*) FILTER (good = 1) AS n_good, count(*) FILTER (good = 1 AND above) AS n_false, count(*) FILTER (good <> 1) AS n_bad, count(*) FILTER (good <> 1 AND above) AS n_caught
+  FROM tests JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN n_false < n_good * {share} THEN {tail} ELSE 1 END AS p FROM counts),
+sure AS (
+  SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY k) <= {delta} / ((SELECT greatest(1, count(DISTINCT stratum)) FROM counts) * {len(rules)}) AS is_sure,
+    n_caught / greatest(n_bad, 1) - {worth} * (n_false / greatest(n_good, 1)) AS gain
+  FROM tails),
+chosen AS (SELECT stratum, rule, cutoff FROM sure WHERE is_sure AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, k) = 1),
+rejected AS (SELECT DISTINCT r FROM tests JOIN chosen USING (stratum, rule, cutoff) WHERE above)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept
+FROM judged
+"""
+
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -107,4 +187,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_url_filters": OP9_SQL}

@@ -9,7 +9,6 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from kbspark.llm import langid, quality_rules, queries, sharding, urls, weak_quality
 
 SF = "/root/testdata/sf0.001"
@@ -97,10 +96,14 @@ def test_thresholds_control_risk(spark):
     assert quality_rules.apply_rules(measured, quality_rules.certified_cutoffs(measured, labels)).where("kept <> (doc_id % 2 = 1)").count() == 0
 
 
-def test_url_query(spark):
-    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    got = sorted(tuple(map(str, r)) for r in queries.op9_url_filters(spark, SF).collect())
-    assert got == sorted(tuple(map(str, r)) for r in duckdb.sql(queries.OP9_SQL).fetchall())
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    sf = SF if name.startswith("op1_") else "/root/testdata/sf0.01"
+    for table in ("pages", "documents", "benchmark", "labels"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    got, want = queries.queries()[name](spark, sf), duckdb.sql(queries.oracle_sql()[name])
+    assert got.columns == want.columns
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
 
 
 @pytest.mark.parametrize("bits, per_key, slices", [(1 << 27, 8, 1), (1 << 27, 2, 1), (256, 8, 6)])
@@ -248,14 +251,3 @@ def test_posteriors_find_planted_accuracies(rnd):
         counts[weak_quality.pattern_of(tuple(v))] += 1
     p = weak_quality.posteriors(counts)
     assert abs(sum(p[c] * n for c, n in counts.items()) / 5000 - 0.3) < 0.03
-
-
-def test_pipeline(spark, documents):
-    docs, seen = documents, [documents.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = queries.ngram_join.stored(stage(spark, docs, SF), name)
-        assert docs.columns == documents.columns
-        seen.append(docs.count())
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 0.8 * seen[0]
-    packed = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}

@@ -7,7 +7,7 @@ from kbspark.llm import common, suffix_dedup
 from kbspark.llm.queries import op2_suffix_array_dedup
 
 
-def brute(docs, length):
+def brute_hits(docs, length):
     seen, out = set(), {}
     for d, t in sorted(docs):
         b = (t or "").encode()
@@ -17,11 +17,18 @@ def brute(docs, length):
                 hit[i : i + length] = b"\1" * length
             else:
                 seen.add(b[i : i + length])
-        kept = bytes(x for x, h in zip(b, hit) if not h)
-        out[d] = (len(b), sum(hit), sum(map(bool, bytes(hit).split(b"\0"))), hashlib.sha256(kept).hexdigest())
+        out[d] = (b, hit)
     return out
 
 
+def kept(b, hit):
+    return bytes(x for x, h in zip(b, hit) if not h)
+
+
+def brute(docs, length):
+    return {d: (len(b), sum(hit), sum(map(bool, bytes(hit).split(b"\0"))), hashlib.sha256(kept(b, hit)).hexdigest()) for d, (b, hit) in brute_hits(docs, length).items()}
+
+
 def test_query_equals_brute_force(spark, texts):
     got = {r.doc_id: tuple(r)[1:] for r in op2_suffix_array_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(texts.items(), 100)
