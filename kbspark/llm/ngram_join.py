@@ -231,10 +231,13 @@ def star_pairs(look: DataFrame, names: DataFrame, sketches: DataFrame, bands: Ba
 def mixed_buckets(ask: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
     """The buckets of several components: main (the largest), parts, n (rows), pairs
     (to be tested: whoever isn't of the main component meets all others)."""
-    one = lambda df, a, h: df.select(*on, "comp", "parts", F.lit(a).alias("a"), F.lit(h).alias("h"))
-    counted = one(ask, 1, 0).unionByName(one(have, 0, 1)).groupBy(*on, "comp").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
+    one = lambda df, a, h: df.select(*on, "doc_id", "comp", "parts", F.lit(a).alias("a"), F.lit(h).alias("h"))
+    both = one(ask, 1, 0).unionByName(one(have, 0, 1))
+    odd = both.groupBy(on).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("parts").alias("parts")).where("lo < hi").select(*on, "parts")
+    some = dealt(both, "doc_id").join(copied(odd).drop("parts"), [*on, "part"], "left_semi")
+    counted = some.groupBy(*on, "comp").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
     largest = F.max(F.struct((F.col("a") + F.col("h")).alias("n"), "comp", "a", "h")).alias("m")
-    all_ = counted.groupBy(on).agg(largest, F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"), F.count("*").alias("comps")).where("comps > 1")
+    all_ = counted.groupBy(on).agg(largest, F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
     return all_.select(*on, "parts", F.col("m.comp").alias("main"), (F.col("a") + F.col("h")).alias("n"), ((F.col("a") - F.col("m.a")) * F.col("h") + F.col("m.a") * (F.col("h") - F.col("m.h"))).alias("pairs")).where("pairs > 0")
 
 
@@ -335,7 +338,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return df.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
 
     on, label = ["key", "side"], components(linked)
-    ask, have = stored(labelled(look.drop("centre").distinct(), label), "ask"), stored(labelled(index, label), "have")
+    ask, have = stored(labelled(look.drop("centre"), label), "ask"), stored(labelled(index, label), "have")
     mixed = stored(mixed_buckets(ask, have, on), "mixed")
     cross = meetings(ask, have, mixed.where(F.col("pairs") <= CROWD * F.col("n")), on, sketches, bands)
     crowded = mixed.where(F.col("pairs") > CROWD * F.col("n"))
