@@ -37,7 +37,7 @@ from kbspark.llm.shingles import mix
 #: Bytes of the strings among which a window's anchor is chosen.
 ANCHOR_BYTES = 32
 #: Pieces of one anchor that one task may get; a more frequent anchor's windows are dealt by their own bytes.
-HOT_PIECES = 5_000
+HOT_PIECES = 50_000
 #: Hot anchors that are broadcast; if there are more, the marks go to the anchors' rows by a join.
 HOT_BROADCAST = 500_000
 #: Bytes of pieces in a batch that gets a suffix array, and in a task, whose levels take about five times as much memory.
