@@ -16,6 +16,7 @@ ERROR_WORDS = (
 RETRYABLE = ("rate_limit", "unavailable", "timeout")
 FATAL = ("auth", "not_installed", "config")
 SNIPPET_CHARS = 200
+RETRY_PATTERN = r"(?i)retry[- ]after:?\s*(\d+)"
 
 
 def error_class(stderr: Column) -> Column:
@@ -30,9 +31,21 @@ def is_fatal(kind: Column) -> Column:
     return kind.isin(*FATAL)
 
 
+def failure_message(kind: Column, model: Column, detail: Column) -> Column:
+    """What a person is told of a failure of ``kind``."""
+    said = {
+        "rate_limit": "%s takes no more requests for now: %s", "auth": "%s does not accept the credentials: %s", "unavailable": "%s cannot be reached: %s",
+        "timeout": "%s did not answer in time: %s", "not_installed": "%s is not installed: %s", "config": "%s is not set up: %s",
+    }
+    out = F.format_string("%s failed: %s", model, detail)
+    for name, form in said.items():
+        out = F.when(kind == name, F.format_string(form, model, detail)).otherwise(out)
+    return out
+
+
 def retry_after(stderr: Column) -> Column:
     """Seconds that a message asks to wait, null if it doesn't."""
-    return F.regexp_extract(stderr, r"(?i)retry[- ]after:?\s*(\d+)", 1).try_cast("long")
+    return F.regexp_extract(stderr, RETRY_PATTERN, 1).try_cast("long")
 
 
 def agent_message(payload: Column) -> Column:

@@ -71,6 +71,11 @@ def latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return both.withColumn("__k", rank).where("__k = 1").drop("__k", "__new")
 
 
+def lookup(manifest: DataFrame, value: Column | str, key: str = "path") -> DataFrame:
+    """The manifest's row of exactly this path (or other ``key``); no rows if there is none."""
+    return manifest.where(F.col(key) == value)
+
+
 def removed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 

@@ -32,25 +32,33 @@ def keyed(entries: DataFrame) -> DataFrame:
     return with_category(entries).withColumn("slug", text.slugify(F.col("what")))
 
 
+CONTEXT = ("files", "commits", "dependencies", "outcome")
+
+
+def body_hash(df: DataFrame):
+    """A hash of all that an entry says: its texts and whichever parts of a context ``df`` has."""
+    context = [F.array_sort(F.map_entries("outcome")).alias(c) if c == "outcome" else F.col(c) for c in CONTEXT if c in df.columns]
+    return F.sha2(F.to_json(F.struct("what", "why", "how", *context), {"ignoreNullFields": "false"}), 256)
+
+
 def write_actions(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """What writing ``batch`` (seq, category, slug, what, why, how) in the order of
-    seq does to ``stored`` (category, slug, body; a null body is one that can't
+    """What writing ``batch`` (seq, category, slug, what, why, how and parts of a
+    context) in the order of seq does to ``stored`` (category, slug, body; a null body is one that can't
     be read): ``action`` is written, updated or skipped for every row.
 
     A row meets what the row of the same key before it in the batch left, or
     else what is stored.
     """
-    body = F.sha2(F.to_json(F.struct("what", "why", "how"), {"ignoreNullFields": "false"}), 256)
     in_key = Window.partitionBy("category", "slug").orderBy("seq")
     old = stored.select("category", "slug", F.col("body").alias("old_body"))
-    rows = batch.withColumn("body", body).join(old, ["category", "slug"], "left")
+    rows = body_of(batch).join(old, ["category", "slug"], "left")
     met = F.coalesce(F.lag("body").over(in_key), F.col("old_body"))
     action = F.when(met.isNull(), "written").when(met == F.col("body"), "skipped").otherwise("updated")
     return rows.select(*batch.columns, "body", action.alias("action"))
 
 
 def body_of(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("body", F.sha2(F.to_json(F.struct("what", "why", "how"), {"ignoreNullFields": "false"}), 256))
+    return entries.withColumn("body", body_hash(entries))
 
 
 def last_of_each_key(batch: DataFrame) -> DataFrame:

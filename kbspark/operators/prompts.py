@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
 import tomllib
 from collections.abc import Callable, Iterator
 
@@ -67,12 +70,16 @@ def classify_failures(answers: DataFrame) -> DataFrame:
     return answers.where("error is not null").select("seq", "model", kind.alias("kind"), replies.is_retryable(kind).alias("retryable"), replies.is_fatal(kind).alias("fatal"), replies.retry_after(F.col("error")).alias("retry_after"), replies.snippet(F.col("error")).alias("snippet"))
 
 
-def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], attempts: int = 3, wait_s: float = 1.0) -> DataFrame:
+#: Seconds after which a provider's call counts as failed.
+TIMEOUT_S = 120.0
+
+
+def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], attempts: int = 3, wait_s: float = 1.0, timeout_s: float = TIMEOUT_S) -> DataFrame:
     """Ask every provider each of ``prompts`` (prompt_type, prompt): model,
     prompt_type, response, error, one of the last two null.
 
-    A failure that a retry can help is tried again after a doubling wait. Calls
-    are made where the rows are; store the result before using it twice.
+    A failure that a retry can help, one of no answer within ``timeout_s`` among
+    them, is tried again after a doubling wait. Calls are made where the rows are; store the result before using it twice.
     """
     if not providers:
         raise ValueError("No providers")
@@ -81,21 +88,39 @@ def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], atte
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [call(providers[m], p, attempts, wait_s) for m, p in zip(pdf["model"], pdf["prompt"])]
+            got = [call(providers[m], p, attempts, wait_s, timeout_s) for m, p in zip(pdf["model"], pdf["prompt"])]
             yield pd.DataFrame({"model": pdf["model"], "prompt_type": pdf["prompt_type"], "response": [g[0] for g in got], "error": [g[1] for g in got]})
 
     return rows.repartition("model", "prompt_type").mapInPandas(ask, "model string, prompt_type string, response string, error string")
 
 
-def call(provider: Callable[[str], str], prompt: str, attempts: int, wait_s: float) -> tuple[str | None, str | None]:
-    import time
+def within(provider: Callable[[str], str], prompt: str, timeout_s: float) -> str:
+    """The provider's answer; TimeoutError if it takes longer. Its thread can't hold a task: it is left to end by itself."""
+    got: queue.Queue = queue.Queue()
+
+    def run() -> None:
+        try:
+            got.put((provider(prompt), None))
+        except Exception as e:  # noqa: BLE001
+            got.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        answer, error = got.get(timeout=timeout_s)
+    except queue.Empty:
+        raise TimeoutError(f"timeout after {timeout_s:g} s") from None
+    if error is not None:
+        raise error
+    return answer
+
 
+def call(provider: Callable[[str], str], prompt: str, attempts: int, wait_s: float, timeout_s: float = TIMEOUT_S) -> tuple[str | None, str | None]:
     for k in range(attempts):
         try:
-            return provider(prompt), None
+            return within(provider, prompt, timeout_s), None
         except Exception as e:  # noqa: BLE001
             error = str(e)
-            hopeless = not any(w in error.lower() for name, words in replies.ERROR_WORDS if name in replies.RETRYABLE for w in words)
+            hopeless = not isinstance(e, TimeoutError) and not any(w in error.lower() for name, words in replies.ERROR_WORDS if name in replies.RETRYABLE for w in words)
             if hopeless or k == attempts - 1:
                 return None, error
             time.sleep(wait_s * 2**k)

@@ -116,6 +116,14 @@ def merge_outcome(clustered: DataFrame) -> DataFrame:
     return rows.groupBy("cluster_id", "key").agg(F.min_by("value", "seq").alias("value"), F.countDistinct("value").alias("n_values"))
 
 
+def merged_outcomes(clustered: DataFrame, votes: DataFrame) -> DataFrame:
+    """cluster_id, outcome: each key with its first value, or the winner of a vote on it."""
+    place = F.lit(len("context.outcome.") + 1)
+    won = votes.where(F.startswith("field", F.lit("context.outcome.")) & F.col("winner").isNotNull()).select("cluster_id", F.substring("field", place, F.lit(1 << 30)).alias("key"), "winner")
+    rows = merge_outcome(clustered).join(won, ["cluster_id", "key"], "left")
+    return rows.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.coalesce("winner", "value"))))).alias("outcome"))
+
+
 def conflicts(clustered: DataFrame) -> DataFrame:
     """cluster_id, field, seq, model, value: what is said where a cluster says
     more than one thing about ``what`` or about an outcome."""
@@ -154,18 +162,28 @@ def vote(said: DataFrame) -> DataFrame:
 
 
 def synthesize(clustered: DataFrame) -> DataFrame:
-    """One entry per cluster: what, why, how, category, n_entries, ordered by what.
+    """One entry per cluster: what, why, how, category, n_entries, and of files, commits,
+    dependencies and outcome what ``clustered`` has; ordered by what.
 
     A cluster of one is as it came. What a vote decided replaces what merging
     picked, within its own cluster; texts are trimmed; the category is that of
-    the merged text.
+    the merged text. Lists are brought together, sorted; of an outcome's values
+    the first stays unless a vote decided.
     """
-    decided = vote(conflicts(clustered.select("cluster_id", "seq", "model", "what"))).where("field = 'what'").select("cluster_id", "winner")
-    single = clustered.groupBy("cluster_id").agg(F.count("*").alias("n_entries"), F.first("what").alias("w"), F.first("why").alias("y"), F.first("how").alias("h"))
+    votes = vote(conflicts(clustered))
+    decided = votes.where("field = 'what'").select("cluster_id", "winner")
+    lists = [c for c in ("files", "commits", "dependencies") if c in clustered.columns]
+    maps = [c for c in ("outcome",) if c in clustered.columns]
+    single = clustered.groupBy("cluster_id").agg(F.count("*").alias("n_entries"), F.first("what").alias("w"), F.first("why").alias("y"), F.first("how").alias("h"), *(F.first(c).alias("__" + c) for c in lists + maps))
     rows = single.join(merge_what(clustered), "cluster_id").join(merge_why(clustered), "cluster_id").join(merge_how(clustered), "cluster_id").join(decided, "cluster_id", "left")
     alone = F.col("n_entries") == 1
     picked = {"what": F.when(alone, F.col("w")).otherwise(F.coalesce("winner", "what")), "why": F.when(alone, F.col("y")).otherwise(F.col("why")), "how": F.when(alone, F.col("h")).otherwise(F.col("how"))}
-    rows = rows.select("cluster_id", "n_entries", *(text.trim_space(c).alias(n) for n, c in picked.items()))
+    for c in lists:
+        rows = rows.join(merge_list(clustered, c), "cluster_id", "left")
+    for c in maps:
+        rows = rows.join(merged_outcomes(clustered, votes), "cluster_id", "left")
+    context = [F.when(alone, F.col("__" + c)).otherwise(F.col(c)).alias(c) for c in lists + maps]
+    rows = rows.select("cluster_id", "n_entries", *(text.trim_space(c).alias(n) for n, c in picked.items()), *context)
     return rows.withColumn("category", rules.infer_category(F.col("what"), F.col("why"), F.col("how"))).orderBy("what", "cluster_id")
 
 

@@ -12,7 +12,9 @@ from kbspark.operators import changes, commits, entries, prompts, search, synthe
 from kbspark.shared import stored
 from kbspark.sources.store import read_table, write_table
 
-ENTRIES = "category string, slug string, what string, why string, how string, body string"
+ENTRIES = "category string, slug string, what string, why string, how string, files array<string>, commits array<string>, dependencies array<string>, outcome map<string,string>, body string"
+PATTERNS = "pattern_id string, name string, created timestamp, last_updated timestamp"
+LINKS = "pattern_id string, path string"
 FILES = "path string, hash string, size long, pattern_id string"
 COMMITS = "sha string, category string, processed_at timestamp"
 
@@ -42,9 +44,11 @@ class KnowledgeBase:
         self.spark, self.root = spark, root.rstrip("/")
 
     def init(self) -> None:
-        """Empty tables; AlreadyThere if there are some."""
+        """Empty tables, one for each kind of row; AlreadyThere if there are some."""
         if read_table(self.spark, self.root, "meta", "n int").count():
             raise AlreadyThere(self.root)
+        for name, schema in {"entries": ENTRIES, "files": FILES, "commits": COMMITS, "patterns": PATTERNS, "links": LINKS}.items():
+            write_table(self.spark.createDataFrame([], schema), self.root, name)
         write_table(self.spark.range(1).select(F.lit(1).alias("n")), self.root, "meta")
 
     def table(self, name: str, schema: str) -> DataFrame:
@@ -57,8 +61,11 @@ class KnowledgeBase:
         return search.ask(self.entries(), query, max_results, category)
 
     def status(self, files: DataFrame, history: DataFrame) -> DataFrame:
-        """One row of structs: files, commits, knowledge and whether all is up to date."""
-        scan = changes.scan_counts(files, self.table("files", FILES)).select(F.struct("*").alias("files"))
+        """One row of structs: files (with how many of the changed ones are new or
+        modified), commits, knowledge and whether all is up to date."""
+        manifest = self.table("files", FILES)
+        kinds = changes.scan_changes(files, manifest).agg(F.struct(F.count_if(F.col("status") == "new").alias("new"), F.count_if(F.col("status") == "modified").alias("modified")))
+        scan = changes.scan_counts(files, manifest).withColumn("kinds", kinds.scalar()).select(F.struct("total", "changed", "deleted", "unchanged", "kinds.new", "kinds.modified").alias("files"))
         walk = commits.commit_counts(history, self.table("commits", COMMITS)).select(F.struct("*"))
         known = search.status_counts(self.entries()).select(F.struct("*"))
         row = scan.withColumns({"commits": walk.scalar(), "knowledge": known.scalar()})
@@ -106,12 +113,13 @@ class KnowledgeBase:
         if need_success and not answers.where("error is null").limit(1).count():
             raise AllProvidersFailed(", ".join(providers))
         parsed = stored(prompts.parse_responses(answers.where("error is null"), strip_fences=True).where("error is null"), "parsed")
-        order = parsed.withColumn("seq", F.col("seq") * 1_000_000 + F.col("entry_no"))
-        merged = synthesis.synthesize(synthesis.cluster(entries.with_category(order)))
-        batch = stored(entries.keyed(merged.withColumn("seq", F.monotonically_increasing_id())).select("seq", "category", "slug", "what", "why", "how").where(~text.is_blank(F.col("what"))), "batch")
+        order = entries.with_category(parsed.withColumn("seq", F.col("seq") * 1_000_000 + F.col("entry_no")))
+        # one reply alone has nothing to be brought together with
+        merged = synthesis.synthesize(synthesis.cluster(order)) if parsed.select("seq").distinct().limit(2).count() > 1 else order.orderBy("seq")
+        batch = stored(entries.keyed(merged.withColumn("seq", F.monotonically_increasing_id())).select("seq", "category", "slug", "what", "why", "how", *entries.CONTEXT).where(~text.is_blank(F.col("what"))), "batch")
         old = self.table("entries", ENTRIES)
         actions = stored(entries.write_actions(batch, old), "actions")
-        new = entries.last_of_each_key(actions).select("category", "slug", "what", "why", "how", "body")
+        new = entries.last_of_each_key(actions).select("category", "slug", "what", "why", "how", *entries.CONTEXT, "body")
         write_table(entries.upsert(old, new), self.root, "entries", partition_by="category")
         links = self.table("files", FILES).where("pattern_id is not null")
         kept = changes.link_patterns(links.limit(0), links, links.select("pattern_id").distinct(), files.join(todo["changed"], "path", "left_anti").select("path"))

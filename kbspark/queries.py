@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.adapters import MESSAGE_RULES, PATH_RULES, duck, view
-from kbspark.functions import rules, text
+from kbspark.functions import replies, rules, text
 from kbspark.operators import changes, commits, entries, prompts, search, synthesis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,12 +262,22 @@ def touch_patterns(spark, sf_dir):
     return changes.touched(patterns, changes.invalidated_patterns(files, m), F.lit(1000000).cast("long"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size, regexp_matches(left(text, 40), '[#$%&*]{3}') AS is_binary FROM documents")
+@query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def file_hash(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[#$%&*]{3}') AND strlen(regexp_extract(text, '(?s)^(.*?)[#$%&*]{3}', 1)) < 512 AS is_binary FROM documents")
+def binary_sniff(spark, sf_dir):
+    """A run of three signs stands for a zero byte."""
     body = F.encode(F.regexp_replace("text", "[#$%&*]{3}", "\0"), "UTF-8")
-    head = F.encode(F.regexp_replace(F.left("text", F.lit(40)), "[#$%&*]{3}", "\0"), "UTF-8")
-    return docs.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"), text.looks_binary(head).alias("is_binary"), F.length(body).alias("n")).drop("n")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.looks_binary(body).alias("is_binary"))
+
+
+@query(f"{duck('manifest_files')} SELECT path, hash, pattern_id, scanned FROM manifest_files WHERE path = (SELECT min(path) FROM manifest_files)")
+def manifest_lookup(spark, sf_dir):
+    m = view(spark, sf_dir, "manifest_files")
+    return changes.lookup(m, m.agg(F.min("path")).scalar())
 
 
 # -- commits --------------------------------------------------------------
@@ -393,33 +403,42 @@ def _equal(spark, sf_dir) -> DataFrame:
     return synthesis.cluster_equal(_tagged(spark, sf_dir))
 
 
-@query(f"""{_TAGGED.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (SELECT category, lower(what) AS t, min(seq) AS s FROM c GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s) AS n FROM d),
+_CLUSTERED = f"""{_TAGGED.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (SELECT category, lower(what) AS t, min(seq) AS s FROM c GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s) AS n FROM d),
 r AS (SELECT category, n, t, s AS cluster_id, [struct_pack(t := t, s := s)] AS leaders FROM o WHERE n = 1 UNION ALL
   SELECT category, n, t, coalesce(hit, s), CASE WHEN hit IS NULL THEN list_append(leaders, struct_pack(t := t, s := s)) ELSE leaders END FROM (
-    SELECT o.category, o.n, o.t, o.s, r.leaders, list_filter(r.leaders, lambda x: levenshtein(x.t, o.t) < 3)[1].s AS hit FROM r JOIN o ON o.category = r.category AND o.n = r.n + 1))
-SELECT c.seq, r.cluster_id FROM c JOIN r ON c.category = r.category AND lower(c.what) = r.t""")
+    SELECT o.category, o.n, o.t, o.s, r.leaders, list_filter(r.leaders, lambda x: levenshtein(x.t, o.t) < 3)[1].s AS hit FROM r JOIN o ON o.category = r.category AND o.n = r.n + 1)),
+k AS (SELECT c.*, r.cluster_id FROM c JOIN r ON c.category = r.category AND lower(c.what) = r.t)"""
+
+
+@query(f"{_CLUSTERED} SELECT seq, cluster_id FROM k")
 def cluster_leaders(spark, sf_dir):
     return synthesis.cluster(_tagged(spark, sf_dir)).select("seq", "cluster_id")
 
 
-@query(f"""{_EQUAL}, w AS (SELECT cluster_id, trim(what) AS what, count(*) AS n, min(seq) AS f FROM k GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n >= 2 DESC, strlen(what), f) AS i, count(*) OVER (PARTITION BY cluster_id) AS n_values FROM w)
-SELECT cluster_id, what, n_values FROM q WHERE i = 1""")
+_WHAT = """m_counts AS (SELECT cluster_id, trim(what) AS what, count(*) AS n, min(seq) AS f FROM k GROUP BY 1, 2), m_order AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n >= 2 DESC, strlen(what), f) AS i, count(*) OVER (PARTITION BY cluster_id) AS n_values FROM m_counts),
+m_what AS (SELECT cluster_id, what, n_values FROM m_order WHERE i = 1)"""
+
+
+@query(f"{_EQUAL}, {_WHAT} SELECT * FROM m_what")
 def merge_what(spark, sf_dir):
     return synthesis.merge_what(_equal(spark, sf_dir))
 
 
-def _parts(column: str, sep: str, glue: str, name: str) -> str:
+def _merged(column: str, sep: str, glue: str) -> str:
     split = f"string_split({column}, {sep})"
-    return f"""{_EQUAL}, p AS (SELECT cluster_id, seq, generate_subscripts({split}, 1) AS i, trim(unnest({split})) AS part FROM k),
-once AS (SELECT cluster_id, part, min(seq * 1000 + i) AS place FROM p WHERE part <> '' GROUP BY 1, 2) SELECT cluster_id, string_agg(part, {glue} ORDER BY place) AS {name} FROM once GROUP BY 1"""
+    return f"""p_{column} AS (SELECT cluster_id, seq, generate_subscripts({split}, 1) AS i, trim(unnest({split})) AS part FROM k),
+once_{column} AS (SELECT cluster_id, part, min(seq * 1000 + i) AS place FROM p_{column} WHERE part <> '' GROUP BY 1, 2), m_{column} AS (SELECT cluster_id, string_agg(part, {glue} ORDER BY place) AS {column} FROM once_{column} GROUP BY 1)"""
+
+
+_WHY, _HOW = _merged("why", "'.'", "'. '"), _merged("how", "chr(10)", "chr(10)")
 
 
-@query(_parts("why", "'.'", "'. '", "why"))
+@query(f"{_EQUAL}, {_WHY} SELECT * FROM m_why")
 def merge_why(spark, sf_dir):
     return synthesis.merge_why(_equal(spark, sf_dir))
 
 
-@query(_parts("how", "chr(10)", "chr(10)", "how"))
+@query(f"{_EQUAL}, {_HOW} SELECT * FROM m_how")
 def merge_how(spark, sf_dir):
     return synthesis.merge_how(_equal(spark, sf_dir))
 
@@ -461,9 +480,27 @@ def synthesis_report(spark, sf_dir):
     return synthesis.report(_equal(spark, sf_dir))
 
 
-@query()
+def _synthesized(base: str) -> str:
+    """Of clusters k: votes, merging and what a cluster of one is, brought together."""
+    return f"""{_VOTED.replace(_EQUAL, base)}, {_WHAT}, {_WHY}, {_HOW},
+single AS (SELECT cluster_id, count(*) AS n_entries, any_value(what) AS w, any_value(why) AS y, any_value(how) AS h, string_agg(DISTINCT file, ',' ORDER BY file) AS files, min_by(outcome_size, seq) AS first_size FROM k GROUP BY 1),
+brought AS (SELECT s.cluster_id, n_entries, trim(CASE WHEN n_entries = 1 THEN w ELSE coalesce(v.winner, what) END) AS what, trim(CASE WHEN n_entries = 1 THEN y ELSE coalesce(why, '') END) AS why, trim(CASE WHEN n_entries = 1 THEN h ELSE coalesce(how, '') END) AS how, files, coalesce(o.winner, first_size) AS outcome_size
+  FROM single s JOIN m_what USING (cluster_id) LEFT JOIN m_why USING (cluster_id) LEFT JOIN m_how USING (cluster_id) LEFT JOIN voted v ON v.cluster_id = s.cluster_id AND v.field = 'what' LEFT JOIN voted o ON o.cluster_id = s.cluster_id AND o.field = 'context.outcome.size')
+SELECT *, {_inferred('what', 'why', 'how')} AS category FROM brought"""
+
+
+def _flat(merged: DataFrame) -> DataFrame:
+    return merged.withColumn("files", F.array_join("files", ",")).withColumn("outcome_size", F.col("outcome")["size"]).drop("outcome")
+
+
+@query(_synthesized(_CLUSTERED))
 def synthesize(spark, sf_dir):
-    return synthesis.synthesize(synthesis.cluster(_tagged(spark, sf_dir)))
+    return _flat(synthesis.synthesize(synthesis.cluster(_tagged(spark, sf_dir))))
+
+
+@query(_synthesized(_EQUAL))
+def synthesize_equal(spark, sf_dir):
+    return _flat(synthesis.synthesize(_equal(spark, sf_dir)))
 
 
 @query(f"{_TAGGED} SELECT category, count(*) AS n, min(seq) AS first_seq FROM c GROUP BY 1")
@@ -502,6 +539,19 @@ def error_classify(spark, sf_dir):
     return prompts.classify_failures(view(spark, sf_dir, "replies"))
 
 
+@query(f"""{duck('replies')} SELECT seq, CASE WHEN contains(error, '429') THEN concat(model, ' takes no more requests for now: ', error) WHEN error = 'Unauthorized' THEN concat(model, ' does not accept the credentials: ', error)
+WHEN error = 'service Unavailable' THEN concat(model, ' cannot be reached: ', error) ELSE concat(model, ' failed: ', error) END AS message FROM replies WHERE error IS NOT NULL""")
+def failure_messages(spark, sf_dir):
+    failed = view(spark, sf_dir, "replies").where("error IS NOT NULL")
+    return failed.select("seq", replies.failure_message(replies.error_class(F.col("error")), F.col("model"), F.col("error")).alias("message"))
+
+
+@query(f"{duck('replies')} SELECT seq, response AS message FROM replies")
+def reply_payload(spark, sf_dir):
+    payload = F.to_json(F.struct(F.col("response").alias("agent_message"), "model"))
+    return view(spark, sf_dir, "replies").select("seq", replies.agent_message(payload).alias("message"))
+
+
 _RENDERED = """SELECT seq, model, CASE seq % 5
   WHEN 0 THEN concat('what = "', what, '"', chr(10), 'why = "', why, '"', chr(10), 'how = "h"')
   WHEN 1 THEN concat('[[entry]]', chr(10), 'what = "', what, '"', chr(10), 'why = "y"', chr(10), 'how = "h"', chr(10), '[[entry]]', chr(10), 'what = "two"', chr(10), 'why = "y"', chr(10), 'how = "h"')

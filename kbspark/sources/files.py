@@ -13,9 +13,9 @@ from kbspark.functions import text
 from kbspark.operators.changes import visible
 
 
-def repo_files(spark: SparkSession, root: str, kb_dir: str = ".kb", ignored: list[str] | None = None) -> DataFrame:
+def repo_files(spark: SparkSession, root: str, kb_dir: str = ".kb", gitignore: bool = True) -> DataFrame:
     """path (below ``root``), hash, size, text of every file that isn't binary,
-    ignored, or in ``.git`` or the knowledge folder.
+    ignored by git (where ``root`` is a local work tree), or in ``.git`` or the knowledge folder.
 
     Names are listed once, contents are read by the tasks. (Spark's own file
     source passes over names with a leading dot, which a code base has.)
@@ -24,7 +24,10 @@ def repo_files(spark: SparkSession, root: str, kb_dir: str = ".kb", ignored: lis
 
     store, base = fs.FileSystem.from_uri(root)
     found = store.get_file_info(fs.FileSelector(base, recursive=True))
-    names = [(i.path[len(base.rstrip("/")) + 1 :],) for i in found if i.type == fs.FileType.File]
+    names = [i.path[len(base.rstrip("/")) + 1 :] for i in found if i.type == fs.FileType.File]
+    if gitignore and isinstance(store, fs.LocalFileSystem):
+        hidden = set(ignored_paths(base, names))
+        names = [n for n in names if n not in hidden]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, top = fs.FileSystem.from_uri(root)
@@ -35,9 +38,7 @@ def repo_files(spark: SparkSession, root: str, kb_dir: str = ".kb", ignored: lis
                     bodies.append(f.read())
             yield pdf.assign(content=bodies)
 
-    listed = visible(spark.createDataFrame(names, "path string"), kb_dir)
-    if ignored:
-        listed = listed.join(spark.createDataFrame([(p,) for p in ignored], "path string"), "path", "left_anti")
+    listed = visible(spark.createDataFrame([(n,) for n in names], "path string"), kb_dir)
     rows = listed.mapInPandas(read, "path string, content binary").where(~text.looks_binary(F.col("content")))
     return rows.select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("string").alias("text"))
 

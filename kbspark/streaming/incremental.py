@@ -29,5 +29,5 @@ def upsert_stream(spark: SparkSession, source: str, root: str, checkpoint: str)
 
 
 def counts_by_window(events: DataFrame, minutes: int = 10, late_minutes: int = 30) -> DataFrame:
-    """Replies per model error class and time window of a stream of ``events`` (ts, event_type)."""
+    """Events per type and time window of a stream of ``events`` (ts, event_type)."""
     return events.withWatermark("ts", f"{late_minutes} minutes").groupBy(F.window("ts", f"{minutes} minutes"), "event_type").agg(F.count("*").alias("n"))

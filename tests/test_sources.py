@@ -41,7 +41,8 @@ def test_files(spark, repo):
     (repo / ".gitignore").write_text("*.log\n")
     (repo / "x.log").write_text("l")
     ignored = files.ignored_paths(str(repo), ["x.log", "a.txt"])
-    got = {r.path: r for r in files.repo_files(spark, str(repo), ignored=ignored).collect()}
+    got = {r.path: r for r in files.repo_files(spark, str(repo)).collect()}
+    assert "x.log" in {r.path for r in files.repo_files(spark, str(repo), gitignore=False).collect()}
     assert ignored == ["x.log"] and set(got) == {"a.txt", ".gitignore", *(f"b{i}.py" for i in range(4))}
     assert got["b0.py"]["size"] == 1 and got["b0.py"].text == "x"
 
