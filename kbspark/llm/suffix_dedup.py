@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,6 +208,14 @@ def _ranks(key: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _joined(ranks: list[np.ndarray], n: int) -> np.ndarray:
+    """The ranks (all below ``n``) of strings that follow each other as one number."""
+    out = ranks[0]
+    for r in ranks[1:]:
+        out = out * n + r
+    return out
+
+
 class Level:
     """A sorted array of places in a text (with _END after it), all different in
     their first ``length`` bytes, and the first eight bytes at each."""
@@ -215,9 +224,9 @@ class Level:
         self.ended, self.places, self.heads, self.length = ended, places, heads, length
 
     def _compare(self, mine: np.ndarray, words: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 for each of my places against another text's place."""
+        """-1, 0 or 1 for each of my places against another text's place with the same first eight bytes."""
         own, out, open_ = _words(self.ended), np.zeros(len(mine), np.int8), np.arange(len(mine))
-        for step in [*range(0, self.length - 8, 8), self.length - 8]:
+        for step in [*range(8, self.length - 8, 8), self.length - 8]:
             a, b = own[mine[open_] + step].astype(np.uint64), words[places[open_] + step].astype(np.uint64)
             out[open_[a < b]], out[open_[a > b]] = -1, 1
             open_ = open_[a == b]
@@ -238,8 +247,10 @@ class Level:
             todo = todo[low[todo] < high[todo]]
         return low, found
 
-    def merged(self, other: Level) -> Level:
-        at, _ = self.locate(_words(other.ended), other.places, other.heads)
+    def merged(self, other: Level, at: np.ndarray | None = None) -> Level:
+        """Both levels as one; ``at`` is where the other's places belong, if that is known."""
+        if at is None:
+            at, _ = self.locate(_words(other.ended), other.places, other.heads)
         moved = other.places + np.int32(len(self.ended) - 8)
         return Level(np.concatenate((self.ended[:-8], other.ended)), np.insert(self.places, at, moved), np.insert(self.heads, at, other.heads), self.length)
 
@@ -255,30 +266,33 @@ class IndexFamily:
         of them came before, in an earlier batch or at an earlier window."""
         ended = np.concatenate((text, _END))
         words = _words(ended)
-        rank, span = _ranks(words.astype(np.uint64)), 8  # a suffix array by prefix doubling, as deep as needed
-        while 4 * span <= self.length:
-            rank = _ranks(rank[: len(rank) - span] * len(words) + rank[span:])
-            span *= 2
-        # from here on for the windows alone: up to four strings of ``span`` bytes cover one
-        parts = [windows + min(j, self.length - span) for j in range(0, self.length, span)]
-        two = [_ranks(rank[a] * len(words) + rank[b]) for a, b in zip(parts[::2], parts[1::2])] + ([rank[parts[-1]]] if len(parts) % 2 else [])
-        rank = two[0]
-        for more in two[1:]:
-            rank = _ranks(rank) * len(words) + more
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        # a suffix array by ranks of ever longer strings, put together from ``k`` shorter ones, as deep as needed
+        n, k = len(words), 3 if len(words) < 1 << 21 else 2
+        rank, span = _ranks(words.astype(np.uint64)), 8
+        while 4 * k * span <= self.length:
+            end = len(rank) - (k - 1) * span
+            rank = _ranks(_joined([rank[j * span : j * span + end] for j in range(k)], n))
+            span *= k
+        # from here on for the windows alone: a few strings of ``span`` bytes cover one
+        parts = [rank[windows + min(j, self.length - span)] for j in range(0, self.length, span)]
+        while len(parts) > k:
+            parts = [_ranks(_joined(parts[i : i + k], n)) for i in range(0, len(parts), k)]
+        key = _joined(parts, n)
+        order = np.argsort(key)
+        ordered = key[order]
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         before = np.ones(len(windows), bool)
-        mine = order[new]  # the first of equal strings, in the order of strings
+        mine = np.minimum.reduceat(order, starts)  # the first of equal strings, in the order of strings
         heads = words[windows[mine]].astype(np.uint64)
+        at = None
         for level in self.levels:
-            _, found = level.locate(words, windows[mine], heads)
-            mine, heads = mine[~found], heads[~found]
+            at, found = level.locate(words, windows[mine], heads)
+            mine, heads, at = mine[~found], heads[~found], at[~found]
         before[mine] = False
         self.levels.append(Level(ended, windows[mine].astype(np.int32), heads, self.length))
         while len(self.levels) > 1 and len(self.levels[-2].places) <= 2 * len(self.levels[-1].places):
             last = self.levels.pop()
-            self.levels[-1] = self.levels[-1].merged(last)
+            self.levels[-1], at = self.levels[-1].merged(last, at), None
         return before
 
 
@@ -308,6 +322,11 @@ def repeated_ranges(pieces: DataFrame, length: int, parts: int) -> DataFrame:
                     yield doc, text_id, start + a - int(head[piece[a]]), start + b - int(head[piece[a]]) + length
 
         for batch in batches:
+            known = batch.column(5).is_null()
+            if known.true_count:
+                _, doc, text_id, start, n, _ = batch.filter(known).columns
+                yield pa.RecordBatch.from_arrays([doc, text_id, start, pc.add(pc.add(start, n), pa.scalar(length - 1, pa.int32()))], names=["doc_id", "text_id", "start", "stop"])
+                batch = batch.filter(pc.invert(known))
             for i in range(0, batch.num_rows, 4096):
                 out = []
                 for row in zip(*(c[i : i + 4096].to_pylist() for c in batch.columns)):
@@ -315,8 +334,7 @@ def repeated_ranges(pieces: DataFrame, length: int, parts: int) -> DataFrame:
                     here = (doc, text_id, start)
                     if len(seen) >= SEEN:  # the family still finds the windows of pieces that are forgotten here
                         seen.clear()
-                    first = None if piece is None else seen.setdefault(xxhash.xxh3_128_digest(piece), here)
-                    if piece is None or first != here:
+                    if seen.setdefault(xxhash.xxh3_128_digest(piece), here) != here:
                         out.append((doc, text_id, start, start + n - 1 + length))
                     elif here != last:  # of a repeated row, whichever batch took it
                         last = here
