@@ -2,15 +2,17 @@
 
 Commits come in topological order, oldest first, numbered by ``pos``; numbers
 of changed lines are against the first parent. ``since`` leaves out a commit and
-what it descends from. One repository's history is one walk, hence one task.
+what it descends from. A task reads ``commits_per_task`` commits (5000 unless set)
+as git writes them; the driver only names the tip and counts commits.
 """
 
 from __future__ import annotations
 
 import subprocess
 from collections.abc import Iterator
+from typing import IO
 
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _FORMAT = "%x01%H%x02%h%x02%P%x02%at%x02%an%x02%ae%x02%B%x03"
 SCHEMA = "hash string, short_hash string, parent_hashes array<string>, timestamp long, author string, message string, message_summary string, pos long, deltas array<struct<path:string,insertions:long,deletions:long>>"
@@ -20,26 +22,56 @@ def _git(repo: str, *args: str) -> subprocess.CompletedProcess:
     return subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=600)
 
 
-def read_commits(repo: str, since: str | None = None) -> Iterator[tuple]:
-    """Rows of SCHEMA; ValueError if ``repo`` is no git repository."""
+def parts_of_history(repo: str, since: str | None = None, size: int = 5000) -> list[tuple[list[str], int, int, int]]:
+    """(revisions, commits in all, newer ones to pass over, most to read) of each task,
+    with the tip as a hash; ValueError if ``repo`` is no git repository or has no ``since``."""
     if _git(repo, "rev-parse", "--git-dir").returncode:
         raise ValueError(f"not a git repository: {repo}")
-    start = next((r for r in ("HEAD", "refs/heads/main", "refs/heads/master") if _git(repo, "rev-parse", "--verify", "-q", r).returncode == 0), None)
-    if start is None:
-        return
-    span = [f"{since}..{start}"] if since else [start]
-    out = _git(repo, "log", "--topo-order", "--reverse", "--diff-merges=first-parent", "--numstat", "--no-renames", f"--format={_FORMAT}", *span)
-    if out.returncode:
-        raise ValueError(out.stderr.decode(errors="replace").strip())
-    for pos, block in enumerate(out.stdout.decode(errors="replace").split("\x01")[1:], 1):
-        head, _, numbers = block.partition("\x03")
-        full, short, parents, at, name, mail, message = head.split("\x02")
-        deltas = []
-        for line in numbers.strip("\n").split("\n"):
-            if line.count("\t") >= 2:
-                plus, minus, path = line.split("\t", 2)
-                deltas.append((path, int(plus) if plus.isdigit() else 0, int(minus) if minus.isdigit() else 0))
-        yield full, short, parents.split(), int(at), f"{name or 'Unknown'} <{mail or 'unknown@example.com'}>", message.rstrip("\n"), message.split("\n", 1)[0].rstrip("\r"), pos, deltas
+    tips = (_git(repo, "rev-parse", "--verify", "-q", f"{r}^{{commit}}") for r in ("HEAD", "refs/heads/main", "refs/heads/master"))
+    tip = next((t.stdout.decode().strip() for t in tips if t.returncode == 0), None)
+    if tip is None:
+        return []
+    span = [f"{since}..{tip}"] if since else [tip]
+    counted = _git(repo, "rev-list", "--count", *span)
+    if counted.returncode:
+        raise ValueError(counted.stderr.decode(errors="replace").strip())
+    total = int(counted.stdout)
+    return [(span, total, skip, size) for skip in reversed(range(0, total, size))]
+
+
+def _blocks(pipe: IO[bytes]) -> Iterator[str]:
+    rest = b""
+    while chunk := pipe.read(1 << 20):
+        *whole, rest = (rest + chunk).split(b"\x01")
+        yield from (x.decode(errors="replace") for x in whole if x)
+    if rest:
+        yield rest.decode(errors="replace")
+
+
+def walk(repo: str, span: list[str], total: int, skip: int, size: int) -> Iterator[tuple]:
+    """Rows of SCHEMA of one part of a history, oldest first."""
+    args = ["git", "-C", repo, "log", "--topo-order", "--reverse", f"--skip={skip}", f"--max-count={size}", "--diff-merges=first-parent", "--numstat", "--no-renames", f"--format={_FORMAT}", *span]
+    with subprocess.Popen(args, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as log:
+        try:
+            for pos, block in enumerate(_blocks(log.stdout), max(0, total - skip - size) + 1):
+                head, _, numbers = block.partition("\x03")
+                full, short, parents, at, name, mail, message = head.split("\x02")
+                deltas = []
+                for line in numbers.strip("\n").split("\n"):
+                    if line.count("\t") >= 2:
+                        plus, minus, path = line.split("\t", 2)
+                        deltas.append((path, int(plus) if plus.isdigit() else 0, int(minus) if minus.isdigit() else 0))
+                yield full, short, parents.split(), int(at), f"{name or 'Unknown'} <{mail or 'unknown@example.com'}>", message.rstrip("\n"), message.split("\n", 1)[0].rstrip("\r"), pos, deltas
+            if log.wait():
+                raise ValueError(f"git log failed in {repo}")
+        finally:
+            log.kill()
+
+
+def read_commits(repo: str, since: str | None = None) -> Iterator[tuple]:
+    """Rows of SCHEMA; ValueError as ``parts_of_history``."""
+    for part in parts_of_history(repo, since):
+        yield from walk(repo, *part)
 
 
 class GitCommits(DataSource):
@@ -56,7 +88,11 @@ class GitCommits(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.repo, self.since = options.get("repo"), options.get("since")
+        self.repo, self.since, self.size = options.get("repo"), options.get("since"), int(options.get("commits_per_task") or 5000)
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in parts_of_history(self.repo, self.since, self.size) or [None]]
 
     def read(self, partition) -> Iterator[tuple]:
-        yield from read_commits(self.repo, self.since)
+        if partition.value:
+            yield from walk(self.repo, *partition.value)

@@ -32,10 +32,30 @@ def test_git(spark, repo):
     assert rows[0].parent_hashes == [] and rows[1].parent_hashes == [rows[0].hash] and rows[0].author == "Ann <a@b.c>"
     assert {d.path: (d.insertions, d.deletions) for d in rows[1].deltas} == {"a.txt": (1, 0), "b1.py": (1, 0)}
     assert [r[6] for r in git.read_commits(str(repo), since=rows[2].hash)] == ["Fix 3"]
+    split = spark.read.format("git_commits").option("repo", str(repo)).option("commits_per_task", 3).load()
+    assert split.rdd.getNumPartitions() == 2 and split.orderBy("pos").collect() == rows
+    with pytest.raises(ValueError):
+        list(git.read_commits(str(repo), since="nothing"))
     with pytest.raises(ValueError):
         list(git.read_commits(str(repo.parent)))
 
 
+def test_git_merges_keep_their_places_in_parts(repo, tmp_path):
+    run(repo, "checkout", "-q", "-b", "side", "HEAD~2")
+    (repo / "side.py").write_text("y\n")
+    run(repo, "add", ".")
+    run(repo, "commit", "-q", "-m", "Side")
+    run(repo, "checkout", "-q", "main")
+    run(repo, "merge", "-q", "--no-ff", "-m", "Merge", "side")
+    whole = list(git.read_commits(str(repo)))
+    assert [r[7] for r in whole] == [1, 2, 3, 4, 5, 6] and whole[-1][8] == [("side.py", 1, 0)]
+    for size in (1, 2, 4, 6):
+        assert [r for p in git.parts_of_history(str(repo), size=size) for r in git.walk(str(repo), *p)] == whole
+    (tmp_path / "none").mkdir()
+    run(tmp_path / "none", "init", "-q", "-b", "main")
+    assert list(git.read_commits(str(tmp_path / "none"))) == []
+
+
 def test_files(spark, repo):
     (repo / "bin").write_bytes(b"\0\1")
     (repo / ".gitignore").write_text("*.log\n")
