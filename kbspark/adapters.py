@@ -32,6 +32,15 @@ SELECT SHA(CAST(l_orderkey AS STRING)) AS hash, concat(p_type, '/', p_name, '.',
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "manifest_commits": """
 SELECT SHA(CAST(o_orderkey AS STRING)) AS sha, o_orderkey AS processed_at FROM orders WHERE o_orderkey % 3 = 0""",
+    "dated_commits": """
+SELECT SHA(CAST(o_orderkey AS STRING)) AS hash, (year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate)) * 10000000000 + o_orderkey AS pos
+FROM orders""",
+    # what a run at the turn of the year has processed
+    "dated_manifest": """
+SELECT SHA(CAST(o_orderkey AS STRING)) AS sha FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01 00:00:00'""",
+    "authors": """
+SELECT SHA(CAST(o_orderkey AS STRING)) AS hash, CASE WHEN c_nationkey % 6 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 <> 0 THEN concat(c_mktsegment, '@example.org') END AS email
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "tagged": """
 SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'gemini' ELSE 'codex' END AS model,
   concat(p_name, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 's' WHEN 2 THEN ' x' ELSE ' extra' END) AS what,

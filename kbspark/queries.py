@@ -122,8 +122,12 @@ def slugify(spark, sf_dir):
     return view(spark, sf_dir, "entries").select("seq", text.slugify(F.col("what")).alias("slug"))
 
 
-_BATCH = "SELECT seq, category, concat('s', CAST(seq % 400 AS STRING)) AS slug, what, CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END AS why, '' AS how FROM entries"
-_STORED = "SELECT category, concat('s', CAST(seq % 400 AS STRING)) AS slug, what, 'a' AS why, '' AS how, seq FROM entries WHERE seq < 300"
+# A key's batch has up to three rows. Keys of every fifth block of seq are new ones, those of every seventh
+# are met by no row of the batch, and every third block says the same in all its rows.
+_BLOCK = "CAST(floor(seq / 18) AS BIGINT)"
+_SAID = f"CASE WHEN {_BLOCK} % 3 = 0 THEN category ELSE coalesce(what, '') END"
+_BATCH = f"SELECT seq, category, concat(CASE WHEN {_BLOCK} % 5 = 0 THEN 'new' ELSE 's' END, CAST({_BLOCK} AS STRING)) AS slug, {_SAID} AS what, CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END AS why, '' AS how FROM entries"
+_STORED = f"SELECT category, concat(CASE WHEN {_BLOCK} % 7 = 0 THEN 'old' ELSE 's' END, CAST({_BLOCK} AS STRING)) AS slug, min_by({_SAID}, seq) AS what, 'a' AS why, '' AS how, min(seq) AS seq FROM entries GROUP BY 1, 2"
 
 
 def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -144,13 +148,13 @@ def write_last_wins(spark, sf_dir):
     return entries.last_of_each_key(_batch(spark, sf_dir)[0]).select("category", "slug", "seq")
 
 
-@query(f"""{duck('entries')}, b AS (SELECT category, slug, max_by(why, seq) AS why FROM ({_BATCH.replace('STRING', 'VARCHAR')}) WHERE seq >= 200 GROUP BY 1, 2),
+@query(f"""{duck('entries')}, b AS (SELECT category, slug, max_by(why, seq) AS why FROM ({_BATCH.replace('STRING', 'VARCHAR')}) GROUP BY 1, 2),
 s AS (SELECT category, slug, why FROM ({_STORED.replace('STRING', 'VARCHAR')}) )
 SELECT * FROM b UNION ALL SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.category = s.category AND b.slug = s.slug)""")
 def upsert_entries(spark, sf_dir):
     e = view(spark, sf_dir, "entries")
     stored = spark.sql(_STORED.replace("FROM entries", "FROM {entries}"), entries=e).select("category", "slug", "why")
-    return entries.upsert(stored, entries.last_of_each_key(_batch(spark, sf_dir)[0].where("seq >= 200")).select("category", "slug", "why"))
+    return entries.upsert(stored, entries.last_of_each_key(_batch(spark, sf_dir)[0]).select("category", "slug", "why"))
 
 
 @query(rf"""{duck('entries')} SELECT seq, regexp_replace(concat('  ', what, chr(9)), '^\s+|\s+$', '', 'g') AS what, list_aggregate(list_sort(list_distinct(string_split(why, ' '))), 'string_agg', ',') AS files FROM entries""")
@@ -359,9 +363,9 @@ def walk_page(spark, sf_dir):
     return commits.walk_page(view(spark, sf_dir, "commits"), after=20, limit=50, merges=False).select("hash", "pos", "is_next")
 
 
-@query(f"{duck('commits', 'manifest_commits')} SELECT hash, pos FROM commits WHERE pos > (SELECT coalesce(max(pos), 0) FROM commits WHERE hash IN (SELECT sha FROM manifest_commits WHERE processed_at % 1000 = 0))")
+@query(f"{duck('dated_commits', 'dated_manifest')} SELECT hash, pos FROM dated_commits WHERE pos > (SELECT coalesce(max(pos), 0) FROM dated_commits WHERE hash IN (SELECT sha FROM dated_manifest))")
 def new_commits_prefix(spark, sf_dir):
-    return commits.new_prefix(view(spark, sf_dir, "commits"), view(spark, sf_dir, "manifest_commits").where("processed_at % 1000 = 0")).select("hash", "pos")
+    return commits.new_prefix(view(spark, sf_dir, "dated_commits"), view(spark, sf_dir, "dated_manifest")).select("hash", "pos")
 
 
 @query(f"{duck('manifest_commits')} SELECT sha, processed_at FROM manifest_commits WHERE processed_at > 300")
@@ -519,11 +523,12 @@ def prompt_files(spark, sf_dir):
     return prompts.prompt_files(view(spark, sf_dir, "files_now"), head="")
 
 
-@query(f"{_COMMITS}, {_STATS} SELECT hash, concat('commit ', left(hash, 7), ' (Ann <a@b.c>)', chr(10), '  ', split_part(message, chr(10), 1), chr(10), '  ', files_changed, ' files changed, +', insertions, ' -', deletions, chr(10), chr(10)) AS section FROM commits JOIN stats USING (hash)")
+@query(f"""{duck('commits', 'deltas', 'authors')}, {_STATS} SELECT hash, concat('commit ', left(hash, 7), ' (', coalesce(name, 'Unknown'), ' <', coalesce(email, 'unknown@example.com'), '>)', chr(10), '  ', split_part(message, chr(10), 1), chr(10), '  ', files_changed, ' files changed, +', insertions, ' -', deletions, chr(10), chr(10)) AS section
+FROM commits JOIN stats USING (hash) JOIN authors USING (hash)""")
 def prompt_commits(spark, sf_dir):
     c = view(spark, sf_dir, "commits")
-    rows = c.join(commits.diff_stats(c, view(spark, sf_dir, "deltas")), "hash")
-    who = text.author(F.lit("Ann"), F.lit("a@b.c"))
+    rows = c.join(commits.diff_stats(c, view(spark, sf_dir, "deltas")), "hash").join(view(spark, sf_dir, "authors"), "hash")
+    who = text.author(F.col("name"), F.col("email"))
     return rows.select("hash", prompts.commit_section(F.left("hash", F.lit(7)), who, text.summary(F.col("message")), F.col("files_changed"), F.col("insertions"), F.col("deletions")).alias("section"))
 
 

@@ -6,28 +6,45 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import text
-from kbspark.operators.changes import visible
+
+#: Levels of folders that are listed one by one, so that what is below them is dealt to tasks.
+LEVELS = 2
 
 
 def repo_files(spark: SparkSession, root: str, kb_dir: str = ".kb", gitignore: bool = True) -> DataFrame:
     """path (below ``root``), hash, size, text of every file that isn't binary,
     ignored by git (where ``root`` is a local work tree), or in ``.git`` or the knowledge folder.
 
-    Names are listed once, contents are read by the tasks. (Spark's own file
-    source passes over names with a leading dot, which a code base has.)
+    Tasks list the folders, after ``LEVELS`` levels each with all that is below
+    it, and read the contents. (Spark's own file source passes over names with a
+    leading dot, which a code base has.)
     """
-    from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(root)
-    found = store.get_file_info(fs.FileSelector(base, recursive=True))
-    names = [i.path[len(base.rstrip("/")) + 1 :] for i in found if i.type == fs.FileType.File]
-    if gitignore and isinstance(store, fs.LocalFileSystem):
-        hidden = set(ignored_paths(base, names))
-        names = [n for n in names if n not in hidden]
+    def listed(folders: DataFrame, recursive: bool) -> DataFrame:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = fs.FileSystem.from_uri(root)
+            base = base.rstrip("/")
+            local = gitignore and isinstance(store, fs.LocalFileSystem)
+            for batch in batches:
+                kept: dict[str, bool] = {}
+                for folder, is_dir in zip(*(c.to_pylist() for c in batch.columns)):
+                    if not is_dir:
+                        kept[folder] = False
+                        continue
+                    found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=recursive))
+                    kinds = {i.path[len(base) + 1 :]: i.type == fs.FileType.Directory for i in found if i.type == fs.FileType.File or not recursive}
+                    kinds = {p: d for p, d in kinds.items() if not {".git", kb_dir} & set(p.split("/"))}
+                    hidden = set(ignored_paths(base, list(kinds))) if local and kinds else set()
+                    kept |= {p: d for p, d in kinds.items() if p not in hidden}
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.bool_())], names=["path", "is_dir"])
+
+        return folders.mapInArrow(step, "path string, is_dir boolean")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, top = fs.FileSystem.from_uri(root)
@@ -38,8 +55,10 @@ def repo_files(spark: SparkSession, root: str, kb_dir: str = ".kb", gitignore: b
                     bodies.append(f.read())
             yield pdf.assign(content=bodies)
 
-    listed = visible(spark.createDataFrame([(n,) for n in names], "path string"), kb_dir)
-    rows = listed.mapInPandas(read, "path string, content binary").where(~text.looks_binary(F.col("content")))
+    names = spark.createDataFrame([("", True)], "path string, is_dir boolean").coalesce(1)
+    for level in range(LEVELS + 1):
+        names = listed(names, recursive=level == LEVELS).repartition("path")
+    rows = names.select("path").mapInPandas(read, "path string, content binary").where(~text.looks_binary(F.col("content")))
     return rows.select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("string").alias("text"))
 
 

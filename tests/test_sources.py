@@ -67,6 +67,17 @@ def test_files(spark, repo):
     assert got["b0.py"]["size"] == 1 and got["b0.py"].text == "x"
 
 
+def test_files_in_deep_folders(spark, repo):
+    (repo / ".gitignore").write_text("build/\n*.log\n")
+    paths = ["a/b/c/d/deep.txt", "a/b/c/d/deep.log", "a/b/two.txt", "a/one.txt", "build/x.txt", "a/build/y.txt", "a/b/c/build/z.txt", ".kb/k.toml", "a/b/c/.kb/k.toml", ".hidden/h.txt"]
+    for p in paths:
+        (repo / p).parent.mkdir(parents=True, exist_ok=True)
+        (repo / p).write_text(p)
+    (repo / "a/empty").mkdir()
+    got = {r.path: r.text for r in files.repo_files(spark, str(repo)).where("contains(path, '/')").collect()}
+    assert got == {p: p for p in ("a/b/c/d/deep.txt", "a/b/two.txt", "a/one.txt", ".hidden/h.txt")}
+
+
 def test_toml(spark, tmp_path):
     rows = [("facts", "s1", 'a "q"\\', "b\nc", "é\t", ["f"], [], ["d"], {"k": "v"}), ("bugs", "s2", "x", "y", "z", [], [], [], {})]
     df = spark.createDataFrame(rows, "category string, slug string, what string, why string, how string, files array<string>, commits array<string>, dependencies array<string>, outcome map<string,string>")
