@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontaminate, langid, ngram_join, packing, quality_rules, records, sharding, suffix_dedup, urls, weak_quality
+from kbspark.llm import decontaminate, langid, ngram_join, packing, quality_rules, records, runs, sharding, suffix_dedup, urls, weak_quality
 from kbspark.llm.common import table
 
 OP9_SQL = r"""
@@ -182,6 +182,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_on_documents(docs))
 
 
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """The texts of op13: in a tenth of them (by a checksum of the id) the words from some place on repeat a few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    n, a, p = F.col("n"), F.col("a"), F.col("p")
+    some = docs.where((h % 10 == 0) & F.coalesce(F.size(words) > 0, F.lit(False))).select("doc_id", words.alias("w"), g.alias("g")).withColumn("n", F.size("w").cast("long"))
+    some = some.withColumn("a", F.col("g") % n).withColumn("p", F.lit(1) + F.floor((n - a) / (F.lit(3) + F.col("g") % 8)))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("w", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+    rest = docs.where(F.coalesce((h % 10 != 0) | (F.size(words) == 0), F.lit(True)))
+    return rest.select("doc_id", "text").unionByName(some.select("doc_id", text.alias("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_rewritten(table(spark, sf_dir, "documents")), least=12, digest=True)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * -F.col("best.less") / F.col("best.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
