@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontaminate, langid, ngram_join, packing, quality_rules, records, runs, sharding, suffix_dedup, urls, weak_quality
-from kbspark.llm.common import table
+from kbspark.llm import decontaminate, langid, ngram_join, packing, prefix_trie, quality_rules, records, runs, sharding, suffix_dedup, topk, urls, weak_quality
+from kbspark.llm.common import stored, table
 
 OP9_SQL = r"""
 WITH cut AS (
@@ -116,6 +116,36 @@ FROM judged
 """
 
 
+OP11_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM whole q JOIN whole x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v))
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scores
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
+"""
+
+#: The CRC-32 of a string of digits, unsigned.
+_CRC32 = "xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+OP12_SQL = rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+named AS (SELECT conv_id, turn, md5(concat(length(role), ':', role, text)) AS id, strlen(text) AS size FROM turns),
+seqs AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(size ORDER BY turn NULLS FIRST, id) AS sizes, {_CRC32.format("conv_id")} % 9 AS h FROM named GROUP BY conv_id),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.ids, [])[1:s.h], s.ids[s.h + 1:]) AS ids, list_concat(coalesce(b.sizes, [])[1:s.h], s.sizes[s.h + 1:]) AS sizes
+  FROM seqs s LEFT JOIN seqs b ON b.conv_id = s.conv_id - s.conv_id % 5),
+prefixes AS (SELECT conv_id, len(ids) AS n, d, array_to_string(ids[1:d], '') AS k, array_to_string(ids[1:d - 1], '') AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM prefixes GROUP BY k, d),
+children AS (SELECT up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+above AS (SELECT substr(k, 1, 32 * unnest(range(0, d + 1))) AS k, saved, CAST(k NOT IN (SELECT k FROM children) AS BIGINT) AS leaf FROM nodes),
+sums AS (SELECT k, sum(saved) AS saved, sum(leaf) AS leaves FROM above GROUP BY k)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN sums s ON s.k = x.k LEFT JOIN children c ON c.k = x.k LEFT JOIN nodes p ON x.d > 0 AND p.k = x.up
+"""
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -182,6 +212,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_on_documents(docs))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _rebuilt(seqs: DataFrame) -> DataFrame:
+    """The sequences of op12: each starts with some turns of another conversation, how many tells a checksum of its id."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    size = prefix_trie._ID
+    base = seqs.where("conv_id % 5 = 0").select(F.col("conv_id").alias("of"), F.substring("seq", 1, 8 * size).alias("first_seq"), F.slice("sizes", 1, 8).alias("first_sizes"))
+    rows = seqs.withColumn("of", F.expr("conv_id - conv_id % 5")).withColumn("h", h.cast("int")).join(base, "of", "left")
+    head, tail = F.substring(F.coalesce("first_seq", F.lit(b"")), F.lit(1), F.col("h") * size), F.substring(F.col("seq"), F.col("h") * size + 1, F.lit(2**31 - 1))
+    sizes = F.concat(F.slice(F.coalesce("first_sizes", F.expr("CAST(array() AS array<bigint>)")), F.lit(1), F.col("h")), F.slice("sizes", F.col("h") + 1, F.greatest(F.size("sizes") - F.col("h"), F.lit(0))))
+    return rows.select("conv_id", F.concat(head, tail).alias("seq"), sizes.alias("sizes"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = stored(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie_of(_rebuilt(seqs))
+
+
 def _rewritten(docs: DataFrame) -> DataFrame:
     """The texts of op13: in a tenth of them (by a checksum of the id) the words from some place on repeat a few of them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -208,4 +260,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_url_filters": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_url_filters": OP9_SQL, "op11_exact_top_k": OP11_SQL, "op12_conversation_prefix_trie": OP12_SQL}
