@@ -39,6 +39,8 @@ DIM, SAMPLE, ROW_BINS = 1 << 16, 10_000, 1000
 _CACHE_WORDS = 300_000
 #: A word of abuse is in at least so many toxic documents of its language, and so many times as frequent there as in clean ones.
 SUPPORT, RATIO = 3, 30
+#: Learned words are broadcast; more than so many are an error.
+MOST_WORDS = 500_000
 #: Bits of the filter that keeps most texts without a label out of the shuffle.
 FILTER_BITS = 1 << 26
 
@@ -147,8 +149,11 @@ def toxic_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     evidence = n * (q * F.ln(q / share) + F.when(q < 1, (1 - q) * F.ln((1 - q) / (1 - share))).otherwise(0.0))
     far = (F.col("toxic") >= SUPPORT) & (q > share) & (F.col("toxic") * F.col("n_clean") >= RATIO * F.col("clean") * F.col("n_toxic"))
     picked = words.where(F.col("word") != b"").join(F.broadcast(totals), "lang").where(far & (evidence > F.ln("n_words"))).select("lang", "word")
+    rows_ = picked.limit(MOST_WORDS + 1).collect()
+    if len(rows_) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words tell toxic documents")
     out: dict[str, set[bytes]] = {}
-    for r in picked.collect():
+    for r in rows_:
         out.setdefault(r.lang, set()).add(bytes(r.word))
     return {language: frozenset(out[language]) for language in sorted(out)}
 
@@ -249,11 +254,14 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_c
         s, words = shape_of(text, lexicon)
         return s, words, pattern_of(votes(s)) + (place if s.learned else 0)
 
-    patterns = _pass(rows, lambda _, ids, texts, langs: [(judged(*x)[2],) for x in zip(texts, langs)], "pattern long")
-    counts = {r.pattern: r["count"] for r in patterns.groupBy("pattern").count().collect()}  # PATTERNS rows at most
+    patterns = _pass(rows, lambda _, ids, texts, langs: [(judged(*x)[2], xxhash.xxh3_64_intdigest(x[0]) - (1 << 63)) for x in zip(texts, langs)], "pattern long, text long")
+    # PATTERNS rows at most for texts without a language's word, and as many again for each language that has words
+    figures = patterns.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("texts")).collect()
+    counts = {r.pattern: r.n for r in figures}
     bad = context.broadcast(posteriors(counts))
-    n_bad = sum(n for c, n in counts.items() if bad.value[c] > 0.5)
-    share = {True: min(1.0, sample / max(1, n_bad)), False: min(1.0, sample / max(1, sum(counts.values()) - n_bad))}
+    # copies are drawn together, so the rates are of different texts: what is copied most is not drawn less for it
+    texts = {kind: sum(r.texts for r in figures if (bad.value[r.pattern] > 0.5) == kind) for kind in (True, False)}
+    share = {kind: min(1.0, sample / max(1, n)) for kind, n in texts.items()}
 
     def sampled(features: Features, ids, texts, langs) -> list[tuple]:
         out = []

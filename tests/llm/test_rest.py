@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.llm import langid, quality_rules, queries, sharding, urls, weak_quality
+from kbspark.llm import common, langid, quality_rules, queries, sharding, urls, weak_quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -199,6 +200,51 @@ def test_weak_labels(spark, odd, empty):
     assert weak_quality.classify(odd).count() == odd.count() and weak_quality.classify(empty).count() == 0
 
 
+def test_copied_junk_is_learned(spark, documents):
+    """Junk texts with a thousand copies each are drawn for training as any other text is."""
+    good = documents.where("length(text) > 60 AND text NOT LIKE '%|%'").select("text").distinct().limit(100).withColumn("junk", F.lit(False))
+    junk = spark.range(12).select(F.concat(F.repeat(F.concat(F.lit("buy ### $$$ "), "id", F.lit(" ")), 30)).alias("text"), F.lit(True).alias("junk"))
+    docs = good.unionByName(junk.crossJoin(spark.range(1000)).drop("id")).withColumn("doc_id", F.monotonically_increasing_id())
+    docs.write.parquet(path := common.fresh_path(spark, "copied"))
+    docs = spark.read.parquet(path).withColumn("lang", F.lit("en"))
+    kept = weak_quality.classify(docs, sample=30).join(docs, "doc_id").groupBy("junk").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    by = {r.junk: r for r in kept}
+    assert (by[True].n, by[True].kept) == (12_000, 0) and by[False].kept >= 0.9 * by[False].n
+
+
+def test_scorer_equals_plain_descent(spark, documents, texts):
+    """Where all texts are drawn, scores are those of a dense model, trained row by row."""
+    shapes = {t: weak_quality.shape_of(t.encode()) for t in texts.values() if t}
+    pattern = {t: weak_quality.pattern_of(weak_quality.votes(s)) for t, (s, _) in shapes.items()}
+    p_bad = weak_quality.posteriors(Counter(pattern[t] for t in texts.values() if t))
+    features, rows = weak_quality.Features(), {}
+    for t, (s, words) in shapes.items():
+        f = features.of(s, words)
+        n = int((f < 256).sum())
+        rows[f[:n].tobytes() + np.sort(f[n:])[: weak_quality.ROW_BINS].tobytes()] = p_bad[pattern[t]]
+    places = sorted({b for f in rows for b in np.frombuffer(f, np.int32).tolist()})
+    column = {b: i for i, b in enumerate(places)}
+
+    def dense(bins):
+        x, words = np.zeros(len(places)), max(16, sum(b >= 256 for b in bins))
+        for b in bins:
+            if b in column:
+                x[column[b]] += 4 / words**0.5 if b >= 256 else 1
+        return x
+
+    x, y = np.array([dense(np.frombuffer(f, np.int32).tolist()) for f in rows]), np.array(list(rows.values()))
+    w, seen = np.zeros(len(places)), np.full(len(places), 1e-6)
+    for _ in range(40):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + 1e-4 * w
+        seen += g * g
+        w -= g / np.sqrt(seen)
+    got = weak_quality.classify(documents, sample=10**6).collect()
+    for r in got:
+        if texts[r.doc_id]:
+            z = dense(features.of(*shapes[texts[r.doc_id]]).tolist()) @ w
+            assert r.p_bad == pytest.approx(p_bad[pattern[texts[r.doc_id]]], abs=1e-9) and r.score == pytest.approx(1 / (1 + np.exp(z)), abs=1e-6) and r.kept == (r.score >= 0.5)
+
+
 def test_runs_are_counted_in_varied_texts():
     words = [f"w{i}" for i in range(200)]
     shape, _ = weak_quality.shape_of(" ".join(words[:90] + ["again"] * 40 + words[90:]).encode())
