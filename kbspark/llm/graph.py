@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import stored
+from kbspark.llm.common import HOT_KEYS, HOT_LEAST, stored
+
+
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v; a stored table of about ``n`` rows) and the smallest v of each u, as m. What belongs
+    to a u with very many rows, of which at most HOT_KEYS can be, is broadcast to them."""
+    least = stored(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hot = F.broadcast(least.where(F.col("n") > max(HOT_LEAST, n // HOT_KEYS)).select("u", "m"))
+    return rows.join(hot, "u").unionByName(rows.join(hot.drop("m"), "u", "left_anti").join(least.drop("n"), "u"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,20 +22,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014): each
     step hooks a node's neighbours to its smallest one, in a number of rounds
     logarithmic in practice. A node with very many neighbours is a plain
-    aggregate and a join that can be split, never one group. Each round is
-    stored in the shared folder.
+    aggregate, which is broadcast to them, never one group. Each round is stored
+    in the shared folder.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before = n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(stored(large, "large"), n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = stored(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

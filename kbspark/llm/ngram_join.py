@@ -38,8 +38,9 @@ from kbspark.llm.shingles import Bands, digest, shingle_set
 
 #: Digests of sets that a task remembers in order not to index copies again.
 SEEN = 500_000
-#: Documents in the sample that looks for very frequent keys, and the share and number of them that make a key hot.
-HOT_SAMPLE, HOT_SHARE, HOT_LEAST, SALTS = 200_000, 1e-3, 200, 64
+#: Documents in the sample that looks for very frequent keys, the share and number of them that make a key hot, and
+#: into how many parts so many rows are dealt.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST, SALTS = 1 << 20, 1 / HOT_KEYS, 200, 4
 #: A bucket is crowded if it has more pairs to test than CROWD times its rows. Rows of a bucket that go to one
 #: task, and pairs of a bucket that one task tests.
 CROWD, PART_ROWS, PART_PAIRS = 32, 1024, 1 << 16
@@ -97,23 +98,24 @@ def segment_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
 
 
 def _hot_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
-    """Keys that a sample of documents has very often: at most (keys per document) / HOT_SHARE rows."""
+    """Keys that a sample of documents has very often, and the number of parts for each: at most (keys per document) / HOT_SHARE rows."""
     share = min(1 / 8, HOT_SAMPLE / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     size = max(1, some.count())
-    return stored(segment_keys(some, k, bands, deep).groupBy("key").count().where(F.col("count") >= max(HOT_LEAST, HOT_SHARE * size)).select("key"), "hot")
+    limit, n = max(HOT_LEAST, HOT_SHARE * size), F.col("count")
+    return stored(segment_keys(some, k, bands, deep).groupBy("key").count().where(n >= limit).select("key", F.ceil(SALTS * n / limit).cast("int").alias("salts")), "hot")
 
 
 def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     """The keys that several sets have, with their buckets' figures: n_full and
     n_short (sets that index the key, whole or with an element left out) and the
-    smallest of either. Hot keys are dealt to SALTS parts and their figures, few
-    rows, broadcast."""
+    smallest of either. Hot keys are dealt to parts, the more the more sets have
+    them, and their figures, few rows, broadcast."""
     hot = _hot_keys(docs, k, bands, deep)
     short, own = F.shiftright("meta", 1).bitwiseAND(F.lit(1)) == 1, F.col("meta").bitwiseAND(F.lit(1)) == 1
     member = F.struct(F.col("doc_id").alias("doc_id"), F.shiftright("meta", 34).alias("size"))
     figures = {"n": F.count("*"), "n_full": F.count_if(own & ~short), "n_short": F.count_if(own & short), "least_full": F.min(F.when(own & ~short, member)), "least_short": F.min(F.when(own & short, member))}
-    keys = segment_keys(docs, k, bands, deep).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
+    keys = segment_keys(docs, k, bands, deep).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(0)).drop("salts")
     bucket = Window.partitionBy("key", "salt")
     rows = keys.select("*", *(f.over(bucket).alias(n) for n, f in figures.items())).where("hot or n > 1")
     rows = stored(rows.drop("salt"), "buckets")

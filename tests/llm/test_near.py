@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from kbspark.llm import common, ngram_join, shingles
+from kbspark.llm import common, graph, ngram_join, shingles
 from kbspark.llm.graph import components
 
 
@@ -73,6 +73,7 @@ def test_hot_and_crowded_buckets_equal_brute_force(spark, monkeypatch, k, num, d
         monkeypatch.setattr(ngram_join, name, value)
     for name, value in {"HOT_LEAST": 2, "HOT_KEYS": 50}.items():
         monkeypatch.setattr(common, name, value)
+        monkeypatch.setattr(graph, name, value)
     docs = families(seed)
     want = brute(docs, k, num, den)
     got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), k, num, den).collect()
