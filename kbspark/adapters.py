@@ -30,6 +30,12 @@ FROM orders""",
 SELECT SHA(CAST(l_orderkey AS STRING)) AS hash, concat(p_type, '/', p_name, '.', CASE l_linenumber % 3 WHEN 0 THEN 'md' ELSE 'py' END) AS path,
   CAST(floor(l_quantity) AS BIGINT) AS insertions, CAST(l_linenumber * 7 AS BIGINT) AS deletions
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    # runs of up to 64 commits that branch off earlier ones, merges, and several roots
+    "history": """
+SELECT SHA(CAST(k AS STRING)) AS hash, SHA(CAST(p1 AS STRING)) AS parent1, SHA(CAST(p2 AS STRING)) AS parent2, day AS timestamp
+FROM (SELECT o_orderkey AS k, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS day,
+  CASE WHEN o_orderkey % 997 = 0 THEN NULL WHEN o_orderkey % 64 <> 0 THEN o_orderkey - 1 ELSE CAST(floor(o_orderkey / 2) AS BIGINT) END AS p1,
+  CASE WHEN o_orderkey % 17 = 0 AND o_orderkey > 0 THEN CAST(floor(o_orderkey / 3) AS BIGINT) END AS p2 FROM orders)""",
     "manifest_commits": """
 SELECT SHA(CAST(o_orderkey AS STRING)) AS sha, o_orderkey AS processed_at FROM orders WHERE o_orderkey % 3 = 0""",
     "dated_commits": """
@@ -62,7 +68,7 @@ PATH_RULES = {"PROMO/": 1.0, "STANDARD/": 0.8, "LARGE/": 0.5, "SMALL/": 0.3, "EC
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name].replace("SHA(", "sha2_256(").replace("BYTES(", "octet_length(")
     sql = sql.replace("sha2_256(text)", "sha2(text, 256)").replace("sha2_256('stale')", "sha2('stale', 256)")
-    for key in ("o_orderkey", "l_orderkey"):
+    for key in ("o_orderkey", "l_orderkey", "k", "p1", "p2"):
         sql = sql.replace(f"sha2_256(CAST({key} AS STRING))", f"sha2(CAST({key} AS STRING), 256)")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql}
     for t in used:

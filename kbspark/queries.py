@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kbspark.adapters import MESSAGE_RULES, PATH_RULES, duck, view
 from kbspark.functions import replies, rules, text
-from kbspark.operators import changes, commits, entries, prompts, search, synthesis
+from kbspark.operators import changes, commits, entries, history, prompts, search, synthesis
 from kbspark.operators.search_index import SearchIndex
 from kbspark.shared import shared_dir
 
@@ -409,6 +409,27 @@ def status_commits(spark, sf_dir):
     return u.orderBy(F.desc("pos")).limit(20).select(F.left("hash", F.lit(7)).alias("short_hash"), "pos", more.alias("more"))
 
 
+_HISTORY = f"{duck('history', 'dated_manifest').replace('WITH ', 'WITH RECURSIVE ', 1)}, edges AS (SELECT hash, parent1 AS parent FROM history WHERE parent1 IS NOT NULL UNION SELECT hash, parent2 FROM history WHERE parent2 IS NOT NULL)"
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    h = view(spark, sf_dir, "history")
+    return h.select("hash", "timestamp", F.filter(F.array("parent1", "parent2"), lambda x: x.isNotNull()).alias("parent_hashes"))
+
+
+@query(f"""{_HISTORY}, reached AS (SELECT sha AS hash FROM dated_manifest UNION SELECT parent FROM reached JOIN edges USING (hash))
+SELECT hash, timestamp FROM history WHERE hash NOT IN (SELECT hash FROM reached)""")
+def commits_not_reached(spark, sf_dir):
+    return history.not_reached(_history(spark, sf_dir), view(spark, sf_dir, "dated_manifest").withColumnRenamed("sha", "hash")).select("hash", "timestamp")
+
+
+@query(f"""{_HISTORY}, paths AS (SELECT hash, CAST(1 AS BIGINT) AS layer FROM history WHERE hash NOT IN (SELECT hash FROM edges) UNION SELECT edges.hash, layer + 1 FROM paths JOIN edges ON parent = paths.hash),
+layers AS (SELECT hash, max(layer) AS layer FROM paths GROUP BY hash)
+SELECT hash, layer, row_number() OVER (ORDER BY layer, timestamp, hash) AS pos FROM layers JOIN history USING (hash)""")
+def topological_pos(spark, sf_dir):
+    return history.topological_pos(_history(spark, sf_dir))
+
+
 # -- synthesis ------------------------------------------------------------
 
 _TAGGED = f"{duck('tagged')}, c AS (SELECT *, {_inferred('what', 'why', 'how')} AS category FROM tagged)"
