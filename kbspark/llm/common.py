@@ -71,6 +71,24 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame
     return left.join(right, [*on, "__part"]).drop("__part")
 
 
+#: Bits of the filter that ``among`` broadcasts, 64 in a row.
+FILTER_BITS = 1 << 26
+
+
+def among(rows: DataFrame, by: str, ids: DataFrame, of: str) -> DataFrame:
+    """The rows whose number ``by`` is among the numbers ``of`` of ``ids``, and few others: a filter of
+    at most FILTER_BITS bits keeps the rest out of what follows. Beyond some ten million numbers it keeps out less."""
+
+    def place(c: str):
+        at = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        return F.shiftright(at, 6).alias("__cell"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({c}), {FILTER_BITS}) % 64 AS INT))")
+
+    cell, bit = place(of)
+    marks = ids.groupBy(cell).agg(F.bit_or(bit).alias("__marks"))
+    cell, bit = place(by)
+    return rows.withColumn("__cell", cell).join(F.broadcast(marks), "__cell").where(F.col("__marks").bitwiseAND(bit) != 0).drop("__cell", "__marks")
+
+
 def utf8(column: str):
     """A text column as UTF-8 bytes."""
     return F.col(column).cast("binary")

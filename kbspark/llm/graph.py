@@ -9,11 +9,15 @@ from kbspark.llm.common import HOT_KEYS, HOT_LEAST, stored
 
 
 def _with_least(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` (u, v; a stored table of about ``n`` rows) and the smallest v of each u, as m. What belongs
-    to a u with very many rows, of which at most HOT_KEYS can be, is broadcast to them."""
-    least = stored(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    hot = F.broadcast(least.where(F.col("n") > max(HOT_LEAST, n // HOT_KEYS)).select("u", "m"))
-    return rows.join(hot, "u").unionByName(rows.join(hot.drop("m"), "u", "left_anti").join(least.drop("n"), "u"))
+    """``rows`` (u, v; about ``n`` of them) and the smallest v of each u, as m. What belongs to a u
+    with very many rows, of which at most HOT_KEYS can be, is broadcast to them."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    limit = max(HOT_LEAST, n // HOT_KEYS)
+    if n <= limit:
+        return rows.join(least.drop("n"), "u")
+    hot = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hot")))
+    marked = rows.join(hot, "u", "left")
+    return marked.where("hot is not null").select("u", "v", F.col("hot").alias("m")).unionByName(marked.where("hot is null").drop("hot").join(least.drop("n"), "u"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = _with_least(stored(large, "large"), n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = _with_least(large, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = stored(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:

@@ -32,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import HOT_KEYS, batch_of, hot_keys, spread_join, stored, utf8, worker_state
+from kbspark.llm.common import HOT_KEYS, among, batch_of, hot_keys, spread_join, stored, utf8, worker_state
 from kbspark.llm.graph import components
 from kbspark.llm.shingles import Bands, digest, shingle_set
 
 #: Digests of sets that a task remembers in order not to index copies again.
 SEEN = 500_000
-#: Documents in the sample that looks for very frequent keys, the share and number of them that make a key hot, and
-#: into how many parts so many rows are dealt.
-HOT_SAMPLE, HOT_SHARE, HOT_LEAST, SALTS = 1 << 20, 1 / HOT_KEYS, 200, 4
+#: Documents in the sample that looks for very frequent keys and which part of all they are at most, the share and number
+#: of them that make a key hot, and into how many parts so many rows are dealt.
+HOT_SAMPLE, HOT_PART, HOT_SHARE, HOT_LEAST, SALTS = 1 << 20, 1 / 32, 1 / HOT_KEYS, 50, 4
+#: A class of equal sets with more documents, or a HOT_KEYS-th of all, is broadcast to them.
+ROW_LIMIT = 1024
 #: A bucket is crowded if it has more pairs to test than CROWD times its rows. Rows of a bucket that go to one
 #: task, and pairs of a bucket that one task tests.
 CROWD, PART_ROWS, PART_PAIRS = 32, 1024, 1 << 16
@@ -99,7 +101,7 @@ def segment_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
 
 def _hot_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     """Keys that a sample of documents has very often, and the number of parts for each: at most (keys per document) / HOT_SHARE rows."""
-    share = min(1 / 8, HOT_SAMPLE / max(1, docs.count()))
+    share = min(HOT_PART, HOT_SAMPLE / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     size = max(1, some.count())
     limit, n = max(HOT_LEAST, HOT_SHARE * size), F.col("count")
@@ -205,10 +207,10 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                     out.append((a, b))
             yield batch_of(out, "a long, b long")
 
-    whole = sets.where("items is not null")
+    whole = sets.where("items is not null").select("doc_id", "items")
     hot_a, hot_b = hot_keys(pairs, ["a"]), hot_keys(pairs, ["b"])
-    with_b = spread_join(pairs, whole.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), ["b"], hot_b, "a")
-    with_a = spread_join(with_b, whole.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), ["a"], hot_a, "b")
+    with_b = spread_join(pairs, among(whole, "doc_id", pairs, "b").select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), ["b"], hot_b, "a")
+    with_a = spread_join(with_b, among(whole, "doc_id", pairs, "a").select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), ["a"], hot_a, "b")
     return with_a.select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long").distinct()
 
 
@@ -309,8 +311,11 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     info = stored(set_digests(rows, k), "sets")
-    classes = info.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    info = stored(info.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    classes = info.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    large = F.broadcast(classes.where(F.col("n") > max(ROW_LIMIT, info.count() // HOT_KEYS)).select("d1", "d2", F.col("rep").alias("of")))  # HOT_KEYS rows at most
+    marked = info.join(large, ["d1", "d2"], "left")
+    rest = marked.where("of is null").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    info = stored(rest.unionByName(marked.where("of is not null").select("doc_id", "n_shingles", F.col("of").alias("rep"))), "classes")
     # a document stands for its class of equal sets; one with several texts for itself alone, linked with their classes
     rep_of = info.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.min("rep") == F.max("rep"), F.min("rep")).otherwise(F.col("doc_id")).alias("rep"))
     one_id = info.join(rep_of.withColumnRenamed("rep", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
@@ -328,8 +333,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     index = stored(by_rep(dealt(index, "doc_id").join(asked, ["key", "side", "part"], "left_semi")).drop("part").distinct(), "index")
     look = stored(by_rep(look).distinct(), "look")
     names = look.select(F.col("centre").alias("member")).distinct().join(member, "member")
-    tested = look.select("doc_id").unionByName(index.select("doc_id")).unionByName(names.select(F.col("rep").alias("doc_id"))).distinct()
-    sets = stored(candidate_sets(known.join(tested, "doc_id", "left_semi"), k, bands), "candidates")
+    tested = stored(look.select("doc_id").unionByName(index.select("doc_id")).unionByName(names.select(F.col("rep").alias("doc_id"))).distinct(), "tested")
+    sets = stored(candidate_sets(among(known, "doc_id", tested, "doc_id").join(tested, "doc_id", "left_semi"), k, bands), "candidates")
     sketches = sets.select("doc_id", "band", "size", "sketch")
 
     star = star_pairs(look, names, sketches, bands)

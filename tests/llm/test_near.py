@@ -69,7 +69,7 @@ def test_components_equal_brute_force(spark, k, num, den, seed):
 
 @pytest.mark.parametrize("k, num, den, seed", [(1, 85, 100, 4), (4, 85, 100, 5)])
 def test_hot_and_crowded_buckets_equal_brute_force(spark, monkeypatch, k, num, den, seed):
-    for name, value in {"HOT_LEAST": 4, "HOT_SHARE": 1e-6, "SALTS": 3, "CROWD": 0, "PART_ROWS": 3, "PART_PAIRS": 5}.items():
+    for name, value in {"HOT_PART": 1 / 8, "ROW_LIMIT": 1, "HOT_LEAST": 4, "HOT_SHARE": 1e-6, "SALTS": 3, "CROWD": 0, "PART_ROWS": 3, "PART_PAIRS": 5}.items():
         monkeypatch.setattr(ngram_join, name, value)
     for name, value in {"HOT_LEAST": 2, "HOT_KEYS": 50}.items():
         monkeypatch.setattr(common, name, value)
