@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.rules import first_hit
 
-# Error words in the order in which they are tried, and the classes that a retry can help.
+# Error words in the order in which they are tried, the classes that a retry can help, and the pattern
+# that finds how long to wait (RETRY_PATTERN).
 ERROR_WORDS = (
     ("rate_limit", ("429", "rate limit", "quota exceeded")),
     ("auth", ("unauthorized", "authentication", "401")),

@@ -5,9 +5,10 @@ All of them are parameters of the operators; these are the defaults.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import contains_any
@@ -73,7 +74,45 @@ def best_rule(text: Column, rules: Mapping[str, float]) -> tuple[Column, Column]
     alphabetically first of equals; (0, null) if there is none. Unrolled into
     one expression, so that no join is needed."""
     hundredths, token = F.lit(0), F.lit(None).cast("string")
-    for t, w in sorted(rules.items(), key=lambda x: (x[1], [-ord(c) for c in x[0]])):
+    for t, w in sorted(sorted(rules.items(), reverse=True), key=lambda x: x[1]):  # what comes later counts
         hit = F.contains(text, F.lit(t))
         hundredths, token = F.when(hit, round(w * 100)).otherwise(hundredths), F.when(hit, t).otherwise(token)
     return hundredths, token
+
+
+#: Rules of a table are broadcast as one automaton; more characters of them are an error.
+MOST_CHARS = 64 << 20
+
+
+def table_rule(rules: DataFrame) -> Callable[[Column], tuple[Column, Column]]:
+    """``best_rule`` for rules (token, weight) that a table holds, however many: all tokens
+    are looked for in one pass over a text. Of rows with one token the heaviest counts;
+    rows with a null are left out."""
+    import ahocorasick
+
+    known = rules.where("token is not null and weight is not null").groupBy("token").agg(F.max("weight").alias("weight"))
+    size = known.agg(F.sum(F.char_length("token"))).first()[0] or 0
+    if size > MOST_CHARS:
+        raise ValueError(f"rules of {size} characters are more than {MOST_CHARS}")
+    rows = [(r.token, round(r.weight * 100)) for r in known.collect()]
+    words = ahocorasick.Automaton()
+    for t, h in rows:
+        if t:
+            words.add_word(t, (-h, t))
+    words.make_automaton()
+    always = [(-h, t) for t, h in rows if not t]
+    shared = rules.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("h int, t string")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for text in texts:
+            hits = () if text is None or not len(shared.value) else (x for _, x in shared.value.iter(text))
+            found.append(min([*(always if text is not None else ()), *hits], default=(0, None)))
+        return pd.DataFrame({"h": [-h for h, _ in found], "t": [t for _, t in found]}).astype({"t": object})
+
+    def rule(text: Column) -> tuple[Column, Column]:
+        hit = best(text)
+        return F.coalesce(hit["h"], F.lit(0)), hit["t"]
+
+    return rule

@@ -31,31 +31,29 @@ def score_class(thousandths: Column) -> Column:
     return F.when(t >= 800, "Critical").when(t >= 600, "High").when(t >= 400, "Medium").when(t >= 200, "Low").otherwise("Trivial")
 
 
-def score_commits(commits: DataFrame, deltas: DataFrame, path_rules: Mapping[str, float] = rules.PATH_RULES, message_rules: Mapping[str, float] = rules.MESSAGE_RULES, weights: Mapping[str, float] = rules.SCORE_WEIGHTS) -> DataFrame:
+def score_commits(commits: DataFrame, deltas: DataFrame, path_rules: Mapping[str, float] | DataFrame = rules.PATH_RULES, message_rules: Mapping[str, float] | DataFrame = rules.MESSAGE_RULES, weights: Mapping[str, float] = rules.SCORE_WEIGHTS) -> DataFrame:
     """hash, significance (float), category, and the factors: lines and diff_score,
     pattern and pattern_score, keyword and message_score.
 
     Commits without exactly one parent get 0.5 for diff and pattern, and no such
     factors. A diff of at most one line, or with more than four fifths of its
     files documents, counts half. Of rules of equal weight the first by name is told.
+    Rules are a mapping, or a table (token, weight) of any length.
     """
-    hundredths, token = rules.best_rule(F.col("path"), path_rules)
+    best_of = lambda c, table: rules.table_rule(table)(c) if isinstance(table, DataFrame) else rules.best_rule(c, table)
+    hundredths, token = best_of(F.col("path"), path_rules)
     is_doc = text.extension(F.col("path")).isin(*rules.DOC_EXTENSIONS)
     per_file = deltas.select("hash", "insertions", "deletions", is_doc.alias("is_doc"), hundredths.alias("h"), token.alias("t"))
-    best = F.max(F.struct("h", F.when(F.col("t").isNotNull(), -F.col("rank")).alias("r"), "t"))
-    order = {t: i for i, t in enumerate(sorted(path_rules))}
-    rank = F.lit(len(order))
-    for t, i in order.items():
-        rank = F.when(F.col("t") == t, i).otherwise(rank)
-    stats = per_file.withColumn("rank", rank).groupBy("hash").agg(
+    best = F.min(F.struct((-F.col("h")).alias("less"), F.col("t").isNull().alias("none"), "t"))
+    stats = per_file.groupBy("hash").agg(
         F.sum(F.col("insertions") + F.col("deletions")).alias("lines"), F.count("*").alias("n"), F.count_if("is_doc").alias("docs"), best.alias("best"))
     rows = commits.join(stats, "hash", "left").withColumns({"lines": F.coalesce("lines", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
     single = F.col("n_parents") == 1
     trivial = (F.col("lines") <= 1) | ((F.col("n") > 0) & (5 * F.col("docs") > 4 * F.col("n")))
     size = F.when(F.col("lines") <= 10, 10).when(F.col("lines") <= 50, 30).when(F.col("lines") <= 200, 50).when(F.col("lines") <= 500, 70).otherwise(100)
     diff = F.when(~single, 500).when(trivial, size * 5).otherwise(size * 10)  # thousandths
-    pattern = F.when(~single, 50).otherwise(F.coalesce(F.col("best.h"), F.lit(0)))
-    words, keyword = rules.best_rule(F.lower("message"), message_rules)
+    pattern = F.when(~single, 50).otherwise(F.coalesce(-F.col("best.less"), F.lit(0)))
+    words, keyword = best_of(F.lower("message"), message_rules)
     w = {k: round(v * 10) for k, v in weights.items()}
     total = (diff * w["diff"] + pattern * 10 * w["pattern"] + words * 10 * w["message"]) / 10  # thousandths
     rows = rows.select(

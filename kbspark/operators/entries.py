@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import rules, text
@@ -35,6 +35,20 @@ def keyed(entries: DataFrame) -> DataFrame:
 CONTEXT = ("files", "commits", "dependencies", "outcome")
 
 
+def appended(entries: DataFrame, files: Column | None = None, commits: Column | None = None, dependencies: Column | None = None, outcome: dict[str, Column] | None = None) -> DataFrame:
+    """``entries`` with one more item at the end of these lists, and further outcomes, of which a new
+    value takes a known key's place; null items and values add nothing."""
+    out = {}
+    for name, item in (("files", files), ("commits", commits), ("dependencies", dependencies)):
+        if item is not None:
+            out[name] = F.concat(F.coalesce(F.col(name), F.array().cast("array<string>")), F.when(item.isNotNull(), F.array(item)).otherwise(F.array().cast("array<string>")))
+    if outcome:
+        have, new = F.coalesce(F.col("outcome"), F.create_map().cast("map<string,string>")), F.create_map(*(c for k, v in outcome.items() for c in (F.lit(k), v)))
+        new = F.map_filter(new, lambda _, v: v.isNotNull())
+        out["outcome"] = F.map_concat(F.map_filter(have, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return entries.withColumns(out)
+
+
 def body_hash(df: DataFrame):
     """A hash of all that an entry says: its texts and whichever parts of a context ``df`` has."""
     context = [F.array_sort(F.map_entries("outcome")).alias(c) if c == "outcome" else F.col(c) for c in CONTEXT if c in df.columns]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import queue
+import re
 import threading
 import time
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,9 +26,9 @@ def file_section(path: Column, size: Column, body: Column) -> Column:
     """A file's part of a prompt: a title, its first lines, and how many are left out."""
     all_lines = text.lines(body)
     n = F.size(all_lines)
-    more = F.when(n > LINES_PER_FILE, F.format_string("\n... (%d more lines truncated)\n", n - LINES_PER_FILE)).otherwise("")
+    more = F.when(n > LINES_PER_FILE, F.format_string("\n[%d further lines left out]\n", n - LINES_PER_FILE)).otherwise("")
     shown = F.concat(F.array_join(F.slice(all_lines, 1, LINES_PER_FILE), "\n"), more)
-    return F.concat(F.format_string("=== %s (%d bytes) ===\n", path, size), F.coalesce(shown, F.lit("(unable to read file)\n")), F.lit("\n\n"))
+    return F.concat(F.format_string("## %s, %d bytes\n", path, size), F.coalesce(shown, F.lit("[no text]\n")), F.lit("\n\n"))
 
 
 def _one_text(parts: DataFrame, head: str) -> DataFrame:
@@ -38,12 +40,12 @@ def _one_text(parts: DataFrame, head: str) -> DataFrame:
 def prompt_files(files: DataFrame, head: str = "Describe the patterns, conventions and decisions in these files.\n" + ANSWER_FORMAT, tell_rest: bool = True) -> DataFrame:
     """One prompt of the first files by path (path, size, text), and how many are not shown."""
     shown = files.orderBy("path").limit(FILES_PER_PROMPT).select(F.struct(F.lit(0).alias("k"), F.col("path").alias("p")).alias("place"), file_section(F.col("path"), F.col("size"), F.col("text")).alias("section"))
-    rest = files.agg((F.count("*") - FILES_PER_PROMPT).alias("n")).where("n > 0").select(F.struct(F.lit(1).alias("k"), F.lit("").alias("p")).alias("place"), F.format_string("(%d more files not shown)\n", "n").alias("section"))
+    rest = files.agg((F.count("*") - FILES_PER_PROMPT).alias("n")).where("n > 0").select(F.struct(F.lit(1).alias("k"), F.lit("").alias("p")).alias("place"), F.format_string("[%d further files left out]\n", "n").alias("section"))
     return _one_text(shown.unionByName(rest) if tell_rest else shown, head)
 
 
 def commit_section(short_hash: Column, author: Column, summary: Column, files: Column, insertions: Column, deletions: Column) -> Column:
-    return F.format_string("commit %s (%s)\n  %s\n  %d files changed, +%d -%d\n\n", short_hash, author, summary, files, insertions, deletions)
+    return F.format_string("%s by %s: %s\n  files %d, lines +%d -%d\n\n", short_hash, author, summary, files, insertions, deletions)
 
 
 def prompt_commits(commits: DataFrame, head: str = "Describe the decisions, migrations and notable fixes in these commits.\n" + ANSWER_FORMAT) -> DataFrame:
@@ -74,24 +76,50 @@ def classify_failures(answers: DataFrame) -> DataFrame:
 TIMEOUT_S = 120.0
 
 
-def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], attempts: int = 3, wait_s: float = 1.0, timeout_s: float = TIMEOUT_S) -> DataFrame:
-    """Ask every provider each of ``prompts`` (prompt_type, prompt): model,
-    prompt_type, response, error, one of the last two null.
+class Waits:
+    """Until when calls of a model have to wait, shared by all calls of a task."""
+
+    def __init__(self, longest_s: float):
+        self.longest_s, self.until, self.lock = longest_s, {}, threading.Lock()
+
+    def hold(self, model: str, seconds: float) -> None:
+        with self.lock:
+            self.until[model] = max(self.until.get(model, 0.0), time.monotonic() + min(seconds, self.longest_s))
+
+    def wait(self, model: str) -> None:
+        while (left := self.until.get(model, 0.0) - time.monotonic()) > 0:
+            time.sleep(left)
+
+
+def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], attempts: int = 3, wait_s: float = 1.0, timeout_s: float = TIMEOUT_S, at_once: int = 4, longest_wait_s: float = 300.0, payloads: Collection[str] = ()) -> DataFrame:
+    """Ask every provider each of ``prompts`` (prompt_type, prompt, and no, their numbers, if they
+    have an order): model, prompt_type, response, error, one of the last two null, and seq, by which
+    answers are in the order of the prompts and, for each, of the providers.
 
     A failure that a retry can help, one of no answer within ``timeout_s`` among
-    them, is tried again after a doubling wait. Calls are made where the rows are; store the result before using it twice.
+    them, is tried again after a doubling wait. One that says how long to wait
+    holds all calls of its model in the task, ``longest_wait_s`` at most. Up to
+    ``at_once`` calls of a model are under way in its task at a time. Models in
+    ``payloads`` answer in JSON, of which the message is the response. Calls are
+    made where the rows are; store the result before using it twice.
     """
     if not providers:
         raise ValueError("No providers")
-    models = F.explode(F.array(*map(F.lit, providers))).alias("model")
-    rows = prompts.select("prompt_type", "prompt", models)
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(i).alias("place")) for i, m in enumerate(providers)))).alias("m")
+    numbered = prompts if "no" in prompts.columns else prompts.withColumn("no", F.monotonically_increasing_id())
+    rows = numbered.select("prompt_type", "prompt", "no", models).select("prompt_type", "prompt", "m.model", (F.col("no") * len(providers) + F.col("m.place")).alias("seq"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [call(providers[m], p, attempts, wait_s, timeout_s) for m, p in zip(pdf["model"], pdf["prompt"])]
-            yield pd.DataFrame({"model": pdf["model"], "prompt_type": pdf["prompt_type"], "response": [g[0] for g in got], "error": [g[1] for g in got]})
+        waits = Waits(longest_wait_s)
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                got = list(pool.map(lambda m, p: call(providers[m], p, attempts, wait_s, timeout_s, waits, m), pdf["model"], pdf["prompt"]))
+                yield pdf.assign(response=[g[0] for g in got], error=[g[1] for g in got])[["model", "prompt_type", "response", "error", "seq"]]
 
-    return rows.repartition("model", "prompt_type").mapInPandas(ask, "model string, prompt_type string, response string, error string")
+    said = rows.repartition("model").mapInPandas(ask, "model string, prompt_type string, response string, error string, seq long")
+    wrapped, message = F.col("model").isin(*payloads) & F.col("error").isNull(), replies.agent_message(F.col("response"))
+    error = F.when(wrapped & message.isNull(), "the payload has no message").otherwise(F.col("error"))
+    return said.withColumns({"response": F.when(wrapped, message).otherwise(F.col("response")), "error": error}) if payloads else said
 
 
 def within(provider: Callable[[str], str], prompt: str, timeout_s: float) -> str:
@@ -114,8 +142,10 @@ def within(provider: Callable[[str], str], prompt: str, timeout_s: float) -> str
     return answer
 
 
-def call(provider: Callable[[str], str], prompt: str, attempts: int, wait_s: float, timeout_s: float = TIMEOUT_S) -> tuple[str | None, str | None]:
+def call(provider: Callable[[str], str], prompt: str, attempts: int, wait_s: float, timeout_s: float = TIMEOUT_S, waits: Waits | None = None, model: str = "") -> tuple[str | None, str | None]:
     for k in range(attempts):
+        if waits:
+            waits.wait(model)
         try:
             return within(provider, prompt, timeout_s), None
         except Exception as e:  # noqa: BLE001
@@ -123,7 +153,11 @@ def call(provider: Callable[[str], str], prompt: str, attempts: int, wait_s: flo
             hopeless = not isinstance(e, TimeoutError) and not any(w in error.lower() for name, words in replies.ERROR_WORDS if name in replies.RETRYABLE for w in words)
             if hopeless or k == attempts - 1:
                 return None, error
-            time.sleep(wait_s * 2**k)
+            said = re.search(replies.RETRY_PATTERN, error)
+            if said and waits:
+                waits.hold(model, float(said[1]))
+            else:
+                time.sleep(wait_s * 2**k)
     return None, "no attempt"
 
 

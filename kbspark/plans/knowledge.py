@@ -92,24 +92,53 @@ class KnowledgeBase:
         asked = None
         for kind, (rows, prompt) in found.items():
             if rows.limit(1).count():
-                one = prompt.select(F.lit(kind).alias("prompt_type"), "prompt")
+                one = prompt.select(F.lit(kind).alias("prompt_type"), "prompt", F.lit(list(found).index(kind)).cast("long").alias("no"))
                 asked = one if asked is None else asked.unionByName(one)
         return asked
 
+    def drift(self, files: DataFrame, history: DataFrame, deltas: DataFrame, full: bool = False) -> DataFrame:
+        """What a run would work on, without a run: kind (new, modified, deleted, commit, pattern), name
+        (a path, a short hash or an id) and what (a commit's summary); no rows if all is up to date."""
+        todo = self.pending(files, history, deltas, full)
+        none = F.lit(None).cast("string").alias("what")
+        changed = todo["changed"].select(F.when(F.col("is_new"), "new").otherwise("modified").alias("kind"), F.col("path").alias("name"), none)
+        gone = todo["deleted"].select(F.lit("deleted").alias("kind"), F.col("path").alias("name"), none)
+        new = todo["commits"].select(F.lit("commit").alias("kind"), F.left("hash", F.lit(7)).alias("name"), text.summary(F.col("message")).alias("what"))
+        rest_on = todo["patterns"].select(F.lit("pattern").alias("kind"), F.col("pattern_id").alias("name"), none)
+        return changed.unionByName(gone).unionByName(new).unionByName(rest_on)
+
+    def link(self, patterns: DataFrame, links: DataFrame) -> None:
+        """Record ``patterns`` (pattern_id, name), a known one with its first date, and which files
+        they rest on: ``links`` (pattern_id, path) of known patterns and files, each once."""
+        now = F.current_timestamp()
+        old = self.table("patterns", PATTERNS)
+        born = old.select("pattern_id", F.col("created").alias("born"))
+        new = patterns.select("pattern_id", "name").dropDuplicates(["pattern_id"]).join(born, "pattern_id", "left")
+        new = new.select("pattern_id", "name", F.coalesce("born", now).alias("created"), now.alias("last_updated"))
+        write_table(changes.latest(old, new, "pattern_id", "last_updated"), self.root, "patterns")
+        have, files = self.table("links", LINKS), self.table("files", FILES)
+        write_table(changes.link_patterns(have, links, self.table("patterns", PATTERNS), files), self.root, "links")
+        sides = files.select("path", "hash", "size").distinct().join(self.table("links", LINKS), "path", "left")
+        known = files.where("pattern_id is not null").select("path", "hash", "size", "pattern_id")
+        both = sides.select("path", "hash", "size", "pattern_id").where("pattern_id is not null").unionByName(known).distinct()
+        bare = files.select("path", "hash", "size", F.lit(None).cast("string").alias("pattern_id")).distinct().join(both.select("path"), "path", "left_anti")
+        write_table(both.unionByName(bare), self.root, "files")
+
     def learn(self, files: DataFrame, history: DataFrame, deltas: DataFrame, providers: dict[str, Callable[[str], str]], full: bool = False, need_success: bool = False) -> DataFrame:
         """One run: ask the models about what is new, bring their findings together,
         store them, and move the manifest on; returns how many entries were
         written, updated or skipped. Replies are stored before they are used, so
         that no model is asked twice."""
+        files = stored(files, "files")  # what is asked about, and what the manifest gets, is one and the same scan
         todo = {k: stored(df, k) for k, df in self.pending(files, history, deltas, full).items()}
         none = self.spark.createDataFrame([], "action string, count long")
         if not any(df.limit(1).count() for df in todo.values()):
             return none
         asked = self.questions(todo, files, deltas)
         if asked is None:  # files are gone that no pattern rests on
-            asked = self.spark.createDataFrame([], "prompt_type string, prompt string")
+            asked = self.spark.createDataFrame([], "prompt_type string, prompt string, no long")
             need_success = False
-        answers = stored(prompts.fan_out(asked, providers), "answers").withColumn("seq", F.monotonically_increasing_id())
+        answers = stored(prompts.fan_out(asked, providers), "answers")
         if need_success and not answers.where("error is null").limit(1).count():
             raise AllProvidersFailed(", ".join(providers))
         parsed = stored(prompts.parse_responses(answers.where("error is null"), strip_fences=True).where("error is null"), "parsed")
@@ -122,9 +151,13 @@ class KnowledgeBase:
         new = entries.last_of_each_key(actions).select("category", "slug", "what", "why", "how", *entries.CONTEXT, "body")
         write_table(entries.upsert(old, new), self.root, "entries", partition_by="category")
         links = self.table("files", FILES).where("pattern_id is not null")
-        kept = changes.link_patterns(links.limit(0), links, links.select("pattern_id").distinct(), files.join(todo["changed"], "path", "left_anti").select("path"))
+        same = files.join(todo["changed"], "path", "left_anti").select("path")
+        kept = changes.link_patterns(links.limit(0), links, links.select("pattern_id").distinct(), same)
         write_table(files.select("path", "hash", "size").join(kept, "path", "left").select("path", "hash", "size", "pattern_id"), self.root, "files")
         done = todo["commits"].select(F.col("hash").alias("sha"), rules.infer_commit_category(text.summary(F.col("message"))).alias("category"), F.current_timestamp().alias("processed_at"))
         write_table(self.table("commits", COMMITS).join(done, "sha", "left_anti").unionByName(done), self.root, "commits")
+        patterns, paths = self.table("patterns", PATTERNS), self.table("links", LINKS)
+        write_table(changes.touched(patterns, todo["patterns"], F.current_timestamp()), self.root, "patterns")
+        write_table(paths.join(same, "path", "left_semi"), self.root, "links")  # a changed file's have to be found anew
         return actions.groupBy("action").count()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kbspark.adapters import MESSAGE_RULES, PATH_RULES, duck, view
 from kbspark.functions import replies, rules, text
-from kbspark.operators import changes, commits, entries, history, prompts, search, synthesis
+from kbspark.operators import changes, commits, entries, history, ignored, line_diff, prompts, search, synthesis
 from kbspark.operators.search_index import SearchIndex
 from kbspark.shared import shared_dir
 
@@ -409,6 +409,36 @@ def status_commits(spark, sf_dir):
     return u.orderBy(F.desc("pos")).limit(20).select(F.left("hash", F.lit(7)).alias("short_hash"), "pos", more.alias("more"))
 
 
+_RULE_TABLE = """SELECT CASE p_partkey % 3 WHEN 0 THEN concat(p_type, '/', p_name) WHEN 1 THEN concat(split_part(p_name, ' ', 2), CASE WHEN p_partkey % 2 = 0 THEN '.md' ELSE '.py' END) ELSE concat(p_brand, '-', CAST(p_partkey AS STRING)) END AS token,
+(1 + p_partkey % 97) / CAST(100 AS DOUBLE) AS weight FROM part"""
+_TABLE_SCORED = _SCORED.replace(f"{_PH} AS h, {_PT} AS t FROM deltas", "coalesce(h, 0) AS h, t FROM deltas LEFT JOIN hits USING (path)")
+
+
+@query(f"""{_COMMITS}, rule AS (SELECT token AS t, CAST(round(max(weight) * 100) AS INTEGER) AS h FROM ({_RULE_TABLE.replace('STRING', 'VARCHAR')}) GROUP BY token),
+hits AS (SELECT path, h, t FROM (SELECT DISTINCT path FROM deltas) JOIN rule ON contains(path, t) QUALIFY row_number() OVER (PARTITION BY path ORDER BY h DESC, t) = 1), {_TABLE_SCORED}
+SELECT hash, CAST(round(significance * 1000) AS BIGINT) AS thousandths, category, pattern FROM scored""")
+def commit_score_rules(spark, sf_dir):
+    table = spark.sql(_RULE_TABLE.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    scored = commits.score_commits(view(spark, sf_dir, "commits"), view(spark, sf_dir, "deltas"), table, MESSAGE_RULES)
+    return scored.select("hash", F.round(F.col("significance").cast("double") * 1000).cast("long").alias("thousandths"), "category", "pattern")
+
+
+_LINES = "string_split(concat(coalesce(text, ''), chr(10)), chr(10))[1:-2]"
+
+
+@query(f"""WITH x AS (SELECT concat('f', doc_id) AS path, doc_id % 10 AS k, len(l) AS n, len(list_filter(l, lambda s: length(s) % 3 = 0)) AS gone, len(list_filter(l, lambda s: length(s) % 3 <> 0 AND length(s) % 5 = 0)) AS other
+  FROM (SELECT doc_id, {_LINES} AS l FROM documents)),
+y AS (SELECT path, CASE k WHEN 8 THEN n - gone WHEN 9 THEN 0 ELSE other END AS insertions, CASE k WHEN 8 THEN 0 WHEN 9 THEN n ELSE gone + other END AS deletions FROM x)
+SELECT path, CAST(insertions AS BIGINT) AS insertions, CAST(deletions AS BIGINT) AS deletions, false AS is_binary FROM y WHERE insertions + deletions > 0""")
+def content_diffstats(spark, sf_dir):
+    """Texts, and what they are without lines of some lengths and with a mark before those of others; some files are new or gone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("f"), "doc_id").alias("path"), (F.col("doc_id") % 10).alias("k"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))
+    kept = F.filter("l", lambda s: F.char_length(s) % 3 != 0)
+    other = F.transform(kept, lambda s: F.when(F.char_length(s) % 5 == 0, F.concat(F.lit("\u0001"), s)).otherwise(s))
+    whole = lambda lines: F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), "").alias("content")
+    return line_diff.content_diffs(docs.where("k <> 8").select("path", whole(F.col("l"))), docs.where("k <> 9").select("path", whole(other)))
+
+
 _HISTORY = f"{duck('history', 'dated_manifest').replace('WITH ', 'WITH RECURSIVE ', 1)}, edges AS (SELECT hash, parent1 AS parent FROM history WHERE parent1 IS NOT NULL UNION SELECT hash, parent2 FROM history WHERE parent2 IS NOT NULL)"
 
 
@@ -430,6 +460,14 @@ def topological_pos(spark, sf_dir):
     return history.topological_pos(_history(spark, sf_dir))
 
 
+_RULES = [("", "de/\n*7.txt\n!/fr/**/*17.txt\n"), ("es", "src[0-4]/\n# all\n")]
+
+
+@query(f"""{duck('files_now')} SELECT path FROM files_now WHERE starts_with(path, 'de/') OR regexp_matches(path, '^es/src[0-4]/') OR (ends_with(path, '7.txt') AND NOT (starts_with(path, 'fr/') AND ends_with(path, '17.txt')))""")
+def ignored_files(spark, sf_dir):
+    return ignored.ignored_files(view(spark, sf_dir, "files_now"), spark.createDataFrame(_RULES, "folder string, content string")).select("path")
+
+
 # -- synthesis ------------------------------------------------------------
 
 _TAGGED = f"{duck('tagged')}, c AS (SELECT *, {_inferred('what', 'why', 'how')} AS category FROM tagged)"
@@ -554,14 +592,14 @@ def group_by_category(spark, sf_dir):
 
 
 @query(f"""{duck('files_now')}, t AS (SELECT path, size, string_split(text, chr(10)) AS l FROM files_now ORDER BY path LIMIT 50),
-s AS (SELECT path, concat('=== ', path, ' (', size, ' bytes) ===', chr(10), array_to_string(l[1:200], chr(10)), CASE WHEN len(l) > 200 THEN concat(chr(10), '... (', len(l) - 200, ' more lines truncated)', chr(10)) ELSE '' END, chr(10), chr(10)) AS s
+s AS (SELECT path, concat('## ', path, ', ', size, ' bytes', chr(10), array_to_string(l[1:200], chr(10)), CASE WHEN len(l) > 200 THEN concat(chr(10), '[', len(l) - 200, ' further lines left out]', chr(10)) ELSE '' END, chr(10), chr(10)) AS s
   FROM (SELECT path, size, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM t))
-SELECT concat(string_agg(s, '' ORDER BY path), CASE WHEN (SELECT count(*) FROM files_now) > 50 THEN concat('(', (SELECT count(*) FROM files_now) - 50, ' more files not shown)', chr(10)) ELSE '' END) AS prompt FROM s""")
+SELECT concat(string_agg(s, '' ORDER BY path), CASE WHEN (SELECT count(*) FROM files_now) > 50 THEN concat('[', (SELECT count(*) FROM files_now) - 50, ' further files left out]', chr(10)) ELSE '' END) AS prompt FROM s""")
 def prompt_files(spark, sf_dir):
     return prompts.prompt_files(view(spark, sf_dir, "files_now"), head="")
 
 
-@query(f"""{duck('commits', 'deltas', 'authors')}, {_STATS} SELECT hash, concat('commit ', left(hash, 7), ' (', coalesce(name, 'Unknown'), ' <', coalesce(email, 'unknown@example.com'), '>)', chr(10), '  ', split_part(message, chr(10), 1), chr(10), '  ', files_changed, ' files changed, +', insertions, ' -', deletions, chr(10), chr(10)) AS section
+@query(f"""{duck('commits', 'deltas', 'authors')}, {_STATS} SELECT hash, concat(left(hash, 7), ' by ', coalesce(name, 'Unknown'), ' <', coalesce(email, 'unknown@example.com'), '>: ', split_part(message, chr(10), 1), chr(10), '  files ', files_changed, ', lines +', insertions, ' -', deletions, chr(10), chr(10)) AS section
 FROM commits JOIN stats USING (hash) JOIN authors USING (hash)""")
 def prompt_commits(spark, sf_dir):
     c = view(spark, sf_dir, "commits")

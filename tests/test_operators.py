@@ -160,6 +160,6 @@ def test_fan_out(spark):
 def test_prompt_limits(spark):
     many = spark.createDataFrame([(f"f{i:03}", 1, "\n".join(map(str, range(500 if i == 0 else 1)))) for i in range(60)], "path string, size long, text string")
     got = prompts.prompt_files(many).first().prompt
-    assert "(10 more files not shown)" in got and "(300 more lines truncated)" in got and "f050" not in got
+    assert "[10 further files left out]" in got and "[300 further lines left out]" in got and "f050" not in got
     ids = spark.createDataFrame([("p1",)], "pattern_id string")
     assert "- p1\n" in prompts.prompt_patterns(ids, many).first().prompt

@@ -1,8 +1,11 @@
+import random
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark.functions.ignore import IgnoreRules
+from kbspark.operators import ignored
 from kbspark.plans.knowledge import AlreadyThere, KnowledgeBase, ignore_line
 from kbspark.sources import files, git, store, toml_entries
 from kbspark.streaming.incremental import counts_by_window, upsert_stream
@@ -60,10 +63,9 @@ def test_files(spark, repo):
     (repo / "bin").write_bytes(b"\0\1")
     (repo / ".gitignore").write_text("*.log\n")
     (repo / "x.log").write_text("l")
-    ignored = files.ignored_paths(str(repo), ["x.log", "a.txt"])
     got = {r.path: r for r in files.repo_files(spark, str(repo)).collect()}
     assert "x.log" in {r.path for r in files.repo_files(spark, str(repo), gitignore=False).collect()}
-    assert ignored == ["x.log"] and set(got) == {"a.txt", ".gitignore", *(f"b{i}.py" for i in range(4))}
+    assert set(got) == {"a.txt", ".gitignore", *(f"b{i}.py" for i in range(4))}
     assert got["b0.py"]["size"] == 1 and got["b0.py"].text == "x"
 
 
@@ -144,20 +146,104 @@ def test_learn_asks_of_files_commits_and_patterns(spark, tmp_path):
 
     kb.learn(f, h, d, {"m": provider})  # only a commit is new
     (prompt,) = asked()
-    assert "commit ccccccc (unknown)\n  Breaking change\n  1 files changed, +900 -7\n" in prompt and "===" not in prompt
+    assert "ccccccc by unknown: Breaking change\n  files 1, lines +900 -7\n" in prompt and "## " not in prompt
     assert links() == [("a.py", "p1"), ("b.py", "p1"), ("b.py", "p2"), ("c.py", "p3")]
 
     f2 = f.withColumn("hash", F.when(F.col("path") == "a.py", "new").otherwise(F.col("hash"))).where("path <> 'c.py'")
     kb.learn(f2, h, d, {"m": provider})  # a.py differs, c.py is gone, and p3 with it has no file left
     changed, patterns = asked()
-    assert "=== a.py" in changed and "=== b.py" not in changed
-    assert "- p1\n- p3\n" in patterns and "- p2" not in patterns and "=== a.py" in patterns and "=== b.py" in patterns
+    assert "## a.py" in changed and "## b.py" not in changed
+    assert "- p1\n- p3\n" in patterns and "- p2" not in patterns and "## a.py" in patterns and "## b.py" in patterns
     assert links() == [("a.py", None), ("b.py", "p1"), ("b.py", "p2")]
 
     kb.learn(f2.where("path = 'b.py'"), h, d, {"m": provider}, need_success=True)  # a file without patterns is gone
     assert asked() == [] and links() == [("b.py", "p1"), ("b.py", "p2")]
 
 
+def test_learn_keeps_changes_made_meanwhile(spark, tmp_path):
+    """What a file becomes while models are asked is found by the next run; the manifest has what they were shown."""
+    kb, code = KnowledgeBase(spark, str(tmp_path / "kb")), tmp_path / "code"
+    kb.init()
+    code.mkdir()
+    (code / "a.py").write_text("one")
+    body = "hash string, pos long, message string, n_parents int", "hash string, path string, insertions long, deletions long"
+    h, d = (spark.createDataFrame([], x) for x in body)
+    seen = tmp_path / "seen"
+
+    def provider(prompt):
+        seen.write_text(prompt)
+        (code / "a.py").write_text("two")
+        return ANSWER
+
+    kb.learn(files.repo_files(spark, str(code)), h, d, {"m": provider})
+    assert "one" in seen.read_text()
+    assert [tuple(r) for r in kb.drift(files.repo_files(spark, str(code)), h, d).collect()] == [("modified", "a.py", None)]
+
+
+def test_drift_links_and_touched_patterns(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.init()
+    f = spark.createDataFrame([(p, "h", 1, "text") for p in ("a.py", "b.py")], "path string, hash string, size long, text string")
+    h = spark.createDataFrame([("c" * 40, 1, "Breaking change\n\nmore", 1)], "hash string, pos long, message string, n_parents int")
+    d = spark.createDataFrame([("c" * 40, "core/x", 900, 7)], "hash string, path string, insertions long, deletions long")
+    drift = lambda x: sorted(tuple(r) for r in kb.drift(x, h, d).collect())
+    assert drift(f) == [("commit", "ccccccc", "Breaking change"), ("new", "a.py", None), ("new", "b.py", None)]
+    kb.learn(f, h, d, {"m": lambda p: ANSWER})
+    assert drift(f) == []
+    kb.link(spark.createDataFrame([("p1", "one"), ("p2", "two")], "pattern_id string, name string"), spark.createDataFrame([("p1", "a.py"), ("p2", "b.py"), ("p2", "gone.py"), ("p9", "a.py")], "pattern_id string, path string"))
+    links = lambda: sorted((r.pattern_id, r.path) for r in store.read_table(spark, kb.root, "links", "pattern_id string, path string").collect())
+    dates = lambda: {r.pattern_id: (r.created, r.last_updated) for r in store.read_table(spark, kb.root, "patterns", "pattern_id string, name string, created timestamp, last_updated timestamp").collect()}
+    before = dates()
+    assert links() == [("p1", "a.py"), ("p2", "b.py")] and set(before) == {"p1", "p2"} and drift(f) == []
+    f2 = f.withColumn("hash", F.when(F.col("path") == "a.py", "new").otherwise(F.col("hash")))
+    assert drift(f2) == [("modified", "a.py", None), ("pattern", "p1", None)]
+    kb.learn(f2, h, d, {"m": lambda p: ANSWER})
+    after = dates()
+    assert after["p1"][0] == before["p1"][0] and after["p1"][1] > before["p1"][1] and after["p2"] == before["p2"]
+    assert links() == [("p2", "b.py")] and drift(f2) == []
+
+
+def test_ignore_rules_equal_git(tmp_path):
+    """Random rules and paths, judged by git as well."""
+    rnd = random.Random(5)
+    names = ["a", "b", "ab", "a.b", "x y", "a]", "#a", "!b", "é", "B"]
+    pieces = ["a", "b", "ab", "*", "?", "a*", "*b", "**", "[ab]", "[!a]", "[a-c]*", "[[:alpha:]]", "\\#a", "\\!b", "a.b", "*.b", "x\\ y", "[^b]?", "a**b", "[]a]", "[a", "\\", "é", "***", "[b-a]"]
+    for n in range(25):
+        top = tmp_path / str(n)
+        top.mkdir()
+        run(top, "init", "-q")
+        paths = {"/".join(rnd.choice(names) for _ in range(rnd.choice((1, 2, 3, 4)))) for _ in range(50)}
+        folders = {"/".join(p.split("/")[:i]) for p in paths for i in range(1, p.count("/") + 1)}
+        leaves = sorted(paths - folders)
+        line = lambda: rnd.choice(("", "", "!")) + rnd.choice(("", "/")) + "/".join(rnd.choice(pieces) for _ in range(rnd.choice((1, 1, 2, 3)))) + rnd.choice(("", "", "/", " ", "\r"))
+        rules = {f: "\n".join(line() for _ in range(3)) for f in ["", *rnd.sample(sorted(folders), min(3, len(folders)))]}
+        for p in leaves:
+            (top / p).parent.mkdir(parents=True, exist_ok=True)
+            (top / p).write_text("")
+        for f, content in rules.items():
+            (top / f / ".gitignore").write_bytes(content.encode())
+        done = subprocess.run(["git", "-C", str(top), "check-ignore", "--no-index", "--stdin", "-z"], input="\0".join(leaves).encode(), capture_output=True)
+        known = IgnoreRules(rules)
+        assert {p for p in leaves if known.ignores(p)} == {p.decode() for p in done.stdout.split(b"\0") if p}, rules
+
+
+def test_ignored_files_of_tables(spark, monkeypatch):
+    paths = spark.createDataFrame([("a/x.log", 1), ("a/keep.log", 2), ("b/", 3), ("b/c", 4), ("a/b", 5), (None, 6)], "path string, n int")
+    rules = spark.createDataFrame([("", "*.log\nb/\n"), ("a", "!keep.log\n"), (None, "*"), ("z", None)], "folder string, content string")
+    assert sorted(r.n for r in ignored.ignored_files(paths, rules).collect()) == [1, 3, 4]
+    assert ignored.ignored_files(paths, rules.limit(0)).count() == 0
+    monkeypatch.setattr(ignored, "MOST_BYTES", 3)
+    with pytest.raises(ValueError):
+        ignored.ignored_files(paths, rules)
+
+
+def test_ignore_files_of_inner_folders(spark, tmp_path):
+    for p, body in {".gitignore": "*.log\nout/\n", "a/.gitignore": "!keep.log\n/x\n", "a/keep.log": "k", "a/no.log": "n", "a/x": "x", "a/b/x": "y", "a/b/c/.gitignore": "z", "a/b/c/z": "z", "a/b/c/d/e/z": "z", "a/b/c/d/e/w": "w", "out/keep": "o"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(body)
+    assert {r.path for r in files.repo_files(spark, str(tmp_path)).collect()} == {".gitignore", "a/.gitignore", "a/keep.log", "a/b/x", "a/b/c/.gitignore", "a/b/c/d/e/w"}
+
+
 def test_stream(spark, tmp_path):
     src, root, check = (str(tmp_path / x) for x in ("src", "root", "check"))
     for body in ("one", "two"):
