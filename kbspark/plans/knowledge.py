@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import rules, text
 from kbspark.operators import changes, commits, entries, prompts, search, synthesis
 from kbspark.shared import stored
-from kbspark.sources.store import read_table, write_table
+from kbspark.sources.store import read_table, upsert_buckets, write_table
 
 ENTRIES = "category string, slug string, what string, why string, how string, files array<string>, commits array<string>, dependencies array<string>, outcome map<string,string>, body string"
 PATTERNS = "pattern_id string, name string, created timestamp, last_updated timestamp"
@@ -147,9 +147,11 @@ class KnowledgeBase:
         merged = synthesis.synthesize(synthesis.cluster(order)) if parsed.select("seq").distinct().limit(2).count() > 1 else order.orderBy("seq")
         batch = stored(entries.keyed(merged.withColumn("seq", F.monotonically_increasing_id())).select("seq", "category", "slug", "what", "why", "how", *entries.CONTEXT).where(~text.is_blank(F.col("what"))), "batch")
         old = self.table("entries", ENTRIES)
-        actions = stored(entries.write_actions(batch, old), "actions")
+        seen = Observation()
+        kinds = ("written", "updated", "skipped")
+        actions = stored(entries.write_actions(batch, old).observe(seen, *(F.count_if(F.col("action") == k).alias(k) for k in kinds)), "actions")
         new = entries.last_of_each_key(actions).select("category", "slug", "what", "why", "how", *entries.CONTEXT, "body")
-        write_table(entries.upsert(old, new), self.root, "entries", partition_by="category")
+        upsert_buckets(new, self.root, "entries", ("category", "slug"), ENTRIES)
         links = self.table("files", FILES).where("pattern_id is not null")
         same = files.join(todo["changed"], "path", "left_anti").select("path")
         kept = changes.link_patterns(links.limit(0), links, links.select("pattern_id").distinct(), same)
@@ -159,5 +161,6 @@ class KnowledgeBase:
         patterns, paths = self.table("patterns", PATTERNS), self.table("links", LINKS)
         write_table(changes.touched(patterns, todo["patterns"], F.current_timestamp()), self.root, "patterns")
         write_table(paths.join(same, "path", "left_semi"), self.root, "links")  # a changed file's have to be found anew
-        return actions.groupBy("action").count()
+        counts = [(k, n) for k, n in seen.get.items() if n]  # counted while the actions were written
+        return self.spark.createDataFrame(counts, none.schema)
 

@@ -428,8 +428,8 @@ _LINES = "string_split(concat(coalesce(text, ''), chr(10)), chr(10))[1:-2]"
 
 @query(f"""WITH x AS (SELECT concat('f', doc_id) AS path, doc_id % 10 AS k, len(l) AS n, len(list_filter(l, lambda s: length(s) % 3 = 0)) AS gone, len(list_filter(l, lambda s: length(s) % 3 <> 0 AND length(s) % 5 = 0)) AS other
   FROM (SELECT doc_id, {_LINES} AS l FROM documents)),
-y AS (SELECT path, CASE k WHEN 8 THEN n - gone WHEN 9 THEN 0 ELSE other END AS insertions, CASE k WHEN 8 THEN 0 WHEN 9 THEN n ELSE gone + other END AS deletions FROM x)
-SELECT path, CAST(insertions AS BIGINT) AS insertions, CAST(deletions AS BIGINT) AS deletions, false AS is_binary FROM y WHERE insertions + deletions > 0""")
+y AS (SELECT path, k, CASE k WHEN 8 THEN n - gone WHEN 9 THEN 0 ELSE other END AS insertions, CASE k WHEN 8 THEN 0 WHEN 9 THEN n ELSE gone + other END AS deletions FROM x)
+SELECT path, CAST(insertions AS BIGINT) AS insertions, CAST(deletions AS BIGINT) AS deletions, false AS is_binary FROM y WHERE k = 8 OR insertions + deletions > 0""")
 def content_diffstats(spark, sf_dir):
     """Texts, and what they are without lines of some lengths and with a mark before those of others; some files are new or gone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("f"), "doc_id").alias("path"), (F.col("doc_id") % 10).alias("k"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("l"))

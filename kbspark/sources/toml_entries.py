@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import tomllib
 from collections.abc import Iterator
 
@@ -63,15 +62,8 @@ def to_toml(entry: dict) -> str:
 
 
 def write_entries(entries: DataFrame, root: str) -> None:
-    """A file per entry (category, slug, ...) below ``root``, a folder all executors see; each replaces at once."""
-
-    def write(rows) -> None:
-        for r in rows:
-            folder = os.path.join(root, r["category"])
-            os.makedirs(folder, exist_ok=True)
-            path = os.path.join(folder, f"{r['slug']}.toml")
-            with open(f"{path}.new", "w", encoding="utf-8") as f:
-                f.write(to_toml(r.asDict(recursive=True)))
-            os.replace(f"{path}.new", path)
-
-    entries.foreachPartition(write)
+    """A file per entry (category, slug, ...) below ``root``, moved to its place when all are written; other files stay."""
+    from kbspark.sources import entry_source
+
+    entry_source.register(entries.sparkSession)
+    entries.write.format("kb_entries").mode("append").save(root)

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kbspark.operators import entries
 from kbspark.plans.knowledge import ENTRIES
-from kbspark.sources.store import read_table, write_table
+from kbspark.shared import stored
+from kbspark.sources.store import read_table, upsert_buckets
 
 ARRIVING = "seq long, what string, why string, how string"
 
@@ -20,9 +21,10 @@ def upsert_stream(spark: SparkSession, source: str, root: str, checkpoint: str)
 
     def step(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        keyed = entries.body_of(entries.keyed(batch.where(F.col("what").isNotNull())))
-        new = entries.last_of_each_key(keyed).select("category", "slug", "what", "why", "how", "body")
-        write_table(entries.upsert(read_table(session, root, "entries", ENTRIES), new), root, "entries", partition_by="category")
+        none = {c: F.lit(None).cast(kind) for c, kind in read_table(session, root, "entries", ENTRIES).dtypes if c in entries.CONTEXT}
+        keyed = entries.body_of(entries.keyed(batch.where(F.col("what").isNotNull())).withColumns(none))  # the body that a run would give them
+        new = entries.last_of_each_key(keyed).select("category", "slug", "what", "why", "how", *entries.CONTEXT, "body")
+        upsert_buckets(stored(new, "batch"), root, "entries", ("category", "slug"), ENTRIES)
 
     stream = spark.readStream.schema(ARRIVING).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
