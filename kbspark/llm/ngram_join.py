@@ -153,18 +153,18 @@ def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
     needed = F.floor((bands.den - bands.num) * total / F.lit(bands.den + bands.num)).cast("long") + 1
     others = F.col("n_full") - F.col("own")
     whole = rows.where((F.col("short") == 0) & (others > 0)).select(
-        "doc_id", "band", "size", "segment", F.lit(0).alias("unit"), others.alias("cost"), F.array(F.struct("key", F.lit(False).alias("side"), F.col("least_full").alias("centre"), parts_of(F.col("n_full")))).alias("look"))
+        "doc_id", "band", "size", "segment", F.lit(0).alias("unit"), others.alias("cost"), F.array(F.struct("key", F.lit(False).alias("side"), F.col("least_full.doc_id").alias("centre"), parts_of(F.col("n_full")))).alias("look"))
     more = F.when(F.col("short") == 1, F.col("n_full")).otherwise(F.col("n_short"))
     # the second unit of a segment counts only with the first, so it costs at least as much and is never free alone
     near = rows.where((F.col("segment") < deep) & ((more > 0) | ((F.col("short") == 0) & (others > 0))))
-    found = F.when(F.col("short") == 1, F.struct(F.col("least_full").alias("centre"), F.col("n_full").alias("n"))).otherwise(F.struct(F.col("least_short").alias("centre"), F.col("n_short").alias("n")))
+    found = F.when(F.col("short") == 1, F.struct(F.col("least_full.doc_id").alias("centre"), F.col("n_full").alias("n"))).otherwise(F.struct(F.col("least_short.doc_id").alias("centre"), F.col("n_short").alias("n")))
     look = F.when(more > 0, F.struct("key", (F.col("short") == 0).alias("side"), found["centre"].alias("centre"), parts_of(found["n"])))
     close = near.groupBy("doc_id", "band", "size", "segment").agg(F.sum(more + F.when(F.col("short") == 0, others).otherwise(0)).alias("cost"), F.collect_list(look).alias("look"))
     close = close.select("doc_id", "band", "size", "segment", F.lit(1).alias("unit"), "cost", "look")
     units = Window.partitionBy("doc_id", "band")
     chosen = whole.unionByName(close).select(
         "*", (needed - (ties + deep - F.count("*").over(units))).alias("missing"), F.row_number().over(units.orderBy("cost", "unit", "segment")).alias("rank")).where("rank <= missing")
-    return chosen.select("doc_id", "band", F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "band", F.col("l.centre.doc_id").alias("centre"), "l.parts")
+    return chosen.select("doc_id", "band", F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "band", F.col("l.centre").alias("centre"), "l.parts")
 
 
 def candidate_sets(texts: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -238,7 +238,8 @@ def mixed_buckets(ask: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
     one = lambda df, a, h: df.select(*on, "doc_id", "comp", "parts", F.lit(a).alias("a"), F.lit(h).alias("h"))
     both = one(ask, 1, 0).unionByName(one(have, 0, 1))
     odd = both.groupBy(on).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("parts").alias("parts")).where("lo < hi").select(*on, "parts")
-    some = dealt(both, "doc_id").join(copied(odd).drop("parts"), [*on, "part"], "left_semi")
+    odd = stored(odd, "odd")
+    some = dealt(among(both, on[0], odd, on[0]), "doc_id").join(copied(odd).drop("parts"), [*on, "part"], "left_semi")
     counted = some.groupBy(*on, "comp").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
     largest = F.max(F.struct((F.col("a") + F.col("h")).alias("n"), "comp", "a", "h")).alias("m")
     all_ = counted.groupBy(on).agg(largest, F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
@@ -251,7 +252,7 @@ def meetings(ask: DataFrame, have: DataFrame, mixed: DataFrame, on: list[str], s
     buckets = copied(mixed).select(*on, "part", "main", F.ceil(F.col("pairs") / PART_PAIRS).cast("int").alias("pair_parts"))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        rows = dealt(df, "doc_id").join(buckets, [*on, "part"]).withColumnsRenamed({"doc_id": p, "comp": p + "_comp"})
+        rows = dealt(among(df, on[0], mixed, on[0]), "doc_id").join(buckets, [*on, "part"]).withColumnsRenamed({"doc_id": p, "comp": p + "_comp"})
         return stored(rows.join(_sketched(sketches, p), [p, "band"]).drop("parts", "part").withColumnRenamed("pair_parts", "parts"), p)
 
     left, right = side(ask, "p"), side(have, "q")
@@ -330,7 +331,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # the sets and sketches of whoever may be tested: those that look up, and those that are found
     index = buckets.where("own = 1").select("key", (F.col("short") == 1).alias("side"), "doc_id", "band", parts_of(F.when(F.col("short") == 1, F.col("n_short")).otherwise(F.col("n_full"))))
     asked = copied(look.select("key", "side", "parts").distinct()).drop("parts")
-    index = stored(by_rep(dealt(index, "doc_id").join(asked, ["key", "side", "part"], "left_semi")).drop("part").distinct(), "index")
+    index = stored(by_rep(dealt(among(index, "key", look, "key"), "doc_id").join(asked, ["key", "side", "part"], "left_semi")).drop("part").distinct(), "index")
     look = stored(by_rep(look).distinct(), "look")
     names = look.select(F.col("centre").alias("member")).distinct().join(member, "member")
     tested = stored(look.select("doc_id").unionByName(index.select("doc_id")).unionByName(names.select(F.col("rep").alias("doc_id"))).distinct(), "tested")
@@ -347,12 +348,12 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     on, label = ["key", "side"], components(linked)
     ask, have = stored(labelled(look.drop("centre"), label), "ask"), stored(labelled(index, label), "have")
     mixed = stored(mixed_buckets(ask, have, on), "mixed")
-    cross = meetings(ask, have, mixed.where(F.col("pairs") <= CROWD * F.col("n")), on, sketches, bands)
-    crowded = mixed.where(F.col("pairs") > CROWD * F.col("n"))
+    plain, crowded = mixed.where(F.col("pairs") <= CROWD * F.col("n")), mixed.where(F.col("pairs") > CROWD * F.col("n"))
+    cross = meetings(ask, have, plain, on, sketches, bands)
     if crowded.limit(1).count():
         full = copied(crowded.select(*on, "parts")).drop("parts")
-        asking = dealt(ask, "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
-        having = dealt(have, "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
+        asking = dealt(among(ask, "key", crowded, "key"), "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
+        having = dealt(among(have, "key", crowded, "key"), "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
         asking, having = stored(asking, "asking"), stored(having, "having")
         rare = stored(rare_elements(sets.where("items is not null").join(asking.unionByName(having).select("doc_id").distinct(), "doc_id", "left_semi"), bands), "rare")
         on = ["x", "band"]
