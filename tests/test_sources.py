@@ -59,6 +59,29 @@ def test_git_merges_keep_their_places_in_parts(repo, tmp_path):
     assert list(git.read_commits(str(tmp_path / "none"))) == []
 
 
+def test_commits_as_a_stream(spark, repo, tmp_path):
+    """Each commit comes once: over restarts, and after the last commits have been written anew."""
+    spark.dataSource.register(git.GitCommits)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def drain():
+        stream = spark.readStream.format("git_commits").option("repo", str(repo)).option("commits_per_task", 3).load()
+        stream.select("hash", "pos", "message_summary").writeStream.format("parquet").option("checkpointLocation", check).option("path", out).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.pos, r.message_summary) for r in spark.read.parquet(out).collect())
+
+    first = [(i + 1, f"Fix {i}") for i in range(4)]
+    assert drain() == first and drain() == first
+    (repo / "c.py").write_text("x")
+    run(repo, "add", ".")
+    run(repo, "commit", "-q", "-m", "More")
+    assert drain() == [*first, (5, "More")]
+    run(repo, "commit", "-q", "--amend", "-m", "More, written anew")
+    (repo / "d.py").write_text("x")
+    run(repo, "add", ".")
+    run(repo, "commit", "-q", "-m", "Last")
+    assert drain() == sorted([*first, (5, "More"), (5, "More, written anew"), (6, "Last")])
+
+
 def test_files(spark, repo):
     (repo / "bin").write_bytes(b"\0\1")
     (repo / ".gitignore").write_text("*.log\n")
