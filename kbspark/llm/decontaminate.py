@@ -161,7 +161,10 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), utf8(text_col).alias("text")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    return [rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) for k in range(n)], total
+    if n == 1:
+        return [rows], total
+    dealt = stored(rows.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(n)).cast("int")), "items", partition_by="block")  # so that a block is read by itself
+    return [dealt.where(F.col("block") == k).drop("block") for k in range(n)], total
 
 
 class WindowFilter:
