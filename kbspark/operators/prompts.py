@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import replies, text
+from kbspark.operators.history import numbered
 
 # How much of a code base fits a prompt.
 FILES_PER_PROMPT, LINES_PER_FILE = 50, 200
+#: Commits beyond so many go to further prompts.
+COMMITS_PER_PROMPT = 1000
 
 ANSWER_FORMAT = "Answer with [[entry]] tables in TOML, each with what, why, how and, under [entry.context], files, commits and dependencies.\n\n"
 
@@ -48,10 +51,13 @@ def commit_section(short_hash: Column, author: Column, summary: Column, files: C
     return F.format_string("%s by %s: %s\n  files %d, lines +%d -%d\n\n", short_hash, author, summary, files, insertions, deletions)
 
 
-def prompt_commits(commits: DataFrame, head: str = "Describe the decisions, migrations and notable fixes in these commits.\n" + ANSWER_FORMAT) -> DataFrame:
-    """One prompt of all ``commits`` (pos, hash, author, message, files_changed, insertions, deletions), in order."""
+def prompt_commits(commits: DataFrame, head: str = "Describe the decisions, migrations and notable fixes in these commits.\n" + ANSWER_FORMAT, per_prompt: int = COMMITS_PER_PROMPT) -> DataFrame:
+    """page (from 0) and prompt: ``commits`` (pos, hash, author, message, files_changed, insertions,
+    deletions) in order, ``per_prompt`` of them in each; no rows without commits."""
     section = commit_section(F.left("hash", F.lit(7)), F.coalesce("author", F.lit("unknown")), text.summary(F.col("message")), F.col("files_changed"), F.col("insertions"), F.col("deletions"))
-    return _one_text(commits.select(F.struct("pos", "hash").alias("place"), section.alias("section")), head)
+    placed = numbered(commits.select("pos", "hash", section.alias("section")), ["pos", "hash"], "n")
+    pages = placed.groupBy(F.expr(f"(n - 1) div {per_prompt}").alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "section"))).alias("all"))
+    return pages.select("page", F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["section"]), "")).alias("prompt"))
 
 
 def prompt_patterns(ids: DataFrame, files: DataFrame, head: str = "Tell which of these patterns still hold.\n" + ANSWER_FORMAT) -> DataFrame:

@@ -92,7 +92,8 @@ class KnowledgeBase:
         asked = None
         for kind, (rows, prompt) in found.items():
             if rows.limit(1).count():
-                one = prompt.select(F.lit(kind).alias("prompt_type"), "prompt", F.lit(list(found).index(kind)).cast("long").alias("no"))
+                page = F.col("page") if "page" in prompt.columns else F.lit(0)
+                one = prompt.select(F.lit(kind).alias("prompt_type"), "prompt", (list(found).index(kind) * F.lit(1 << 32) + page).alias("no"))
                 asked = one if asked is None else asked.unionByName(one)
         return asked
 

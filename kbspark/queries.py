@@ -645,3 +645,44 @@ UNION ALL SELECT seq, model, 1, CASE seq % 5 WHEN 1 THEN 'two' ELSE 'b' END, NUL
 def parse_response(spark, sf_dir):
     raw = spark.sql(_RENDERED.replace("FROM tagged", "FROM {tagged}"), tagged=view(spark, sf_dir, "tagged"))
     return prompts.parse_responses(raw).select("seq", "model", "entry_no", "what", "error")
+
+
+@query(f"""{duck('files_now')}, p AS (SELECT CASE WHEN starts_with(path, 'en/') THEN concat('/work/', path) ELSE path END AS path FROM files_now)
+SELECT path, CASE WHEN starts_with(path, '/work/') THEN substr(path, 7) ELSE path END AS relative FROM p""")
+def relative_paths(spark, sf_dir):
+    p = view(spark, sf_dir, "files_now").select(F.when(F.startswith("path", F.lit("en/")), F.concat(F.lit("/work/"), "path")).otherwise(F.col("path")).alias("path"))
+    return p.select("path", text.relative(F.col("path"), "/work").alias("relative"))
+
+
+@query(f"""{duck('commits', 'deltas', 'authors')}, {_STATS}, n AS (SELECT row_number() OVER (ORDER BY pos, hash) AS n, c.hash, message, name, email, files_changed, insertions, deletions FROM commits c JOIN stats USING (hash) JOIN authors USING (hash))
+SELECT (n - 1) // 1000 AS page, string_agg(concat(left(hash, 7), ' by ', coalesce(name, 'Unknown'), ' <', coalesce(email, 'unknown@example.com'), '>: ', split_part(message, chr(10), 1), chr(10), '  files ', files_changed, ', lines +', insertions, ' -', deletions, chr(10), chr(10)), '' ORDER BY n) AS prompt
+FROM n GROUP BY 1""")
+def commit_prompts(spark, sf_dir):
+    c, d, a = (view(spark, sf_dir, x) for x in ("commits", "deltas", "authors"))
+    rows = c.select("hash", "pos", "message").join(commits.diff_stats(c, d), "hash").join(a.select("hash", text.author(F.col("name"), F.col("email")).alias("author")), "hash")
+    return prompts.prompt_commits(rows, head="")
+
+
+_ANSWERS = {"long": lambda p: f"{len(p)} {p[:5]}", "strict": lambda p: p[-3:] if len(p) % 2 == 0 else _refuse()}
+
+
+def _refuse() -> str:
+    raise ValueError("Unauthorized")
+
+
+@query("""WITH p AS (SELECT doc_id, left(coalesce(text, ''), 50) AS p FROM documents)
+SELECT doc_id * 2 AS seq, 'long' AS model, concat(length(p), ' ', left(p, 5)) AS response, CAST(NULL AS VARCHAR) AS error FROM p
+UNION ALL SELECT doc_id * 2 + 1, 'strict', CASE WHEN length(p) % 2 = 0 THEN right(p, 3) END, CASE WHEN length(p) % 2 = 1 THEN 'Unauthorized' END FROM p""")
+def provider_answers(spark, sf_dir):
+    """Every text's start asked of two local providers, one of which refuses some."""
+    asked = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("text").alias("prompt_type"), F.left(F.coalesce("text", F.lit("")), F.lit(50)).alias("prompt"), F.col("doc_id").alias("no"))
+    return prompts.fan_out(asked, _ANSWERS).select("seq", "model", "response", "error")
+
+
+@query(f"""{duck('files_now', 'manifest_files')}, t AS (SELECT path, size, string_split(text, chr(10)) AS l FROM files_now ORDER BY path LIMIT 50),
+s AS (SELECT path, concat('## ', path, ', ', size, ' bytes', chr(10), array_to_string(l[1:200], chr(10)), CASE WHEN len(l) > 200 THEN concat(chr(10), '[', len(l) - 200, ' further lines left out]', chr(10)) ELSE '' END, chr(10), chr(10)) AS s
+  FROM (SELECT path, size, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM t))
+SELECT concat((SELECT string_agg(concat('- ', pattern_id, chr(10)), '' ORDER BY pattern_id) FROM (SELECT DISTINCT pattern_id FROM manifest_files)), string_agg(s, '' ORDER BY path)) AS prompt FROM s""")
+def prompt_patterns(spark, sf_dir):
+    ids = view(spark, sf_dir, "manifest_files").select("pattern_id").distinct()
+    return prompts.prompt_patterns(ids, view(spark, sf_dir, "files_now"), head="")
