@@ -33,7 +33,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
     # runs of up to 64 commits that branch off earlier ones, merges, and several roots
     "history": """
 SELECT SHA(CAST(k AS STRING)) AS hash, SHA(CAST(p1 AS STRING)) AS parent1, SHA(CAST(p2 AS STRING)) AS parent2, day AS timestamp
-FROM (SELECT o_orderkey AS k, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS day,
+FROM (SELECT o_orderkey AS k, CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS BIGINT) AS day,
   CASE WHEN o_orderkey % 997 = 0 THEN NULL WHEN o_orderkey % 64 <> 0 THEN o_orderkey - 1 ELSE CAST(floor(o_orderkey / 2) AS BIGINT) END AS p1,
   CASE WHEN o_orderkey % 17 = 0 AND o_orderkey > 0 THEN CAST(floor(o_orderkey / 3) AS BIGINT) END AS p2 FROM orders)""",
     "manifest_commits": """

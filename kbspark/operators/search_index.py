@@ -150,9 +150,12 @@ class SearchIndex:
         replaced.write.parquet(f"{path}/dead")
         self.spark.createDataFrame([(size, BUCKETS)], "block_rows long, buckets int").coalesce(1).write.parquet(f"{path}/done")
 
-    def upsert(self, batch: DataFrame) -> str:
-        """Add ``batch`` (one row per key), which replaces rows of the same keys; returns the new generation's name."""
+    def upsert(self, batch: DataFrame) -> str | None:
+        """Add ``batch`` (one row per key), which replaces rows of the same keys; returns the new generation's name,
+        or that of the last one (None without one) for an empty batch."""
         have = self.generations()
+        if not batch.limit(1).count():
+            return have[-1] if have else None
         name = f"g{len(have) + self._first(have):08d}-{uuid.uuid4().hex[:8]}"
         replaced = None
         if have:

@@ -55,7 +55,7 @@ def test_queries_of_all_kinds(spark, index):
 def test_upserts_and_compaction(spark, tmp_path, monkeypatch):
     rnd, now, index = random.Random(2), {}, SearchIndex(spark, str(tmp_path / "i"))
     monkeypatch.setattr(search_index, "HELD", 50)
-    assert index.ask("abc").count() == index.ask("ab").count() == 0
+    assert index.ask("abc").count() == index.ask("ab").count() == 0 and index.upsert(spark.createDataFrame([], SCHEMA)) is None
     for step in range(4):
         batch = {(rnd.choice(("bugs", "facts")), f"n{rnd.randrange(60)}.toml"): tuple(rnd.choice((None, "", "".join(rnd.choice("abAé") for _ in range(12)))) for _ in range(3)) for _ in range(40)}
         now |= batch
