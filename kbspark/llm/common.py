@@ -77,7 +77,8 @@ FILTER_BITS = 1 << 26
 
 def among(rows: DataFrame, by: str, ids: DataFrame, of: str) -> DataFrame:
     """The rows whose number ``by`` is among the numbers ``of`` of ``ids``, and few others: a filter of
-    at most FILTER_BITS bits keeps the rest out of what follows. Beyond some ten million numbers it keeps out less."""
+    at most FILTER_BITS bits, a million rows, keeps the rest out of what follows. Beyond some ten million
+    numbers it keeps out less, and in the end nothing."""
 
     def place(c: str):
         at = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
