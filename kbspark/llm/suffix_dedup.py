@@ -9,8 +9,9 @@ content, so that equal strings meet in one task and nothing else has to:
     anchors at equal places. About one position in forty is an anchor. Anchors
     that occur once in the corpus cannot lie in a repeated window.
 2.  Pieces. Around each repeated anchor, the bytes of just those windows whose
-    anchor it is make a piece; pieces are dealt by the anchor's hash. Windows of
-    very frequent anchors are dealt one by one, by the hash of their own bytes.
+    anchor it is make a piece; pieces are dealt by the anchor's hash. Of an anchor with
+    more pieces than a task's share, windows are dealt one by one, by the hash of their
+    own bytes, unless the whole piece is a copy that the sending task has seen.
     The number of parts grows with the bytes of pieces, so a task's state doesn't.
 3.  Index family. A task takes its pieces in the order of documents, in batches. Each
     batch gets a suffix array, is matched within itself and merge-scanned against
@@ -32,13 +33,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kbspark.llm.common import batch_of, hot_keys, spread_join, stored, utf8, worker_state
+from kbspark.llm.common import HOT_KEYS, batch_of, hot_keys, spread_join, stored, utf8, worker_state
 from kbspark.llm.shingles import mix
 
 #: Bytes of the strings among which a window's anchor is chosen.
 ANCHOR_BYTES = 32
-#: Pieces of one anchor that one task may get; a more frequent anchor's windows are dealt by their own bytes.
+#: Pieces of one anchor that one task may get, if that isn't more than its share and more than HOT_LEAST; a more
+#: frequent anchor's windows are dealt by their own bytes.
 HOT_PIECES = 50_000
+#: One document in OFTEN_SAMPLE is looked at first for anchors that are so frequent that even one row a block is too much.
+OFTEN_SAMPLE = 64
+#: Anchors with fewer occurrences (among all, or in that sample) are never dealt apart.
+HOT_LEAST = 1000
 #: Hot anchors that are broadcast; if there are more, the marks go to the anchors' rows by a join.
 HOT_BROADCAST = 500_000
 #: Bytes of pieces in a batch that gets a suffix array, and in a task, whose levels take about five times as much memory.
@@ -132,6 +138,16 @@ def anchor_rows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
     return rows.select(*keys, "text").mapInArrow(emit, ", ".join([*(f"{c} long" for c in ("h", *keys, "place")), "n int"]))
 
 
+def often_anchors(rows: DataFrame, keys: list[str], length: int) -> DataFrame | None:
+    """h of the anchors, HOT_KEYS at most, that one document in OFTEN_SAMPLE shows to be very frequent
+    (and so repeated); None if there are none. They only decide how the work is dealt."""
+    some = anchor_rows(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(OFTEN_SAMPLE)) == 0), keys, length)
+    often = stored(some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LEAST), "often")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    often = often.where(F.col("n") > total // HOT_KEYS).select("h", F.lit(True).alias("often"))
+    return often if total and often.limit(1).count() else None
+
+
 #: Bits of how far before its anchor a window can begin, plus one bit that tells of a hot anchor.
 REACH_BITS = 15
 
@@ -169,11 +185,9 @@ def piece_rows(marked: DataFrame, length: int) -> DataFrame:
                     at, first, last, hot = unpacked(np.sort(np.array(places, np.int64)))
                     b = np.frombuffer(text, np.uint8)
                     keys = roll.at(b, at).view(np.int64)
-                    single = hot == 1
-                    parts = list(zip(keys[~single].tolist(), first[~single].tolist(), last[~single].tolist()))
-                    for a, z in zip(first[single].tolist(), last[single].tolist()):
-                        parts += ((k, a + j, a + j) for j, k in enumerate(whole(b[a : z + length]).view(np.int64).tolist()))
-                    for key, a, z in parts:
+                    parts = list(zip(keys.tolist(), first.tolist(), last.tolist(), (hot == 1).tolist()))[::-1]
+                    while parts:
+                        key, a, z, split = parts.pop()
                         piece = text[a : z + length]
                         d, here = xxhash.xxh3_128_digest(piece), (doc, text_id, a)
                         if d in seen and seen[d] < here:
@@ -181,10 +195,13 @@ def piece_rows(marked: DataFrame, length: int) -> DataFrame:
                                 out[-1] = (*out[-1][:4], z - out[-1][3] + 1, None)
                             else:
                                 out.append((doc, doc, text_id, a, z - a + 1, None))
+                            continue
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen[d] = here
+                        if split:  # a copy of a whole piece has gone above; of another, window by window
+                            parts += [(k, a + j, a + j, False) for j, k in enumerate(whole(b[a : z + length]).view(np.int64).tolist())][::-1]
                         else:
-                            if len(seen) >= SEEN:
-                                seen.clear()
-                            seen[d] = here
                             out.append((key, doc, text_id, a, z - a + 1, piece))
                 yield batch_of(out, PIECES)
 
@@ -376,12 +393,19 @@ def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
     known = rows.where("doc_id is not null")
 
     counted = anchor_rows(known, keys, length)
+    often = often_anchors(known, keys, length)
+    if often is not None:  # these were found twice and more
+        counted = counted.join(F.broadcast(often), "h", "left").withColumn("n", F.when(F.col("often").isNull(), F.col("n")).otherwise(0)).drop("often")
     # those with n = 0 are known to be repeated, so they are spread and not counted
     group = F.when(F.col("n") > 0, F.col("h")).otherwise(F.xxhash64("doc_id", "place"))
     counted = counted.withColumn("total", F.when(F.col("n") > 0, F.sum("n").over(Window.partitionBy(group))))
     repeated = stored(counted.where("total is null or total > 1").drop("n"), "repeated")
     n_places = repeated.count()
-    marks = repeated.where("total is not null").groupBy("h").agg(F.max((F.col("total") > HOT_PIECES).cast("int")).alias("hot"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_places * 2 * length // PART_BYTES)
+    share = min(HOT_PIECES, max(HOT_LEAST, n_places // parts))
+    marks = repeated.where("total is not null").groupBy("h").agg(F.max((F.col("total") > share).cast("int")).alias("hot"))
+    if often is not None:
+        marks = marks.unionByName(often.select("h", F.lit(1).alias("hot")))
     hot, place = stored(marks.where("hot = 1"), "hot"), F.col("place")
     if n_hot := hot.count():
         if n_hot <= HOT_BROADCAST:
@@ -390,7 +414,6 @@ def cut_repeats(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
             repeated = spread_join(repeated, stored(marks, "marks"), ["h"], hot_keys(repeated, ["h"]), "doc_id")
         place = place + F.coalesce("hot", F.lit(0))
     places = repeated.groupBy(keys).agg(F.collect_set(place).alias("places"))  # a document's own
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_places * 2 * length // PART_BYTES)
     ranges = repeated_ranges(piece_rows(known.join(places, keys), length), length, parts)
     cuts = ranges.groupBy(keys).agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     cut_rows = known.join(cuts, keys, "left").unionByName(rows.where("doc_id is null").withColumn("cuts", F.lit(None).cast("array<struct<start:int,stop:int>>")))

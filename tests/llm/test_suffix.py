@@ -43,7 +43,7 @@ def test_built_texts(spark, rnd, length, alphabet):
     assert got == brute(docs, length)
 
 
-@pytest.mark.parametrize("settings", [{"HOT_PIECES": 1}, {"HOT_PIECES": 3, "HOT_BROADCAST": 0}, {"SEEN": 5, "BATCH_BYTES": 2000, "PART_BYTES": 5000}])
+@pytest.mark.parametrize("settings", [{"HOT_PIECES": 1}, {"HOT_PIECES": 3, "HOT_BROADCAST": 0}, {"HOT_LEAST": 1, "OFTEN_SAMPLE": 1}, {"HOT_LEAST": 1, "OFTEN_SAMPLE": 1, "HOT_BROADCAST": 0, "SEEN": 5}, {"SEEN": 5, "BATCH_BYTES": 2000, "PART_BYTES": 5000}])
 def test_frequent_anchors_and_bounded_state(spark, monkeypatch, texts, settings):
     for name, value in settings.items():
         monkeypatch.setattr(suffix_dedup, name, value)
