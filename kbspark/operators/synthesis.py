@@ -51,24 +51,21 @@ def cluster(tagged: DataFrame, most: int = 2) -> DataFrame:
     In order of seq, a text joins the first leader of its category within ``most``
     edits (in lower case), or leads a new cluster. The leaders are the first
     maximal independent set of the graph of similar texts, found in rounds: a
-    text with no undecided one before it leads, and those after it follow.
+    text with no undecided one before it leads, and those after it follow. A
+    round stores who follows and the edges between those still undecided.
     """
     keyed = tagged.withColumn("k", F.lower("what"))
     distinct = stored(keyed.groupBy("category", "k").agg(F.min("seq").alias("seq")), "texts")
     pairs = stored(similar_texts(distinct, most), "similar")
-    open_ = stored(pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), "open")
-    leaders, edges = distinct.join(open_, "seq", "left_anti").select("seq"), pairs
-    while open_.limit(1).count():
-        lead = stored(open_.join(edges.select(F.col("b").alias("seq")), "seq", "left_anti"), "leaders")
-        follow = edges.join(lead.select(F.col("seq").alias("a")), "a", "left_semi").select(F.col("b").alias("seq")).distinct()
-        done = stored(lead.unionByName(follow).distinct(), "done")
-        leaders = leaders.unionByName(lead)
-        open_ = stored(open_.join(done, "seq", "left_anti"), "open")
-        edges = stored(edges.join(done.withColumnRenamed("seq", "a"), "a", "left_anti").join(done.withColumnRenamed("seq", "b"), "b", "left_anti"), "edges")
-    leaders = stored(leaders, "leaders")
-    joined = pairs.join(leaders.withColumnRenamed("seq", "a"), "a", "left_semi").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("leader"))
-    of = distinct.join(leaders.withColumn("leads", F.lit(True)), "seq", "left").join(joined, "seq", "left")
-    of = of.select("category", "k", F.when(F.col("leads"), F.col("seq")).otherwise(F.col("leader")).alias("cluster_id"))
+    edges, followers = pairs, pairs.select(F.col("b").alias("a")).limit(0)
+    while edges.limit(1).count():
+        lead = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        follow = stored(edges.join(lead, "a", "left_semi").select(F.col("b").alias("a")).distinct(), "follow")
+        followers = followers.unionByName(follow)
+        # a leader's edges end at followers, so they go with them; who is left without any leads
+        edges = stored(edges.join(follow, "a", "left_anti").join(follow.withColumnRenamed("a", "b"), "b", "left_anti"), "edges")
+    joined = pairs.join(followers, "a", "left_anti").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("leader"))
+    of = distinct.join(joined, "seq", "left").select("category", "k", F.coalesce("leader", "seq").alias("cluster_id"))
     return keyed.join(of, ["category", "k"]).drop("k")
 
 
@@ -99,9 +96,12 @@ def merge_why(clustered: DataFrame) -> DataFrame:
     return _first_seen(clustered, text.sentences(F.col("why")), ". ", "why")
 
 
+def _steps() -> Column:
+    return F.filter(F.transform(text.lines(F.col("how")), text.trim_space), lambda x: x != "")
+
+
 def merge_how(clustered: DataFrame) -> DataFrame:
-    steps = F.filter(F.transform(text.lines(F.col("how")), text.trim_space), lambda x: x != "")
-    return _first_seen(clustered, steps, "\n", "how")
+    return _first_seen(clustered, _steps(), "\n", "how")
 
 
 def merge_list(clustered: DataFrame, field: str) -> DataFrame:
@@ -110,6 +110,25 @@ def merge_list(clustered: DataFrame, field: str) -> DataFrame:
     return rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list("x")).alias(field))
 
 
+def merge_parts(clustered: DataFrame, lists: list[str]) -> DataFrame:
+    """cluster_id, why, how and ``lists`` as ``merge_why``, ``merge_how`` and ``merge_list`` give them (null where a
+    cluster has nothing), in one pass: equal parts of a cluster are one row before they are brought together."""
+
+    def tagged(name: str, parts: Column) -> Column:
+        return F.coalesce(F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("field"), i.alias("pos"), x.alias("part"))), F.array())
+
+    each = F.concat(tagged("why", text.sentences(F.col("why"))), tagged("how", _steps()), *(tagged(c, F.col(c)) for c in lists))
+    rows = clustered.select("cluster_id", "seq", F.inline(each)).where("part is not null")
+    once = rows.groupBy("cluster_id", "field", "part").agg(F.min(F.struct("seq", "pos")).alias("at"))
+
+    def of(name: str, *order: str) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct(*order, "part"))))
+        return F.when(F.size(found) > 0, F.transform(found, lambda x: x["part"]))
+
+    texts = (F.array_join(of(c, "at"), glue).alias(c) for c, glue in (("why", ". "), ("how", "\n")))
+    return once.groupBy("cluster_id").agg(*texts, *(of(c).alias(c) for c in lists))
+
+
 def merge_outcome(clustered: DataFrame) -> DataFrame:
     """cluster_id, key, value (the first), n_values of every outcome."""
     rows = clustered.select("cluster_id", "seq", F.explode("outcome").alias("key", "value"))
@@ -168,18 +187,18 @@ def synthesize(clustered: DataFrame) -> DataFrame:
     A cluster of one is as it came. What a vote decided replaces what merging
     picked, within its own cluster; texts are trimmed; the category is that of
     the merged text. Lists are brought together, sorted; of an outcome's values
-    the first stays unless a vote decided.
+    the first stays unless a vote decided. Entries and votes are stored once, as
+    each is read several times.
     """
-    votes = vote(conflicts(clustered))
+    clustered = stored(clustered, "clustered")
+    votes = stored(vote(conflicts(clustered)), "votes")
     decided = votes.where("field = 'what'").select("cluster_id", "winner")
     lists = [c for c in ("files", "commits", "dependencies") if c in clustered.columns]
     maps = [c for c in ("outcome",) if c in clustered.columns]
     single = clustered.groupBy("cluster_id").agg(F.count("*").alias("n_entries"), F.first("what").alias("w"), F.first("why").alias("y"), F.first("how").alias("h"), *(F.first(c).alias("__" + c) for c in lists + maps))
-    rows = single.join(merge_what(clustered), "cluster_id").join(merge_why(clustered), "cluster_id").join(merge_how(clustered), "cluster_id").join(decided, "cluster_id", "left")
+    rows = single.join(merge_what(clustered), "cluster_id").join(merge_parts(clustered, lists), "cluster_id", "left").na.fill("", ["why", "how"]).join(decided, "cluster_id", "left")
     alone = F.col("n_entries") == 1
     picked = {"what": F.when(alone, F.col("w")).otherwise(F.coalesce("winner", "what")), "why": F.when(alone, F.col("y")).otherwise(F.col("why")), "how": F.when(alone, F.col("h")).otherwise(F.col("how"))}
-    for c in lists:
-        rows = rows.join(merge_list(clustered, c), "cluster_id", "left")
     for c in maps:
         rows = rows.join(merged_outcomes(clustered, votes), "cluster_id", "left")
     context = [F.when(alone, F.col("__" + c)).otherwise(F.col(c)).alias(c) for c in lists + maps]

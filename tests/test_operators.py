@@ -115,6 +115,16 @@ def test_merge(spark):
     assert synthesis.synthesize(one).first().why == "x. x. y."
 
 
+def test_parts_in_one_pass(spark):
+    rows = [(1, 0, "b. a", "s\n\nt", ["y", None]), (1, 1, "a. c", "t\nr", ["x", "y"]), (2, 2, None, "", None), (3, 3, "a. a", None, [])]
+    c = spark.createDataFrame(rows, "cluster_id long, seq long, why string, how string, files array<string>")
+    got = {r.cluster_id: (r.why, r.how, r.files) for r in synthesis.merge_parts(c, ["files"]).collect()}
+    assert got == {1: ("b. a. c", "s\nt\nr", ["x", "y"]), 3: ("a", None, None)}
+    for name, one in (("why", synthesis.merge_why(c)), ("how", synthesis.merge_how(c)), ("files", synthesis.merge_list(c, "files"))):
+        at = ("why", "how", "files").index(name)
+        assert {r.cluster_id: r[name] for r in one.collect() if r[name]} == {k: v[at] for k, v in got.items() if v[at]}
+
+
 @pytest.mark.parametrize(
     "said, want",
     [
