@@ -91,3 +91,22 @@ def test_odd_tables(spark):
     assert history.not_reached(df, df.limit(0).select("hash")).count() == 6
     one = spark.createDataFrame([("b",)], "hash string")
     assert sorted(r.hash for r in history.ancestors(df, one).collect()) == ["a", "b"] and history.ancestors(df.limit(0), one).count() == 0
+
+
+def test_rounds_write_numbers_and_only_what_they_change(spark, monkeypatch):
+    made = []
+    plain = history.stored
+    monkeypatch.setattr(history, "stored", lambda df, name: made.append((name, plain(df, name))) or made[-1][1])
+    graph = {f"c{i}": [f"c{i - 1}"] if i % 64 else [] for i in range(6400)}
+    assert {r.hash: r.layer for r in history.layers(frame(spark, graph)).collect()} == brute_layers(graph)
+    assert not any(kind == "string" for _, df in made for _, kind in df.dtypes)
+    assert sum(df.count() for name, df in made if name == "jumps") < 6.5 * len(graph)  # whole tables would be 8
+
+
+def test_hashes_that_share_a_number_get_others(spark, monkeypatch):
+    monkeypatch.setattr(history, "BITS", 10)
+    graph = random_graph(random.Random(3), 60)
+    df = frame(spark, graph)
+    assert {r.hash: r.layer for r in history.layers(df).collect()} == brute_layers(graph)
+    one = spark.createDataFrame([("c50",)], "hash string")
+    assert {r.hash for r in history.ancestors(df, one).collect()} == brute_ancestors(graph, ["c50"])
