@@ -110,3 +110,29 @@ def test_hashes_that_share_a_number_get_others(spark, monkeypatch):
     assert {r.hash: r.layer for r in history.layers(df).collect()} == brute_layers(graph)
     one = spark.createDataFrame([("c50",)], "hash string")
     assert {r.hash for r in history.ancestors(df, one).collect()} == brute_ancestors(graph, ["c50"])
+
+
+def test_known_values_do_not_meet_in_one_task(spark, tmp_path):
+    n, parts = 20_000, {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in parts}
+    df = spark.range(n).select(F.col("id").cast("string").alias("hash"), F.array().cast("array<string>").alias("parent_hashes"), F.col("id").alias("timestamp"))
+    sc = spark.sparkContext
+    sc.setJobGroup("known values", "")
+    try:
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        assert history.not_reached(df, df.select("hash")).count() == 0
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    most = 0
+    for job in tracker.getJobIdsForGroup("known values"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 10_000)
+            for i in range(tasks.size()):
+                if (m := tasks.apply(i).taskMetrics()).isDefined():
+                    most = max(most, m.get().shuffleReadMetrics().recordsRead())
+    assert 0 < most < n / 2
