@@ -97,7 +97,7 @@ class Waits:
             time.sleep(left)
 
 
-def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], attempts: int = 3, wait_s: float = 1.0, timeout_s: float = TIMEOUT_S, at_once: int = 4, longest_wait_s: float = 300.0, payloads: Collection[str] = ()) -> DataFrame:
+def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], attempts: int = 3, wait_s: float = 1.0, timeout_s: float = TIMEOUT_S, at_once: int = 4, longest_wait_s: float = 300.0, payloads: Collection[str] = (), tasks: int | None = None) -> DataFrame:
     """Ask every provider each of ``prompts`` (prompt_type, prompt, and no, their numbers, if they
     have an order): model, prompt_type, response, error, one of the last two null, and seq, by which
     answers are in the order of the prompts and, for each, of the providers.
@@ -107,7 +107,10 @@ def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], atte
     holds all calls of its model in the task, ``longest_wait_s`` at most. Up to
     ``at_once`` calls of a model are under way in its task at a time. Models in
     ``payloads`` answer in JSON, of which the message is the response. Calls are
-    made where the rows are; store the result before using it twice.
+    made where the rows are; store the result before using it twice. Calls of a model
+    are in one task, unless ``tasks`` are given, to which all calls are dealt evenly:
+    ``at_once`` and waits hold for each of them then, so it is for providers
+    without a limit that tasks would share.
     """
     if not providers:
         raise ValueError("No providers")
@@ -122,7 +125,7 @@ def fan_out(prompts: DataFrame, providers: dict[str, Callable[[str], str]], atte
                 got = list(pool.map(lambda m, p: call(providers[m], p, attempts, wait_s, timeout_s, waits, m), pdf["model"], pdf["prompt"]))
                 yield pdf.assign(response=[g[0] for g in got], error=[g[1] for g in got])[["model", "prompt_type", "response", "error", "seq"]]
 
-    said = rows.repartition("model").mapInPandas(ask, "model string, prompt_type string, response string, error string, seq long")
+    said = (rows.repartition("model") if tasks is None else rows.repartition(tasks, "seq")).mapInPandas(ask, "model string, prompt_type string, response string, error string, seq long")
     wrapped, message = F.col("model").isin(*payloads) & F.col("error").isNull(), replies.agent_message(F.col("response"))
     error = F.when(wrapped & message.isNull(), "the payload has no message").otherwise(F.col("error"))
     return said.withColumns({"response": F.when(wrapped, message).otherwise(F.col("response")), "error": error}) if payloads else said

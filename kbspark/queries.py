@@ -663,6 +663,8 @@ def commit_prompts(spark, sf_dir):
     return prompts.prompt_commits(rows, head="")
 
 
+#: Tasks that calls of local providers are dealt to.
+_TASKS = 64
 _ANSWERS = {"long": lambda p: f"{len(p)} {p[:5]}", "strict": lambda p: p[-3:] if len(p) % 2 == 0 else _refuse()}
 
 
@@ -676,7 +678,7 @@ UNION ALL SELECT doc_id * 2 + 1, 'strict', CASE WHEN length(p) % 2 = 0 THEN righ
 def provider_answers(spark, sf_dir):
     """Every text's start asked of two local providers, one of which refuses some."""
     asked = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("text").alias("prompt_type"), F.left(F.coalesce("text", F.lit("")), F.lit(50)).alias("prompt"), F.col("doc_id").alias("no"))
-    return prompts.fan_out(asked, _ANSWERS).select("seq", "model", "response", "error")
+    return prompts.fan_out(asked, _ANSWERS, tasks=_TASKS).select("seq", "model", "response", "error")
 
 
 @query(f"""{duck('files_now', 'manifest_files')}, t AS (SELECT path, size, string_split(text, chr(10)) AS l FROM files_now ORDER BY path LIMIT 50),

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark import queries
 from kbspark.operators import changes, commits, entries, prompts, search, synthesis
 
 ENTRY = "seq long, category string, file_name string, what string, why string, how string"
@@ -173,3 +174,13 @@ def test_prompt_limits(spark):
     assert "[10 further files left out]" in got and "[300 further lines left out]" in got and "f050" not in got
     ids = spark.createDataFrame([("p1",)], "pattern_id string")
     assert "- p1\n" in prompts.prompt_patterns(ids, many).first().prompt
+
+
+def test_calls_of_local_providers_are_dealt_to_tasks(spark):
+    asked = spark.range(2000).select(F.lit("t").alias("prompt_type"), F.col("id").cast("string").alias("prompt"), F.col("id").alias("no"))
+    local = {"same": lambda p: p, "twice": lambda p: p + p}
+    got = prompts.fan_out(asked, local, tasks=8).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.seq, r.model, r.response) for r in got) == sorted((2 * i + k, m, str(i) * (k + 1)) for i in range(2000) for k, m in enumerate(local))
+    sizes = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    assert queries.QUERIES["provider_answers"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() > 2  # one task for each model before
