@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +26,12 @@ def ignored_files(files: DataFrame, rules: DataFrame) -> DataFrame:
         contents.setdefault(r.folder.strip("/"), []).append(r.content)
     shared = files.sparkSession.sparkContext.broadcast({f: "\n".join(c) for f, c in contents.items()})
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def hidden(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:  # sees paths alone, whatever else the rows hold
         known = IgnoreRules(shared.value)
-        for batch in batches:
+        for paths in batches:
             if len(known.folders) > 100_000:
                 known.folders = {"": False}
-            hidden = [p is not None and known.ignores(p.rstrip("/"), p.endswith("/")) for p in batch.column("path").to_pylist()]
-            yield batch.filter(pa.array(hidden, pa.bool_()))
+            yield pd.Series([isinstance(p, str) and known.ignores(p.rstrip("/"), p.endswith("/")) for p in paths], dtype=bool)
 
-    return files.mapInArrow(mark, files.schema)
+    return files.where(hidden("path"))

@@ -260,6 +260,14 @@ def test_ignored_files_of_tables(spark, monkeypatch):
         ignored.ignored_files(paths, rules)
 
 
+def test_ignored_files_sees_paths_alone(spark, tmp_path):
+    spark.createDataFrame([("a.log", "x" * 1000), ("b", "y" * 1000)], "path string, text string").write.parquet(str(tmp_path / "files"))
+    rules = spark.createDataFrame([("", "*.log\n")], "folder string, content string")
+    got = ignored.ignored_files(spark.read.parquet(str(tmp_path / "files")), rules)
+    assert [(r.path, len(r.text)) for r in got.collect()] == [("a.log", 1000)]
+    assert "ReadSchema: struct<path:string>" in got.select("path")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ignore_files_of_inner_folders(spark, tmp_path):
     for p, body in {".gitignore": "*.log\nout/\n", "a/.gitignore": "!keep.log\n/x\n", "a/keep.log": "k", "a/no.log": "n", "a/x": "x", "a/b/x": "y", "a/b/c/.gitignore": "z", "a/b/c/z": "z", "a/b/c/d/e/z": "z", "a/b/c/d/e/w": "w", "out/keep": "o"}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
