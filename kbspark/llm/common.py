@@ -71,23 +71,29 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame
     return left.join(right, [*on, "__part"]).drop("__part")
 
 
-#: Bits of the filter that ``among`` broadcasts, 64 in a row.
-FILTER_BITS = 1 << 26
+#: Most bits of the filter that ``among`` broadcasts, and cells of 64 bits that are one row of it.
+FILTER_BITS, FILTER_CELLS = 1 << 26, 64
 
 
-def among(rows: DataFrame, by: str, ids: DataFrame, of: str) -> DataFrame:
-    """The rows whose number ``by`` is among the numbers ``of`` of ``ids``, and few others: a filter of
-    at most FILTER_BITS bits, a million rows, keeps the rest out of what follows. Beyond some ten million
-    numbers it keeps out less, and in the end nothing."""
+def filter_rows(ids: DataFrame, of: str, bits: int) -> DataFrame:
+    """__block, __cells: a row of cells of 64 bits for each stretch of a filter of the numbers ``of``."""
+    at = F.pmod(F.xxhash64(of), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({of}), {bits}) % 64 AS INT))")
+    marks = ids.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(bit).alias("marks"))
+    found = F.map_from_entries(F.collect_list(F.struct((F.col("cell") % FILTER_CELLS).cast("int"), "marks")))  # FILTER_CELLS at most
+    rows = marks.groupBy(F.expr(f"cell div {FILTER_CELLS}").alias("__block")).agg(found.alias("found"))
+    return rows.select("__block", F.transform(F.sequence(F.lit(0), F.lit(FILTER_CELLS - 1)), lambda i: F.coalesce(F.element_at("found", i), F.lit(0).cast("long"))).alias("__cells"))
 
-    def place(c: str):
-        at = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-        return F.shiftright(at, 6).alias("__cell"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({c}), {FILTER_BITS}) % 64 AS INT))")
 
-    cell, bit = place(of)
-    marks = ids.groupBy(cell).agg(F.bit_or(bit).alias("__marks"))
-    cell, bit = place(by)
-    return rows.withColumn("__cell", cell).join(F.broadcast(marks), "__cell").where(F.col("__marks").bitwiseAND(bit) != 0).drop("__cell", "__marks")
+def among(rows: DataFrame, by: str, ids: DataFrame, of: str) -> DataFrame:
+    """The rows whose number ``by`` is among the numbers ``of`` of ``ids`` (a stored table), and few others: a filter
+    of 64 bits for each, FILTER_BITS (8 MB) at most, keeps the rest out of what follows. Beyond some ten million
+    numbers it keeps out less, and in the end nothing."""
+    bits = min(FILTER_BITS, max(64 * FILTER_CELLS, 1 << (64 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64(by), F.lit(bits))
+    block = F.shiftright(at, (64 * FILTER_CELLS).bit_length() - 1)
+    found = F.get("__cells", (F.shiftright(at, 6) % FILTER_CELLS).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({by}), {bits}) % 64 AS INT))"))
+    return rows.withColumn("__block", block).join(F.broadcast(filter_rows(ids, of, bits)), "__block").where(found != 0).drop("__block", "__cells")
 
 
 def utf8(column: str):

@@ -151,3 +151,12 @@ def test_graph(spark, rnd):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_the_filter_of_ids_is_small_and_loses_none(spark):
+    ids = common.stored(spark.range(100_000).select((F.col("id") * 7).alias("b")), "ids")
+    assert common.filter_rows(ids, "b", 1 << 23).count() <= (1 << 23) // (64 * common.FILTER_CELLS)  # a row per number before
+    rows = spark.range(0, 1_400_000).withColumnRenamed("id", "a")
+    kept = common.among(rows, "a", ids, "b")
+    assert kept.columns == ["a"] and kept.where("a % 7 = 0 AND a < 700000").count() == 100_000 and kept.count() < 150_000
+    assert common.among(rows, "a", ids.limit(0), "b").count() == 0
