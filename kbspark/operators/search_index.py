@@ -63,39 +63,97 @@ def trigrams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def stretches(fields: list[str | None]) -> dict[int, set[str]]:
-    """The trigrams of each stretch of a row's texts."""
-    out: dict[int, set[str]] = {}
-    for field in fields:
-        for i in range(0, max(1, len(field or "") - SHARED), STRETCH - SHARED):
-            out.setdefault(i // (STRETCH - SHARED) % SLOTS, set()).update(trigrams((field or "")[i : i + STRETCH]))
-    return out
+#: Bits of a number within a piece, of a character's place in a trigram's code, and of one that most texts need.
+NUMBER_BITS, CHAR_BITS, FEW_BITS = (PIECE * SLOTS - 1).bit_length(), 21, 14
+#: Rows whose texts are cut at a time.
+ROWS = 256
+
+
+def _code(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int) -> np.ndarray:
+    return a << 2 * bits | b << bits | c
+
+
+def _chars(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = (1 << bits) - 1
+    return codes >> 2 * bits, codes >> bits & low, codes & low
+
+
+def _distinct(codes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of codes and numbers, in order."""
+    chars = _chars(codes, CHAR_BITS)
+    if len(codes) and max(int(x.max()) for x in chars) >> FEW_BITS - 1:  # a pair needs more than a word
+        all_, codes = np.unique(codes, return_inverse=True)
+    else:
+        all_, codes = None, _code(*chars, FEW_BITS)
+    both = np.sort(codes << NUMBER_BITS | numbers)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    codes, numbers = both >> NUMBER_BITS, both & (1 << NUMBER_BITS) - 1
+    return (_code(*_chars(codes, FEW_BITS), CHAR_BITS) if all_ is None else all_[codes]), numbers
+
+
+def _cut(fields: list[str | None], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams' codes of ``fields`` with the numbers of their stretches, each pair once; ``numbers`` are those of
+    the fields' first stretches."""
+    texts = [f or "" for f in fields]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if len(chars) < 3:
+        return chars[:0], chars[:0]
+    own = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(chars)) - (np.cumsum(sizes) - sizes)[own]
+    whole = np.flatnonzero(at[:-2] < sizes[own[:-2]] - 2)  # trigrams that end in the same text
+    code = _code(chars[whole], chars[whole + 1], chars[whole + 2], CHAR_BITS)
+    own, at = own[whole], at[whole]
+    step = STRETCH - SHARED
+    k = at // step
+    last = (np.maximum(1, sizes - SHARED) - 1) // step
+    here, before = k <= last[own], (k > 0) & (at - (k - 1) * step < STRETCH - 2)
+    number = lambda which, k: numbers[own[which]] + k[which] % SLOTS
+    return _distinct(np.concatenate((code[here], code[before])), np.concatenate((number(here, k), number(before, k - 1))))
+
+
+def encode_lists(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Ascending numbers, in lists that begin at ``starts``, as the differences from one to the next, seven bits a byte, low ones first."""
+    d = np.diff(numbers, prepend=0)
+    d[starts] = numbers[starts]
+    size = 1 + sum((d >> 7 * i > 0).astype(np.int64) for i in range(1, 5))
+    end = np.cumsum(size)
+    out = np.zeros(end[-1] if len(end) else 0, np.uint8)
+    for i in range(5):
+        have = np.flatnonzero(size > i)
+        out[end[have] - size[have] + i] = d[have] >> 7 * i & 127 | np.where(size[have] > i + 1, 128, 0)
+    offsets = np.append((end - size)[starts], len(out)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 def _postings(texts: DataFrame) -> DataFrame:
     """trigram, piece, n, numbers of ``texts`` (no and the searched fields)."""
-    schema = pa.schema([("trigram", pa.string()), ("piece", pa.int64()), ("n", pa.int64()), ("numbers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         piece, count = None, 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(t, piece, len(n), encode(sorted(n))) for t, n in held.items()]
-            columns = list(zip(*rows)) or [()] * 4
+            codes, numbers = _distinct(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else codes
+            names = ["".join(map(chr, t)) for t in zip(*(x.tolist() for x in _chars(codes[starts], CHAR_BITS)))]
+            n = np.diff(np.append(starts, len(codes)))
+            columns = [pa.array(names, pa.string()), pa.array(np.full(len(names), piece), pa.int64()), pa.array(n, pa.int64()), encode_lists(numbers, starts)]
+            return pa.RecordBatch.from_arrays(columns, names=["trigram", "piece", "n", "numbers"])
 
         for batch in batches:
-            for no, *fields in zip(*(c.to_pylist() for c in batch.columns)):
-                if piece is not None and (no // PIECE != piece or count > HELD):
-                    yield flush()
-                    count = 0
-                piece = no // PIECE
-                for slot, found in stretches(fields).items():
-                    for t in found:
-                        held.setdefault(t, []).append((no - piece * PIECE) * SLOTS + slot)
-                    count += len(found)
+            for i in range(0, batch.num_rows, ROWS):
+                nos, *fields = (c[i : i + ROWS].to_pylist() for c in batch.columns)
+                nos = np.array(nos, np.int64)
+                for p in dict.fromkeys((nos // PIECE).tolist()):
+                    if piece is not None and held and (p != piece or count > HELD):
+                        yield flush()
+                        count = 0
+                    piece = p
+                    mine = np.flatnonzero(nos // PIECE == p).tolist()
+                    held.append(_cut([f[j] for f in fields for j in mine], np.tile((nos[mine] - p * PIECE) * SLOTS, len(fields))))
+                    count += len(held[-1][0])
         if held:
             yield flush()
 

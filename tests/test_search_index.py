@@ -2,7 +2,9 @@
 
 import random
 import re
+import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,42 @@ def test_an_unfinished_generation_is_not_read(spark, tmp_path):
 def test_many_candidates_are_joined(spark, index, monkeypatch):
     monkeypatch.setattr(search_index, "NAMED", 3)
     assert index.ask("heen", 25).collect() == search.ask(view(spark, SF, "entries"), "heen", 25).collect()
+
+
+def test_postings_equal_plain_ones(spark):
+    rnd = random.Random(5)
+    letters = ("ab c", "ab\u00e9\n", "x\u4e2d\U0001f600y", "abcdefghijklmnop")
+    texts = ["".join(rnd.choice(a) for _ in range(n)) for a in letters for n in (0, 1, 2, 3, 127, 128, 129, 1021, 1022, 1024, 1025, 1026, 1919, 1920, 1921, 70_000)] + [None]
+    rows = [(no, *(rnd.choice(texts) for _ in range(3))) for no in [*range(300), *range(search_index.PIECE - 3, search_index.PIECE + 3), 5 * search_index.PIECE]]
+    want = {}
+    for no, *fields in rows:
+        for text in fields:
+            text = (text or "").lower()
+            for i in range(0, max(1, len(text) - search_index.SHARED), search_index.STRETCH - search_index.SHARED):
+                slot = i // (search_index.STRETCH - search_index.SHARED) % search_index.SLOTS
+                for t in search_index.trigrams(text[i : i + search_index.STRETCH]):
+                    want.setdefault((t, no // search_index.PIECE), set()).add(no % search_index.PIECE * search_index.SLOTS + slot)
+    df = spark.createDataFrame(rows, "no long, what string, why string, how string").coalesce(1)
+    got = {}
+    for r in search_index._postings(df).collect():
+        numbers = search_index.decode(bytes(r.numbers)).tolist()
+        assert r.n == len(numbers) and bytes(r.numbers) == search_index.encode(numbers)
+        got.setdefault((r.trigram, r.piece), []).extend(numbers)
+    assert {k: sorted(set(v)) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_postings_are_made_without_a_step_per_trigram():
+    texts = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz ", k=2000)) for i in range(200)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        codes, numbers = search_index._cut(texts, np.arange(200) * search_index.SLOTS)
+    finally:
+        sys.setprofile(before)
+    assert len(codes) > 200_000 and calls < 10_000
