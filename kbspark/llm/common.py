@@ -48,6 +48,16 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are worth a task.
+TASK_ROWS = 1 << 18
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in no more tasks than they are worth, however many partitions exchanges
+    have. What fits one task needs no exchange at all; a large table keeps the partitions that it has."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 #: A join key is hot if it has more than a HOT_KEYS-th of all rows, so that no more than HOT_KEYS keys are.
 HOT_KEYS, HOT_LEAST = 4096, 1024
 
@@ -55,9 +65,13 @@ HOT_KEYS, HOT_LEAST = 4096, 1024
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
     """The keys of ``rows`` (a stored table) with very many rows, and into how many
     parts to deal them; None if there are none."""
-    limit = max(HOT_LEAST, rows.count() // HOT_KEYS)
-    hot = stored(rows.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")), "hot")
-    return hot if hot.limit(1).count() else None
+    n = rows.count()
+    limit = max(HOT_LEAST, n // HOT_KEYS)
+    if n <= limit:
+        return None
+    often = packed(packed(rows, n).groupBy(on).agg(F.count("*").alias("n")), n).where(F.col("n") > limit)
+    hot = stored(often.select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")), "hot")
+    return None if hot.isEmpty() else hot
 
 
 def spread_join(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame | None, by: str) -> DataFrame:
@@ -85,15 +99,18 @@ def filter_rows(ids: DataFrame, of: str, bits: int) -> DataFrame:
     return rows.select("__block", F.transform(F.sequence(F.lit(0), F.lit(FILTER_CELLS - 1)), lambda i: F.coalesce(F.element_at("found", i), F.lit(0).cast("long"))).alias("__cells"))
 
 
-def among(rows: DataFrame, by: str, ids: DataFrame, of: str) -> DataFrame:
+def among(rows: DataFrame, by: str, ids: DataFrame, of: str, most: int | None = None) -> DataFrame:
     """The rows whose number ``by`` is among the numbers ``of`` of ``ids`` (a stored table), and few others: a filter
     of 64 bits for each, FILTER_BITS (8 MB) at most, keeps the rest out of what follows. Beyond some ten million
-    numbers it keeps out less, and in the end nothing."""
-    bits = min(FILTER_BITS, max(64 * FILTER_CELLS, 1 << (64 * ids.count()).bit_length()))
+    numbers it keeps out less, and in the end nothing. ``rows`` that are no more than a task's (``most``) pass as they are."""
+    if most is not None and most <= TASK_ROWS:
+        return rows
+    n = ids.count()
+    bits = min(FILTER_BITS, max(64 * FILTER_CELLS, 1 << (64 * n).bit_length()))
     at = F.pmod(F.xxhash64(by), F.lit(bits))
     block = F.shiftright(at, (64 * FILTER_CELLS).bit_length() - 1)
     found = F.get("__cells", (F.shiftright(at, 6) % FILTER_CELLS).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({by}), {bits}) % 64 AS INT))"))
-    return rows.withColumn("__block", block).join(F.broadcast(filter_rows(ids, of, bits)), "__block").where(found != 0).drop("__block", "__cells")
+    return rows.withColumn("__block", block).join(F.broadcast(filter_rows(packed(ids, n), of, bits)), "__block").where(found != 0).drop("__block", "__cells")
 
 
 def utf8(column: str):

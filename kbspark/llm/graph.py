@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import HOT_KEYS, HOT_LEAST, stored
+from kbspark.llm.common import HOT_KEYS, HOT_LEAST, packed, stored
 
 
 def _with_least(rows: DataFrame, n: int) -> DataFrame:
@@ -21,23 +21,24 @@ def _with_least(rows: DataFrame, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
+    """(node, component) for every node of ``edges`` (a, b; stored tables); the component is its smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014): each
     step hooks a node's neighbours to its smallest one, in a number of rounds
     logarithmic in practice. A node with very many neighbours is a plain
     aggregate, which is broadcast to them, never one group. Each round is stored
-    in the shared folder.
+    in the shared folder, and takes as many tasks as its edges are worth.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = stored(packed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), edges.count()).distinct(), "edges")
     before = n = edges.count()
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    while n:
+        both = packed(edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v"), 2 * n)
+        large = packed(_with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), 2 * n)
         small = _with_least(large, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        edges = stored(packed(small.where("u <> v").distinct(), 2 * n), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             break
         before, n = now, now[0]
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    tops = packed(edges, n).select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return packed(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops), 2 * n)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import HOT_KEYS, among, batch_of, hot_keys, spread_join, stored, utf8, worker_state
+from kbspark.llm.common import HOT_KEYS, among, batch_of, hot_keys, packed, spread_join, stored, utf8, worker_state
 from kbspark.llm.graph import components
 from kbspark.llm.shingles import Bands, digest, shingle_set
 
@@ -46,6 +46,8 @@ ROW_LIMIT = 1024
 #: A bucket is crowded if it has more pairs to test than CROWD times its rows. Rows of a bucket that go to one
 #: task, and pairs of a bucket that one task tests.
 CROWD, PART_ROWS, PART_PAIRS = 32, 1024, 1 << 16
+#: How many rows of a few numbers a row with a sketch, and one with whole sets, counts for.
+SKETCH, WHOLE = 4, 128
 
 # a key's meta: size << 34 | band << 28 | segment << 2 | left out << 1 | own band
 _META = {"size": (34, 30), "band": (28, 6), "segment": (2, 26), "short": (1, 1), "own": (0, 1)}
@@ -105,11 +107,12 @@ def _hot_keys(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     size = max(1, some.count())
     limit, n = max(HOT_LEAST, HOT_SHARE * size), F.col("count")
-    return stored(segment_keys(some, k, bands, deep).groupBy("key").count().where(n >= limit).select("key", F.ceil(SALTS * n / limit).cast("int").alias("salts")), "hot")
+    often = packed(segment_keys(some, k, bands, deep).groupBy("key").count(), SKETCH * size)
+    return stored(often.where(n >= limit).select("key", F.ceil(SALTS * n / limit).cast("int").alias("salts")), "hot")
 
 
-def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
-    """The keys that several sets have, with their buckets' figures: n_full and
+def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> tuple[DataFrame, int]:
+    """The rows of keys, and how many there are at most, that several sets have, with their buckets' figures: n_full and
     n_short (sets that index the key, whole or with an element left out) and the
     smallest of either. Hot keys are dealt to parts, the more the more sets have
     them, and their figures, few rows, broadcast."""
@@ -121,9 +124,10 @@ def bucketed(docs: DataFrame, k: int, bands: Bands, deep: int) -> DataFrame:
     bucket = Window.partitionBy("key", "salt")
     rows = keys.select("*", *(f.over(bucket).alias(n) for n, f in figures.items())).where("hot or n > 1")
     rows = stored(rows.drop("salt"), "buckets")
-    whole = F.broadcast(rows.where("hot").groupBy("key").agg(*(f.alias("all_" + n) for n, f in figures.items())))
+    most = rows.count()
+    whole = F.broadcast(packed(rows.where("hot"), most).groupBy("key").agg(*(f.alias("all_" + n) for n, f in figures.items())))
     rows = rows.join(whole, "key", "left").select("key", "doc_id", *map(_field, _META), *(F.when(F.col("hot"), F.col("all_" + n)).otherwise(F.col(n)).alias(n) for n in figures))
-    return rows.where("n > 1 and n_full + n_short > 0")
+    return packed(rows.where("n > 1 and n_full + n_short > 0"), most), most
 
 
 def parts_of(n: Column) -> Column:
@@ -141,8 +145,8 @@ def copied(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
-def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
-    """What each set has to look up: key, side (whether sets are to have the key
+def probes(rows: DataFrame, most: int, bands: Bands, deep: int) -> DataFrame:
+    """What each set of ``rows`` (``most`` at most) has to look up: key, side (whether sets are to have the key
     as a ``short`` one), doc_id, band, centre (the smallest such set), parts (into
     which the bucket is dealt)."""
     top = 52  # beyond the 30 bits of a size
@@ -159,11 +163,11 @@ def probes(rows: DataFrame, bands: Bands, deep: int) -> DataFrame:
     near = rows.where((F.col("segment") < deep) & ((more > 0) | ((F.col("short") == 0) & (others > 0))))
     found = F.when(F.col("short") == 1, F.struct(F.col("least_full.doc_id").alias("centre"), F.col("n_full").alias("n"))).otherwise(F.struct(F.col("least_short.doc_id").alias("centre"), F.col("n_short").alias("n")))
     look = F.when(more > 0, F.struct("key", (F.col("short") == 0).alias("side"), found["centre"].alias("centre"), parts_of(found["n"])))
-    close = near.groupBy("doc_id", "band", "size", "segment").agg(F.sum(more + F.when(F.col("short") == 0, others).otherwise(0)).alias("cost"), F.collect_list(look).alias("look"))
+    close = packed(near.groupBy("doc_id", "band", "size", "segment").agg(F.sum(more + F.when(F.col("short") == 0, others).otherwise(0)).alias("cost"), F.collect_list(look).alias("look")), most)
     close = close.select("doc_id", "band", "size", "segment", F.lit(1).alias("unit"), "cost", "look")
     units = Window.partitionBy("doc_id", "band")
-    chosen = whole.unionByName(close).select(
-        "*", (needed - (ties + deep - F.count("*").over(units))).alias("missing"), F.row_number().over(units.orderBy("cost", "unit", "segment")).alias("rank")).where("rank <= missing")
+    chosen = packed(packed(whole.unionByName(close), most).select(
+        "*", (needed - (ties + deep - F.count("*").over(units))).alias("missing"), F.row_number().over(units.orderBy("cost", "unit", "segment")).alias("rank")), most).where("rank <= missing")
     return chosen.select("doc_id", "band", F.explode("look").alias("l")).select("l.key", "l.side", "doc_id", "band", F.col("l.centre").alias("centre"), "l.parts")
 
 
@@ -207,11 +211,16 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                     out.append((a, b))
             yield batch_of(out, "a long, b long")
 
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b")
+    pairs = packed(pairs, n)
     whole = sets.where("items is not null").select("doc_id", "items")
     hot_a, hot_b = hot_keys(pairs, ["a"]), hot_keys(pairs, ["b"])
     with_b = spread_join(pairs, among(whole, "doc_id", pairs, "b").select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), ["b"], hot_b, "a")
+    with_b = packed(with_b, WHOLE * n)
     with_a = spread_join(with_b, among(whole, "doc_id", pairs, "a").select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), ["a"], hot_a, "b")
-    return with_a.select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long").distinct()
+    return packed(packed(with_a, WHOLE * n).select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long"), n).distinct()
 
 
 def _ordered(p: str, q: str) -> tuple[Column, Column]:
@@ -222,38 +231,46 @@ def _sketched(sketches: DataFrame, p: str) -> DataFrame:
     return sketches.select(F.col("doc_id").alias(p), "band", F.col("size").alias(p + "_size"), F.col("sketch").alias(p + "_sketch"))
 
 
-def star_pairs(look: DataFrame, names: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) of ``look`` (doc_id, band, centre) that sizes and sketches leave
-    open; ``names`` (member, rep) tells whose set a centre has."""
-    star = stored(look.select(F.col("doc_id").alias("p"), "band", "centre").distinct(), "stars")
-    centres = star.select("centre", "band").distinct().join(names, F.col("centre") == F.col("member")).select("centre", "band", F.col("rep").alias("q"))
-    centres = centres.join(_sketched(sketches, "q"), ["q", "band"])
-    met = spread_join(star, centres, ["centre", "band"], hot_keys(star, ["centre", "band"]), "p").where("p <> q").join(_sketched(sketches, "p"), ["p", "band"])
-    return stored(met.where(may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")).select(*_ordered("p", "q")).distinct(), "star")
+def star_pairs(look: DataFrame, most: int, names: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of ``look`` (doc_id, band, centre; ``most`` rows at most) that sizes and
+    sketches leave open; ``names`` (member, rep) tells whose set a centre has."""
+    star = stored(packed(packed(look.select(F.col("doc_id").alias("p"), "band", "centre"), most).distinct(), most), "stars")
+    n = star.count()
+    centres = packed(packed(star, n).select("centre", "band").distinct().join(names, F.col("centre") == F.col("member")).select("centre", "band", F.col("rep").alias("q")), n)
+    centres = packed(centres.join(_sketched(sketches, "q"), ["q", "band"]), SKETCH * n)
+    met = packed(spread_join(packed(star, n), centres, ["centre", "band"], hot_keys(star, ["centre", "band"]), "p").where("p <> q"), SKETCH * n)
+    met = packed(met.join(_sketched(sketches, "p"), ["p", "band"]), SKETCH * n)
+    return stored(packed(met.where(may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")).select(*_ordered("p", "q")).distinct(), n), "star")
 
 
 def mixed_buckets(ask: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
     """The buckets of several components: main (the largest), parts, n (rows), pairs
     (to be tested: whoever isn't of the main component meets all others)."""
     one = lambda df, a, h: df.select(*on, "doc_id", "comp", "parts", F.lit(a).alias("a"), F.lit(h).alias("h"))
-    both = one(ask, 1, 0).unionByName(one(have, 0, 1))
+    rows = ask.count() + have.count()
+    both = packed(one(ask, 1, 0).unionByName(one(have, 0, 1)), rows)
     odd = both.groupBy(on).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("parts").alias("parts")).where("lo < hi").select(*on, "parts")
-    odd = stored(odd, "odd")
-    some = dealt(among(both, on[0], odd, on[0]), "doc_id").join(copied(odd).drop("parts"), [*on, "part"], "left_semi")
-    counted = some.groupBy(*on, "comp").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
+    odd = stored(packed(odd, rows), "odd")
+    some = packed(dealt(among(both, on[0], odd, on[0], rows), "doc_id").join(packed(copied(odd).drop("parts"), rows), [*on, "part"], "left_semi"), rows)
+    counted = packed(some.groupBy(*on, "comp").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts")), rows)
     largest = F.max(F.struct((F.col("a") + F.col("h")).alias("n"), "comp", "a", "h")).alias("m")
     all_ = counted.groupBy(on).agg(largest, F.sum("a").alias("a"), F.sum("h").alias("h"), F.max("parts").alias("parts"))
-    return all_.select(*on, "parts", F.col("m.comp").alias("main"), (F.col("a") + F.col("h")).alias("n"), ((F.col("a") - F.col("m.a")) * F.col("h") + F.col("m.a") * (F.col("h") - F.col("m.h"))).alias("pairs")).where("pairs > 0")
+    return packed(all_, rows).select(*on, "parts", F.col("m.comp").alias("main"), (F.col("a") + F.col("h")).alias("n"), ((F.col("a") - F.col("m.a")) * F.col("h") + F.col("m.a") * (F.col("h") - F.col("m.h"))).alias("pairs")).where("pairs > 0")
 
 
 def meetings(ask: DataFrame, have: DataFrame, mixed: DataFrame, on: list[str], sketches: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) of different components in the buckets ``mixed`` that sizes and
     sketches leave open. The larger side of a bucket's pairs is dealt to parts."""
-    buckets = copied(mixed).select(*on, "part", "main", F.ceil(F.col("pairs") / PART_PAIRS).cast("int").alias("pair_parts"))
+    rows, work = (x or 0 for x in mixed.agg(F.sum("n"), F.sum("pairs")).first())
+    if not work:
+        return mixed.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).where("false")
+    work = max(work, SKETCH * rows)
+    buckets = copied(packed(mixed, rows)).select(*on, "part", "main", F.ceil(F.col("pairs") / PART_PAIRS).cast("int").alias("pair_parts"))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        rows = dealt(among(df, on[0], mixed, on[0]), "doc_id").join(buckets, [*on, "part"]).withColumnsRenamed({"doc_id": p, "comp": p + "_comp"})
-        return stored(rows.join(_sketched(sketches, p), [p, "band"]).drop("parts", "part").withColumnRenamed("pair_parts", "parts"), p)
+        n = df.count()
+        met = packed(dealt(among(packed(df, n), on[0], mixed, on[0], n), "doc_id").join(buckets, [*on, "part"]), rows).withColumnsRenamed({"doc_id": p, "comp": p + "_comp"})
+        return stored(packed(met.join(_sketched(sketches, p), [p, "band"]), SKETCH * rows).drop("parts", "part").withColumnRenamed("pair_parts", "parts"), p)
 
     left, right = side(ask, "p"), side(have, "q")
     open_ = (F.col("p_comp") != F.col("q_comp")) & (F.col("q_size") <= F.col("p_size")) & may_fit(bands, "p_size", "p_sketch", "q_size", "q_sketch")
@@ -262,11 +279,11 @@ def meetings(ask: DataFrame, have: DataFrame, mixed: DataFrame, on: list[str], s
         same = (F.col("l.part") == F.col("r.part")) & (F.col("l.band") == F.col("r.band"))
         for c in on:
             same = same & (F.col("l." + c) == F.col("r." + c))
-        return x.alias("l").join(y.alias("r"), same & open_).select(*_ordered("p", "q"))
+        return packed(packed(x, work).alias("l").join(packed(y, work).alias("r"), same & open_).select(*_ordered("p", "q")), work)
 
     minor = met(copied(left.where("p_comp <> main")), dealt(right, "q"))
     major = met(dealt(left.where("p_comp = main"), "p"), copied(right.where("q_comp <> main")))
-    return minor.unionByName(major).distinct()
+    return packed(packed(minor.unionByName(major), work).distinct(), work)
 
 
 def rare_elements(sets: DataFrame, bands: Bands) -> DataFrame:
@@ -284,13 +301,15 @@ def rare_elements(sets: DataFrame, bands: Bands) -> DataFrame:
                 each = [np.frombuffer(x, np.int64) for x in items]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in each])), pa.array(np.concatenate(each))], names=["doc_id", "x"])
 
-    elements = sets.select("doc_id", "items").mapInArrow(explode, "doc_id long, x long")
-    often = stored(elements.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    most = sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0
+    most //= 8
+    elements = packed(sets.select("doc_id", "items"), most).mapInArrow(explode, "doc_id long, x long")
+    often = stored(packed(elements.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), most), "often")
     total = often.agg(F.sum("n")).first()[0] or 0
     limit = max(PART_ROWS, total // HOT_KEYS)
     hot, rest = F.broadcast(often.where(F.col("n") > limit)), often.where(F.col("n") <= limit)  # HOT_KEYS rows at most
     counted = elements.join(hot, "x").unionByName(elements.join(hot, "x", "left_anti").join(rest, "x", "left").na.fill(1, ["n"]))
-    rows = counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("e")).withColumn("size", F.size("e"))  # a document's own elements
+    rows = packed(packed(counted, most).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("e")), most).withColumn("size", F.size("e"))  # a document's own elements
     num, den, size = bands.num, bands.den, F.col("size")
     ask = size - F.ceil(size * num / F.lit(den)) + 1
     have = size - F.ceil(size * (2 * num) / F.lit(num + den)) + 1
@@ -312,65 +331,87 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     info = stored(set_digests(rows, k), "sets")
+    n_docs = info.count()
+    info = packed(info, n_docs)
     classes = info.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    large = F.broadcast(classes.where(F.col("n") > max(ROW_LIMIT, info.count() // HOT_KEYS)).select("d1", "d2", F.col("rep").alias("of")))  # HOT_KEYS rows at most
+    large = F.broadcast(classes.where(F.col("n") > max(ROW_LIMIT, n_docs // HOT_KEYS)).select("d1", "d2", F.col("rep").alias("of")))  # HOT_KEYS rows at most
     marked = info.join(large, ["d1", "d2"], "left")
     rest = marked.where("of is null").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    info = stored(rest.unionByName(marked.where("of is not null").select("doc_id", "n_shingles", F.col("of").alias("rep"))), "classes")
+    info = packed(stored(packed(rest.unionByName(marked.where("of is not null").select("doc_id", "n_shingles", F.col("of").alias("rep"))), n_docs), "classes"), n_docs)
     # a document stands for its class of equal sets; one with several texts for itself alone, linked with their classes
-    rep_of = info.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.min("rep") == F.max("rep"), F.min("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    one_id = info.join(rep_of.withColumnRenamed("rep", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    rep_of = packed(info.where("doc_id is not null").groupBy("doc_id").agg(F.when(F.min("rep") == F.max("rep"), F.min("rep")).otherwise(F.col("doc_id")).alias("rep")), n_docs)
+    one_id = stored(packed(info.join(rep_of.withColumnRenamed("rep", "b"), "doc_id"), n_docs).where("rep <> b").select(F.col("rep").alias("a"), "b"), "one_id")
 
-    buckets = bucketed(known, k, bands, deep)
-    look = stored(probes(buckets, bands, deep), "probes")
+    buckets, n_keys = bucketed(known, k, bands, deep)
+    look = stored(probes(buckets, n_keys, bands, deep), "probes")
+    n_look = look.count()
+    look = packed(look, n_look)
     member = rep_of.select(F.col("doc_id").alias("member"), "rep")
 
-    def by_rep(df: DataFrame) -> DataFrame:
-        return df.join(member, F.col("doc_id") == F.col("member")).drop("member", "doc_id").withColumnRenamed("rep", "doc_id")
+    def by_rep(df: DataFrame, most: int) -> DataFrame:
+        own = packed(df.join(member, F.col("doc_id") == F.col("member")), most).drop("member", "doc_id").withColumnRenamed("rep", "doc_id")
+        return packed(own.distinct(), most)
 
     # the sets and sketches of whoever may be tested: those that look up, and those that are found
     index = buckets.where("own = 1").select("key", (F.col("short") == 1).alias("side"), "doc_id", "band", parts_of(F.when(F.col("short") == 1, F.col("n_short")).otherwise(F.col("n_full"))))
     asked = copied(look.select("key", "side", "parts").distinct()).drop("parts")
-    index = stored(by_rep(dealt(among(index, "key", look, "key"), "doc_id").join(asked, ["key", "side", "part"], "left_semi")).drop("part").distinct(), "index")
-    look = stored(by_rep(look).distinct(), "look")
-    names = look.select(F.col("centre").alias("member")).distinct().join(member, "member")
-    tested = stored(look.select("doc_id").unionByName(index.select("doc_id")).unionByName(names.select(F.col("rep").alias("doc_id"))).distinct(), "tested")
+    index = packed(dealt(among(index, "key", look, "key", n_keys), "doc_id").join(asked, ["key", "side", "part"], "left_semi"), n_keys).drop("part")
+    index = stored(by_rep(index, n_keys), "index")
+    look = stored(by_rep(look, n_look), "look")
+    n_index, n_look = index.count(), look.count()
+    index, look = packed(index, n_index), packed(look, n_look)
+    names = packed(look.select(F.col("centre").alias("member")).distinct().join(member, "member"), n_look)
+    each = [index.select("doc_id").distinct(), look.select("doc_id").distinct(), names.select(F.col("rep").alias("doc_id"))]
+    tested = stored(packed(packed(each[0].unionByName(each[1]).unionByName(each[2]), n_docs).distinct(), n_docs), "tested")
     sets = stored(candidate_sets(among(known, "doc_id", tested, "doc_id").join(tested, "doc_id", "left_semi"), k, bands), "candidates")
-    sketches = sets.select("doc_id", "band", "size", "sketch")
+    sketches = packed(sets.select("doc_id", "band", "size", "sketch"), SKETCH * sets.count())
 
-    star = star_pairs(look, names, sketches, bands)
+    star = star_pairs(look, n_look, names, sketches, bands)
     linked = stored(similar_pairs(star, sets, bands), "links")
     done = star
 
-    def labelled(df: DataFrame, label: DataFrame) -> DataFrame:
-        return df.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
+    def labelled(df: DataFrame, most: int, label: DataFrame) -> DataFrame:
+        return packed(df.join(label, F.col("doc_id") == F.col("node"), "left"), most).withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
 
     on, label = ["key", "side"], components(linked)
-    ask, have = stored(labelled(look.drop("centre"), label), "ask"), stored(labelled(index, label), "have")
+    ask, have = stored(labelled(look.drop("centre"), n_look, label), "ask"), stored(labelled(index, n_index, label), "have")
     mixed = stored(mixed_buckets(ask, have, on), "mixed")
     plain, crowded = mixed.where(F.col("pairs") <= CROWD * F.col("n")), mixed.where(F.col("pairs") > CROWD * F.col("n"))
     cross = meetings(ask, have, plain, on, sketches, bands)
-    if crowded.limit(1).count():
-        full = copied(crowded.select(*on, "parts")).drop("parts")
-        asking = dealt(among(ask, "key", crowded, "key"), "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
-        having = dealt(among(have, "key", crowded, "key"), "doc_id").join(full, [*on, "part"], "left_semi").select("doc_id", "band").distinct()
-        asking, having = stored(asking, "asking"), stored(having, "having")
-        rare = stored(rare_elements(sets.where("items is not null").join(asking.unionByName(having).select("doc_id").distinct(), "doc_id", "left_semi"), bands), "rare")
+    if not crowded.isEmpty():
+        full = packed(copied(crowded.select(*on, "parts")).drop("parts"), n_look + n_index)
+
+        def within(df: DataFrame, most: int) -> DataFrame:
+            some = dealt(among(packed(df, most), "key", crowded, "key", most), "doc_id").join(full, [*on, "part"], "left_semi")
+            return packed(packed(some.select("doc_id", "band"), most).distinct(), most)
+
+        asking, having = stored(within(ask, n_look), "asking"), stored(within(have, n_index), "having")
+        some = packed(asking.unionByName(having).select("doc_id"), 2 * sets.count()).distinct()
+        rare = stored(rare_elements(stored(sets.where("items is not null").select("doc_id", "items").join(some, "doc_id", "left_semi"), "crowded"), bands), "rare")
+        n_rare = rare.count()
+        rare = packed(rare, n_rare)
         on = ["x", "band"]
-        ask, have = asking.join(rare, "doc_id").drop("in_have"), having.join(rare.where("in_have"), "doc_id").drop("in_have")
+        n_bands = 4  # about as many a set is asked for in; only the number of tasks depends on it
+        ask, have = (stored(packed(packed(df, n_rare).join(r, "doc_id").drop("in_have"), n_bands * n_rare), "met") for df, r in ((asking, rare), (having, rare.where("in_have"))))
+        n_ask, n_have = ask.count(), have.count()
+        ask, have = packed(ask, n_ask), packed(have, n_have)
         least = have.groupBy(on).agg(F.min("doc_id").alias("centre"), F.max("parts").alias("parts"))
-        again = dealt(ask, "doc_id").join(copied(least).drop("parts"), [*on, "part"])
-        own = again.select(F.col("centre").alias("member"), F.col("centre").alias("rep")).distinct()
-        more = stored(star_pairs(again, own, sketches, bands).join(done, ["a", "b"], "left_anti"), "star")
+        again = packed(dealt(ask, "doc_id").join(packed(copied(least).drop("parts"), n_have), [*on, "part"]), n_ask)
+        own = packed(again.select(F.col("centre").alias("member"), F.col("centre").alias("rep")).distinct(), n_ask)
+        more = star_pairs(again, n_ask, own, sketches, bands)
+        n_star = more.count() + star.count()
+        more = stored(packed(packed(more, n_star).join(packed(done, n_star), ["a", "b"], "left_anti"), n_star), "star")
         linked, done = linked.unionByName(stored(similar_pairs(more, sets, bands), "links")), done.unionByName(more)
         label = components(linked)
-        ask, have = stored(labelled(ask, label), "ask"), stored(labelled(have, label), "have")
+        ask, have = stored(labelled(ask, n_ask, label), "ask"), stored(labelled(have, n_have, label), "have")
         cross = cross.unionByName(meetings(ask, have, stored(mixed_buckets(ask, have, on), "mixed"), on, sketches, bands)).distinct()
-    cross = stored(cross.join(done, ["a", "b"], "left_anti"), "cross")
+    cross = stored(cross, "cross")
+    n_cross = cross.count() + done.count()
+    cross = stored(packed(packed(cross, n_cross).join(packed(done, n_cross), ["a", "b"], "left_anti"), n_cross), "cross")
     late = stored(similar_pairs(cross, sets, bands), "links")
 
     final = components(linked.unionByName(late).unionByName(one_id))
-    return info.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return packed(info.join(final, F.col("rep") == F.col("node"), "left"), n_docs).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,37 @@ def test_hot_and_crowded_buckets_equal_brute_force(spark, monkeypatch, k, num, d
     assert len(got) == len(docs) and [r for r in got if (r.n_shingles, r.component_id) not in want[r.doc_id]] == []
 
 
+@pytest.mark.parametrize("crowd", [0, 32])
+def test_tables_of_many_tasks_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(common, "TASK_ROWS", 64)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    docs = families(6)
+    want = brute(docs, 4, 85, 100)
+    got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 4, 85, 100).collect()
+    assert len(got) == len(docs) and [r for r in got if (r.n_shingles, r.component_id) not in want[r.doc_id]] == []
+
+
+def test_small_tables_take_few_tasks(spark):
+    """However many partitions exchanges have."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame(families(7), "doc_id long, text string").repartition(5)
+    sc = spark.sparkContext
+    sc.setJobGroup("few tasks", "")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        ngram_join.ngram_components(docs, 4, 85, 100).collect()
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 1500
+
+
 def test_texts_of_a_template_are_not_all_compared(spark, monkeypatch):
     tested, mixed_buckets = [], ngram_join.mixed_buckets
 
