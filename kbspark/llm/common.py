@@ -52,10 +52,11 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 TASK_ROWS = 1 << 18
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
+def packed(df: DataFrame, rows: int, least: int = 2) -> DataFrame:
     """``df``, of about ``rows`` rows at most, in no more tasks than they are worth, however many partitions exchanges
-    have. What fits one task needs no exchange at all; a large table keeps the partitions that it has."""
-    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    have. A large table keeps the partitions that it has. With ``least`` 1, a table that fits one task needs no exchange;
+    only for what meets nothing but itself, as a join would draw its other side, however large, into that task."""
+    return df.coalesce(max(least, -(-rows // TASK_ROWS)))
 
 
 #: A join key is hot if it has more than a HOT_KEYS-th of all rows, so that no more than HOT_KEYS keys are.
@@ -69,7 +70,8 @@ def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
     limit = max(HOT_LEAST, n // HOT_KEYS)
     if n <= limit:
         return None
-    often = packed(packed(rows, n).groupBy(on).agg(F.count("*").alias("n")), n).where(F.col("n") > limit)
+    often = packed(rows, n, 1).groupBy(on).agg(F.count("*").alias("n"))
+    often = packed(often, n, 1).where(F.col("n") > limit)
     hot = stored(often.select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts")), "hot")
     return None if hot.isEmpty() else hot
 
@@ -110,7 +112,7 @@ def among(rows: DataFrame, by: str, ids: DataFrame, of: str, most: int | None =
     at = F.pmod(F.xxhash64(by), F.lit(bits))
     block = F.shiftright(at, (64 * FILTER_CELLS).bit_length() - 1)
     found = F.get("__cells", (F.shiftright(at, 6) % FILTER_CELLS).cast("int")).bitwiseAND(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({by}), {bits}) % 64 AS INT))"))
-    return rows.withColumn("__block", block).join(F.broadcast(filter_rows(packed(ids, n), of, bits)), "__block").where(found != 0).drop("__block", "__cells")
+    return rows.withColumn("__block", block).join(F.broadcast(filter_rows(packed(ids, n, 1), of, bits)), "__block").where(found != 0).drop("__block", "__cells")
 
 
 def utf8(column: str):

@@ -29,16 +29,16 @@ def components(edges: DataFrame) -> DataFrame:
     aggregate, which is broadcast to them, never one group. Each round is stored
     in the shared folder, and takes as many tasks as its edges are worth.
     """
-    edges = stored(packed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), edges.count()).distinct(), "edges")
+    edges = stored(packed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), edges.count(), 1).distinct(), "edges")
     before = n = edges.count()
     while n:
-        both = packed(edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v"), 2 * n)
-        large = packed(_with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), 2 * n)
+        both = packed(edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v"), 2 * n, 1)
+        large = packed(_with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), 2 * n, 1)
         small = _with_least(large, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stored(packed(small.where("u <> v").distinct(), 2 * n), "edges")
+        edges = stored(packed(small.where("u <> v").distinct(), 2 * n, 1), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             break
         before, n = now, now[0]
-    tops = packed(edges, n).select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    tops = packed(edges, n, 1).select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return packed(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops), 2 * n)

@@ -418,5 +418,5 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """``docs`` with all their columns, without all but the smallest id of each
     group of linked documents; rows without an id or without words stay."""
     found = ngram_components(docs, k, num, den, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__kb_id")).distinct()
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__kb_id")).distinct(), "gone")
     return docs.join(gone, F.col(id_col) == F.col("__kb_id"), "left_anti")

@@ -90,6 +90,13 @@ def test_tables_of_many_tasks_equal_brute_force(spark, monkeypatch, crowd):
     assert len(got) == len(docs) and [r for r in got if (r.n_shingles, r.component_id) not in want[r.doc_id]] == []
 
 
+def test_a_small_table_draws_no_large_one_into_its_task(spark):
+    large, small = spark.range(1000, numPartitions=4), common.packed(spark.range(5), 5)
+    for side in ("merge", "shuffle_hash"):
+        plan = large.join(small.hint(side), "id")._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "hashpartitioning" in plan
+
+
 def test_small_tables_take_few_tasks(spark):
     """However many partitions exchanges have."""
     held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
