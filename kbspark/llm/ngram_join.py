@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm.common import HOT_KEYS, among, batch_of, hot_keys, packed, spread_join, stored, utf8, worker_state
-from kbspark.llm.graph import components
+from kbspark.llm.graph import components, extended
 from kbspark.llm.shingles import Bands, digest, shingle_set
 
 #: Digests of sets that a task remembers in order not to index copies again.
@@ -401,8 +401,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         more = star_pairs(again, n_ask, own, sketches, bands)
         n_star = more.count() + star.count()
         more = stored(packed(packed(more, n_star).join(packed(done, n_star), ["a", "b"], "left_anti"), n_star), "star")
-        linked, done = linked.unionByName(stored(similar_pairs(more, sets, bands), "links")), done.unionByName(more)
-        label = components(linked)
+        label, done = extended(label, stored(similar_pairs(more, sets, bands), "links")), done.unionByName(more)
         ask, have = stored(labelled(ask, n_ask, label), "ask"), stored(labelled(have, n_have, label), "have")
         cross = cross.unionByName(meetings(ask, have, stored(mixed_buckets(ask, have, on), "mixed"), on, sketches, bands)).distinct()
     cross = stored(cross, "cross")
@@ -410,7 +409,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     cross = stored(packed(packed(cross, n_cross).join(packed(done, n_cross), ["a", "b"], "left_anti"), n_cross), "cross")
     late = stored(similar_pairs(cross, sets, bands), "links")
 
-    final = components(linked.unionByName(late).unionByName(one_id))
+    final = extended(label, late.unionByName(one_id))
     return packed(info.join(final, F.col("rep") == F.col("node"), "left"), n_docs).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 

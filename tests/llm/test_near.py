@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kbspark.llm import common, graph, ngram_join, shingles
-from kbspark.llm.graph import components
+from kbspark.llm.graph import components, extended
 
 
 def brute(docs, k, num, den):
@@ -191,6 +191,48 @@ def test_graph(spark, rnd):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def rows_made(spark, run):
+    """The most rows that the joins and generators of one of the plans that ``run`` executes make together, with its result."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    before, out = store.executionsCount(), run()
+    bus.waitUntilEmpty()
+    made = [0]
+    for i in range(before, store.executionsCount()):
+        e = store.executionsList().apply(i).executionId()
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        some = [nodes.apply(j) for j in range(nodes.size()) if re.search("Join|Generate", nodes.apply(j).name())]
+        ids = {m.accumulatorId() for x in some for j in range(x.metrics().size()) if (m := x.metrics().apply(j)).name() == "number of output rows"}
+        made.append(sum(int(values.apply(k).replace(",", "")) for k in ids if values.contains(k)))
+    return max(made), out
+
+
+def test_a_step_of_components_makes_no_more_rows_than_it_has_edges(spark, rnd):
+    n = 4000  # a star, chains of 3 and pairs: enough for the form with hot nodes
+    edges = [(1, i) for i in range(2, n)] + [(i, i + 1) for i in range(2 * n, 3 * n) if i % 4 < 3] + [(2 * i, 2 * i + 1) for i in range(2 * n, 3 * n)]
+    edges = common.stored(spark.createDataFrame(edges, "a long, b long"), "given")
+    most, got = rows_made(spark, lambda: components(edges).collect())
+    assert len(got) == len({x for e in edges.collect() for x in e}) and 0 < most <= 3 * edges.count()  # a join for hot nodes and one for others; 21 times before
+
+
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_further_edges_join_components(spark, monkeypatch, rnd, hot):
+    for module in (common, graph):
+        monkeypatch.setattr(module, "HOT_LEAST", hot)
+        monkeypatch.setattr(module, "HOT_KEYS", 50 if hot == 2 else 4096)
+    old = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(150)] + [(7, i) for i in range(500, 540)]
+    new = [(rnd.randrange(600), rnd.randrange(600)) for _ in range(40)] + [(700, i) for i in range(30)] + [(9, 9)]
+    table = lambda edges: common.stored(spark.createDataFrame(edges, "a long, b long"), "given")
+    label = components(table(old))
+    got, want = ({r.node: r.component for r in x.collect()} for x in (extended(label, table(new)), components(table(old + new))))
+    assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in want.items() if k != v} and set(want) <= set(got)
+    assert extended(label, table(new).where("false")) is label
+    few = table([(min(r.node for r in label.collect()), 10_000)])
+    seen, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: (seen.append(edges.count()), whole(edges))[1])
+    extended(label, few).collect()
+    assert seen == [1]  # not all that was linked before
+
+
 def test_the_filter_of_ids_is_small_and_loses_none(spark):
     ids = common.stored(spark.range(100_000).select((F.col("id") * 7).alias("b")), "ids")
     assert common.filter_rows(ids, "b", 1 << 23).count() <= (1 << 23) // (64 * common.FILTER_CELLS)  # a row per number before
